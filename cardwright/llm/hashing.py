@@ -71,7 +71,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
 class Words:
     """Words of documents lo..hi: starts, ends (in ``data``), doc (from 0), first (index of each document's first word)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, table: np.ndarray, kinds: np.ndarray | None = None):
+        """``kinds`` cuts words further: between bytes of different kinds from 1 to 3, and between any two of kind 2."""
         a, b = int(offsets[lo]), int(offsets[hi])
         self.data = data[a:b]
         at = offsets[lo : hi + 1] - a
@@ -83,9 +84,16 @@ class Words:
             before[1:] = inside[:-2]
             breaks = at[:-1][at[:-1] < b - a]
             before[breaks] = False
+            if kinds is not None:
+                kind = kinds[self.data]
+                x, y = kind[:-1], kind[1:]
+                cut = ((x != y) | (y == 2)) & (x - 1 < 3) & (y - 1 < 3)
+                before[1:] &= ~cut
             starts = np.flatnonzero(inside[:-1] & ~before)
             after = inside[1:].copy()
             after[breaks[breaks > 0] - 1] = False
+            if kinds is not None:
+                after[:-1] &= ~cut
             self.starts, self.ends = starts, np.flatnonzero(inside[:-1] & ~after) + 1
         else:
             self.starts = self.ends = np.zeros(0, np.int64)
@@ -133,5 +141,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power[0], _power[1]
 
 
-def strings(values, kind: pa.DataType | None = None) -> pa.Array:
-    return pa.array(values, type=kind or pa.string())
+class Memo:
+    """A hash table from unsigned 64-bit hashes to entries numbered from 0, looked up and filled by whole arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.n = bits, 0
+        self.keys, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entries of the hashes, -1 where there is none."""
+        place = self._places(hashes)
+        out = self.entries[place]
+        off = np.flatnonzero((out >= 0) & (self.keys[place] != hashes))
+        place = place[off]
+        while len(off):
+            place = place + 1 & (1 << self.bits) - 1
+            found = self.entries[place]
+            right = (found < 0) | (self.keys[place] == hashes[off])
+            out[off[right]] = found[right]
+            place, off = place[~right], off[~right]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """New, distinct hashes get the next entries in order."""
+        place, entries = self._places(hashes), np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        while len(hashes):
+            first = np.zeros(len(place), dtype=bool)
+            first[np.unique(place, return_index=True)[1]] = True
+            put = first & (self.entries[place] < 0)
+            self.keys[place[put]], self.entries[place[put]] = hashes[put], entries[put]
+            hashes, entries, place = hashes[~put], entries[~put], place[~put] + 1 & (1 << self.bits) - 1

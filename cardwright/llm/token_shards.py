@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from . import wavelet
-from .encoder import encoder
+from .encoder import CHUNK, encoder
 from .hashing import chunks, utf8
 
 #: Ids after which a shard is closed; a shard holds whole documents.
@@ -42,7 +42,7 @@ def _pack(path: str, end_id: int, limit: int):
             part = batch.column("part")[0].as_py() if len(batch) else part
             docs = batch.column("doc").fill_null(NO_ID).to_numpy()
             data, offsets = utf8(batch.column("text"))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, CHUNK):
                 ids, lengths = tokens.encode(data, offsets, lo, hi)
                 ids = np.insert(ids.astype(kind, copy=False), np.cumsum(lengths), end_id)
                 held.append((ids, docs[lo:hi], lengths + 1))
