@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chroma import fingerprints, search, sonified
 from .decontaminate import contamination
 from .html_text import html_text
 from .licenses import license_scan
 from .line_dedup import drop_boilerplate
 from .ngram_join import ngram_components
 from .pieces import round_trip
-from .shared import shared_dir
+from .shared import rows_at_once, shared_dir, written
 from .token_shards import document_digests, write_shards
 from .toxicity import held_out, score, train
 from .transducer import token_counts
@@ -43,6 +44,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each recording asked for (vec_id divisible by 50) and each class that aligns with it, its own first; class_size counts the class's recordings."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    with rows_at_once(spark, 200):
+        prints = written(fingerprints(sonified(vectors, "vec_id", "embedding")), "fingerprints")
+    matches, members = search(prints, prints.where("vec_id % 50 = 0"), "vec_id")
+    sizes = members.groupBy("class").agg(F.count("*").alias("class_size"))
+    asked = members.where("id % 50 = 0")
+    own = asked.select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error")).distinct()
+    found = own.unionByName(matches.select("query_class", "match_class", "offset", "bit_error"))
+    rows = asked.join(found, F.col("class") == F.col("query_class")).join(sizes.withColumnRenamed("class", "match_class"), "match_class")
+    return rows.select(F.col("id").alias("query_id"), "match_class", "class_size", "offset", "bit_error")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
@@ -67,7 +82,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_token_shards, op4_ngram_join, op6_sentencepiece, op7_line_dedup, op8_token_counts, op9_decontaminate, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_token_shards, op4_ngram_join, op5_chroma, op6_sentencepiece, op7_line_dedup, op8_token_counts, op9_decontaminate, op10_license_scan)}
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
