@@ -1,11 +1,73 @@
-"""A corpus pipeline over the documents table; belongs to the subpackage llm."""
+"""A corpus pipeline over the documents table, in five stages; belongs to the subpackage llm.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+"""
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cardwright.llm import line_dedup, ngram_join, pieces, toxicity
+from cardwright.llm.decontaminate import decontaminate as without_benchmark
+from cardwright.llm.shared import written
 
-STAGES: list = []
+#: No single SQL statement expresses the trained model and the encoder.
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5; texts without words have the labels' base rate and stay."""
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    score = "toxicity_score"
+    return toxicity.score(docs, toxicity.train(docs, labels), name=score).where(F.col(score) < 0.5).drop(score)
+
+
+def boilerplate_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that more than 5 % of their source's documents have; copies of whole documents are left to the next stage."""
+    return _recounted(line_dedup.drop_boilerplate(docs, spare_copies=True).select(docs.columns))
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of rows that repeat an id and a text, one.
+
+    Rows without an id are never dropped.
+    """
+    linked = ngram_join.ngram_components(docs)
+    gone = written(linked.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= ngram_join.BROADCAST_IDS else ids
+    kept = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    if not repeated.limit(1).count():
+        return kept
+    again = small(repeated)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items, without the passages that some still share with one."""
+    return _recounted(without_benchmark(docs, _table(spark, sf_dir, "benchmark")))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to its text."""
+    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
+
+
+STAGES = [("toxicity", toxic_out), ("line_dedup", boilerplate_out), ("ngram_join", near_copies_out), ("decontamination", benchmark_out), ("sentencepiece", encoded)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
