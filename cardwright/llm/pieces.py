@@ -21,7 +21,9 @@ from .hashing import Memo, chunks, mix, utf8
 
 SPACE = "▁"
 #: Words a worker remembers before it starts anew, and bytes of text worked on at a time.
-MEMO, CHUNK = 2_000_000, 1 << 22
+MEMO, CHUNK = 1_000_000, 1 << 20
+#: Ids decoded at a time.
+IDS = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -83,11 +85,11 @@ class Pieces:
                     keys.setdefault(key, -1)
         self.keys = np.array(sorted(keys), np.uint64)
         self.id_of = np.array([keys[k] for k in self.keys.tolist()], np.int32)
-        self.pairs, self.fits = Memo(), np.zeros(1 << 14, dtype=bool)
+        self.pairs, self.fits = Memo(21), np.zeros(1 << 14, dtype=bool)
         self._clear()
 
     def _clear(self) -> None:
-        self.memo, self.ids, self.at, self.used = Memo(), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+        self.memo, self.ids, self.at, self.used = Memo(21), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best neighbours, the leftmost first among equals."""
@@ -113,7 +115,7 @@ class Pieces:
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             if self.pairs.n > MEMO:
-                self.pairs = Memo()
+                self.pairs = Memo(21)
                 return self._follows(last, piece)
             new, at = np.unique(key[missing], return_index=True)
             at, n = rest[missing[at]], self.pairs.n
@@ -259,8 +261,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             column = batch.column(ids)
             values = column.flatten().fill_null(0).to_numpy(zero_copy_only=False)
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            texts = pa.array(model.decode(values, counts), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], [*kept, text])
+            at = np.concatenate([[0], np.cumsum(counts)])
+            for lo, hi in chunks(at, IDS):
+                missing = column.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
+                texts = pa.array(model.decode(values[at[lo] : at[hi]], counts[lo:hi]), pa.string(), mask=missing)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), texts], [*kept, text])
 
     out = rows.drop(text)
     return rows.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(text, T.StringType())]))
