@@ -153,5 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 13, share: int = 20) -> DataFrame:
     """``docs`` without contaminated documents, and with the hit spans cut from the others; columns stay as they are."""
-    found = contamination(docs.select(docs.columns), benchmark, text, window=window, share=share, cut=True)
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    # columns of docs that are called as those of contamination() step aside
+    aside = {c: f"_kept_{k}" for k, c in enumerate(docs.columns) if c in (*NEW, "contaminated")}
+    found = contamination(docs.withColumnsRenamed(aside), benchmark, text, window=window, share=share, cut=True).where(~F.col("contaminated"))
+    return found.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
