@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 BOUNDS = {"mumax": (0.001, 10.0), "Ks": (0.0001, 100.0), "Yxs": (0.001, 5.0)}
 MOST_STEPS, POINTS = 50_000, 1_000
 ITERATIONS, TOLERANCE = 1_500, 1e-9
-DEFAULTS = {"mumax": 0.5, "Ks": 0.2, "Yxs": 0.5, "D": 0.3, "Sin": 10.0, "X0": 0.1, "S0": 10.0, "T": 50.0, "dt": 0.1}
+DEFAULTS = {"mumax": 0.4, "Ks": 0.1, "Yxs": 0.5, "D": 0.2, "Sin": 10.0, "X0": 0.5, "S0": 5.0, "T": 50.0, "dt": 0.1}
 #: Names by which model parameters give simulation inputs. Fixed values.
 ALIASES = {"mumax": ("mumax", "mu_max"), "Ks": ("ks",), "Yxs": ("yxs",), "D": ("d",), "Sin": ("sin", "s_in"), "X0": ("x0",), "S0": ("s0",)}
 
