@@ -5,29 +5,37 @@ among their first ``n - ceil(t * n) + 1`` tokens under any one order of all toke
 token under each of ORDERS orders before their sets are compared. All orders put common shingles last, which keeps
 widely shared passages out of the prefixes; within a frequency class each order is its own permutation.
 
-Groups are never expanded into all pairs. Equal texts are one node. Under the first order, each token's nodes are
-compared with the token's smallest node only; nodes linked that way form components. Then only tokens whose nodes still
-lie in different components are looked at again, and there only pairs from different components are compared. A pair
-inside a component needs no comparison, as the result is the component.
+Groups are not expanded into all pairs. Equal texts are one node. Under the first order, each token's nodes are compared
+with one of them, and nodes linked that way form components; a pair inside a component needs no comparison, as the
+result is the component. Only tokens whose nodes still lie in different components are looked at again. Where those are
+few, pairs from different components are compared. Tokens with many nodes join these into families, whose sets are
+compared in blocks inside tasks, by counting matrices; a block gives back the links that join its nodes and no pairs.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .hashing import NOT_SPACE, Words, chunks, mix, utf8
-from .shared import written
+from .shared import rows_at_once, written
 
 ORDERS = 3
 #: Shingles seen this often within one batch of documents are counted across batches.
-LOCAL_COUNT = 4
+LOCAL_COUNT = 2
 #: The most frequent of those that the orders know; all others are of the lowest class. This bounds a broadcast, 16 bytes each; any order is correct.
-KNOWN_SHINGLES = 200_000
+KNOWN_SHINGLES = 150_000
+#: Shingles counted, and postings sorted, by a task at a time.
+COUNTED_AT_ONCE, POSTED_AT_ONCE = 3_000_000, 600_000
+#: Rows that a task exchanges with Python at a time while this operator writes its tables.
+ROWS_AT_ONCE = 1_000
+#: Nodes of a token from which they are compared as a family, and nodes of a block then.
+FAMILY, BLOCK = 48, 384
 #: Ids up to which a list of candidate documents is broadcast; above, a shuffle join is used.
 BROADCAST_IDS = 1_000_000
 
@@ -81,12 +89,15 @@ class Order:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
         self.tokens, self.classes = tokens[at], np.minimum(np.log2(counts[at].astype(np.float64)), 62).astype(np.uint64) + np.uint64(1)
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[self.tokens >> np.uint64(42)] = True
 
     def keys(self, k: int, tokens: np.ndarray) -> np.ndarray:
         key = mix(tokens ^ _SEEDS[k]) >> np.uint64(6)
         if len(self.tokens):
-            where = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            key = key | (np.where(self.tokens[where] == tokens, self.classes[where], np.uint64(0)) << np.uint64(58))
+            maybe = np.flatnonzero(self.maybe[tokens >> np.uint64(42)])
+            where = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
+            key[maybe] |= np.where(self.tokens[where] == tokens[maybe], self.classes[where], np.uint64(0)) << np.uint64(58)
         return key
 
     def prefix(self, k: int, tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -99,7 +110,7 @@ class Order:
 _LIGHT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _LIVE = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_CANDIDATES = pa.schema([("node", pa.int64()), *((f"p{k}", pa.list_(pa.int64())) for k in range(1, ORDERS)), ("tokens", pa.binary())])
+_CANDIDATES = pa.schema([("node", pa.int64()), *((f"p{k}", pa.list_(pa.int32())) for k in range(1, ORDERS)), ("tokens", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -108,26 +119,31 @@ def _columns(schema: pa.Schema, rows_: int, **known) -> pa.RecordBatch:
 
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, node, n) of documents, and rows (token, count) of shingles common within a batch."""
-    for batch in batches:
-        nodes, sizes, held, n_held = [], [], [], 0
-
-        def common(held: list) -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LOCAL_COUNT
-            return _columns(_LIGHT, int(often.sum()), token=tokens[often].view(np.int64), count=counts[often])
+    """Rows (id, node, n) of documents, and rows (token, count) of shingles common within some thousand documents."""
+    held, n_held = [], 0
+
+    def common() -> pa.RecordBatch:
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.append(at, len(tokens)))
+        often = counts >= LOCAL_COUNT
+        return _columns(_LIGHT, int(often.sum()), token=tokens[at[often]].view(np.int64), count=counts[often])
 
+    for batch in batches:
+        nodes, sizes = [], []
         for tokens in each_set(batch.column(1)):
             nodes.append(node_of(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
             held.append(tokens)
             n_held += len(tokens)
-            if n_held > 1 << 22:
-                yield common(held)
-                held, n_held = [], 0
-        if n_held:
-            yield common(held)
+            if n_held > COUNTED_AT_ONCE:
+                yield common()
+                n_held = 0
         yield _columns(_LIGHT, len(nodes), id=batch.column(0), node=nodes, n=sizes)
+    if n_held:
+        yield common()
 
 
 def _postings(broadcast, buckets: int, percent: int):
@@ -138,21 +154,15 @@ def _postings(broadcast, buckets: int, percent: int):
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = broadcast.value
-        for batch in batches:
-            seen, tokens, nodes, sizes, places = set(), [], [], [], []
-            for s in each_set(batch.column(0)):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                p = order.prefix(0, s, percent)
-                tokens.append(p)
-                nodes.append(np.full(len(p), node, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int32))
-                places.append(np.arange(len(p), dtype=np.int32))
-            if not tokens:
-                continue
-            tokens, nodes, sizes, places = (np.concatenate(x) for x in (tokens, nodes, sizes, places))
+        order, held, seen, n_held = broadcast.value, [], set(), 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            tokens = np.concatenate([p for p, _, _ in held])
+            lengths = [len(p) for p, _, _ in held]
+            nodes = np.repeat(np.array([node for _, node, _ in held], np.int64), lengths)
+            sizes = np.repeat(np.array([n for _, _, n in held], np.int32), lengths)
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            held.clear()
             at = np.argsort(tokens, kind="stable")
             tokens, nodes, sizes, places = tokens[at], nodes[at], sizes[at], places[at]
             new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
@@ -164,6 +174,20 @@ def _postings(broadcast, buckets: int, percent: int):
             full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
             yield _columns(_POSTINGS, len(full), bucket=full, tokens=[tokens[cuts[b] : cuts[b + 1]].tobytes() for b in full], nodes=[rows[cuts[b] : cuts[b + 1]].tobytes() for b in full])
 
+        for batch in batches:
+            for s in each_set(batch.column(0)):
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                seen.add(node)
+                held.append((order.prefix(0, s, percent), node, len(s)))
+                n_held += len(held[-1][0])
+                if n_held > POSTED_AT_ONCE:
+                    yield from flushed()
+                    n_held = 0
+                    seen.clear()
+        if held:
+            yield from flushed()
+
     return post
 
 
@@ -197,12 +221,12 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(broadcast, percent: int):
-    """Of each text its node, its prefixes under the further orders, and its set."""
+    """Of each text its node, its prefixes under the further orders (32 bits a token, which can only let more pairs through), and its set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = broadcast.value
         for batch in batches:
-            rows = [(node_of(s), [order.prefix(k, s, percent).view(np.int64) for k in range(1, ORDERS)], s.tobytes()) for s in each_set(batch.column(0)) if len(s)]
+            rows = [(node_of(s), [order.prefix(k, s, percent).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)], s.tobytes()) for s in each_set(batch.column(0)) if len(s)]
             prefixes = {f"p{k}": [r[1][k - 1] for r in rows] for k in range(1, ORDERS)}
             yield _columns(_CANDIDATES, len(rows), node=[r[0] for r in rows], tokens=[r[2] for r in rows], **prefixes)
 
@@ -227,6 +251,56 @@ def _linked(percent: int):
     return verify
 
 
+def _incidence(rows: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``rows`` has in common with each of ``other``; elements are distinct within a row."""
+    owner = np.repeat(np.arange(len(rows) + len(other)), [len(r) for r in rows] + [len(r) for r in other])
+    tokens = np.concatenate([*rows, *other])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, dtype=bool)
+    column = np.cumsum(new) - 1
+    kept = np.bincount(column)[column] > 1 if len(tokens) else new
+    column, owner = np.unique(column[kept], return_inverse=True)[1], owner[kept]
+    out = np.zeros((len(rows), len(other)), np.float32)
+    for lo in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+        part = (column >= lo) & (column < lo + 4096)
+        there = np.zeros((len(rows) + len(other), 4096), np.float32)
+        there[owner[part], column[part] - lo] = 1
+        out += there[: len(rows)] @ there[len(rows) :].T
+    return out
+
+
+def _within(percent: int):
+    """Links within a block of a family, or between two: only those that first join two of its nodes' groups."""
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        left = block["left"].to_numpy()
+        one = block if (block["x"] == block["y"]).iloc[0] else block[left]
+        two = block if one is block else block[~left]
+        share = np.ones((len(one), len(two)), dtype=bool)
+        for k in range(1, ORDERS):
+            share &= _incidence([np.unique(v) for v in one[f"p{k}"]], [np.unique(v) for v in two[f"p{k}"]]) > 0
+        a, b = ([np.frombuffer(t, np.uint64) for t in x["tokens"]] for x in (one, two))
+        both, n, m = _incidence(a, b).astype(np.int64), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        linked = share & (100 * both >= percent * (n[:, None] + m[None, :] - both))
+        x, y, parent = one["node"].tolist(), two["node"].tolist(), {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        found = []
+        for i, j in np.argwhere(linked).tolist():
+            u, v = root(x[i]), root(y[j])
+            if u != v:
+                parent[v] = u
+                found.append((x[i], y[j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return compare
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over ``edges`` (a, b), for each node with an edge.
 
@@ -260,13 +334,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     are linked with each other. Extra columns of ``docs`` are ignored. Ids are integers; a null id counts as no id for
     the smallest of a component. Sets are held as 64-bit hashes of their shingles and known by 64-bit fingerprints.
     """
+    with rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
+        return _ngram_components(docs, id_col, text, percent)
+
+
+def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     ddl = lambda schema: from_arrow_schema(schema)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     texts = rows.select("text")
     light = written(rows.mapInArrow(_light, ddl(_LIGHT)), "light")
-    known = light.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN_SHINGLES).toPandas()
-    order = spark.sparkContext.broadcast(Order(known["token"].to_numpy(np.int64).view(np.uint64), known["count"].to_numpy(np.int64)))
+    known = light.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN_SHINGLES).toArrow()
+    order = spark.sparkContext.broadcast(Order(known["token"].to_numpy().view(np.uint64), known["count"].to_numpy()))
     ids = light.where(F.col("token").isNull()).select("id", "node", "n")
 
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -275,40 +354,75 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     spread = posted.repartition(buckets // 4, F.coalesce("bucket", F.xxhash64("token")))
     live = written(spread.mapInArrow(_settled, ddl(_LIVE)), "live")
 
-    centre = live.groupBy("token").agg(F.min("node").alias("centre"))
-    stars = live.join(centre, "token").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    nodes = live.select("node").distinct()
-    chosen = written(ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("chosen")), "chosen")
-    few = chosen.count() <= BROADCAST_IDS
-    wanted = chosen.select("chosen").distinct()
-    of_wanted = rows.join(F.broadcast(wanted) if few else wanted, rows["id"].eqNullSafe(wanted["chosen"]), "left_semi").select("text")
-    sets = of_wanted.mapInArrow(_candidates(order, percent), ddl(_CANDIDATES)).join(chosen.select("node"), "node", "left_semi")
-    sets = written(sets.dropDuplicates(["node"]), "sets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def can(n: Column, pos: Column, m: Column, at: Column) -> Column:
+        """Whether sets of n and m tokens that first meet at these places of their prefixes can still reach the threshold."""
+        reach = F.least(n - pos, m - at)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reach * (100 + percent) >= percent * (n + m))
+
+    def few(ids: DataFrame) -> DataFrame:
+        """A list of ids as it is joined: broadcast where its size allows."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def candidate_sets(nodes: DataFrame) -> DataFrame:
+        """Prefixes and sets of the nodes, from one text each."""
+        chosen = written(ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("chosen")), "chosen")
+        wanted = written(chosen.select("chosen").distinct(), "wanted")
+        of_wanted = rows.join(few(wanted), rows["id"].eqNullSafe(F.col("chosen")), "left_semi").select("text")
+        found = written(of_wanted.mapInArrow(_candidates(order, percent), ddl(_CANDIDATES)).join(few(chosen.select("node")), "node", "left_semi"), "sets")
+        n = found.agg(F.count("*").alias("all"), F.countDistinct("node").alias("distinct")).first()
+        # an id that several texts have gives more rows than nodes
+        return found if n["all"] == n["distinct"] else written(found.dropDuplicates(["node"]), "sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs that share a prefix token under the further orders as well, and whose sets reach the threshold."""
-        side = lambda x, *columns: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+        side = lambda of, x, *columns: of.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
         further = [f"p{k}" for k in range(1, ORDERS)]
+        shared = pairs.join(side(sets, "a", *further), "a").join(side(sets, "b", *further), "b")
         for c in further:
-            pairs = pairs.join(side("a", c), "a").join(side("b", c), "b").where(F.arrays_overlap(f"{c}_a", f"{c}_b")).select("a", "b")
-        whole = pairs.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a")
-        return written(whole.mapInArrow(_linked(percent), ddl(_PAIRS)), name)
-
-    links = verified(stars, "links")
+            shared = shared.where(F.arrays_overlap(f"{c}_a", f"{c}_b"))
+        shared = written(shared.select("a", "b"), "shared")
+        whole = sets.join(few(written(ends(shared), "ends")), "node", "left_semi")
+        whole = shared.join(side(whole, "b", "tokens"), "b").join(side(whole, "a", "tokens"), "a")
+        return written(whole.mapInArrow(_linked(percent), ddl(_PAIRS)), "links")
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ordered = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    # each token's nodes against one of them
+    centre = live.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("c"))
+    stars = live.join(centre, "token").where((F.col("node") != F.col("c.node")) & can(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+    stars = written(ordered(stars, "node", "c.node"), "pairs")
+    sets = candidate_sets(ends(stars))
+    links = verified(stars, sets)
     comps = components(links)
     placed = live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    placed = written(placed.join(mixed, "token", "left_semi"), "mixed")
-    a, b = placed.alias("a"), placed.alias("b")
-    reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    can = (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (reach * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
-    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & can)
-    across = across.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    across = written(across.join(stars, ["a", "b"], "left_anti"), "across")
-    more = verified(across, "more")
-    if more.limit(1).count():
-        comps = components(links.unionByName(more))
+    apart = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("nodes")).where("x != y").select("token", "nodes")
+    mixed = written(placed.join(apart, "token"), "mixed")
+
+    # families of the tokens that very many nodes share
+    many, more = mixed.where(F.col("nodes") > FAMILY), []
+    centre = many.groupBy("token").agg(F.min("node").alias("a"))
+    families = written(many.join(centre, "token").select("a", F.col("node").alias("b")).distinct(), "families")
+    if families.limit(1).count():
+        sets = sets.unionByName(candidate_sets(ends(families).join(sets, "node", "left_anti")))
+        member = components(families).withColumnRenamed("comp", "family")
+        size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        at = member.join(size, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        at = at.select("node", "family", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        at = at.select("node", "family", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"))
+        blocks = at.join(sets, "node").groupBy("family", "x", "y").applyInPandas(_within(percent), ddl(_PAIRS))
+        more.append(written(blocks, "links"))
+
+    # the others, pair by pair
+    rest = mixed.where(F.col("nodes") <= FAMILY)
+    a, b = rest.alias("a"), rest.alias("b")
+    across = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") < F.col("b.comp")) & can(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
+    across = written(ordered(across, "a.node", "b.node").join(stars, ["a", "b"], "left_anti"), "pairs")
+    sets = sets.unionByName(candidate_sets(ends(across).join(sets, "node", "left_anti")))
+    more.append(verified(across, sets))
+    if any(x.limit(1).count() for x in more):
+        for x in more:
+            links = links.unionByName(x)
+        comps = components(links)
 
     smallest = ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"))
     joined = smallest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
