@@ -111,6 +111,14 @@ def edited_count(children: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("extraction_id").agg(F.count_if("edited_by_user").alias("edited"))
 
 
+def created(new: DataFrame, user: str | None, now: Column) -> DataFrame:
+    """Rows of new projects (id, name, description): the user's own and private, or public without owner."""
+    return new.select(
+        "id", "name", F.coalesce("description", F.lit("")).alias("description"), F.lit(user).cast("string").alias("owner_id"), F.lit("public" if user is None else "private").alias("visibility"),
+        now.alias("created_at"), now.alias("updated_at"),
+    )
+
+
 def effective_type(override: str = "model_type_override", detected: str = "model_type") -> Column:
     from cardwright.sources.tables import MODEL_TYPES
 
