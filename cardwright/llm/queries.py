@@ -44,8 +44,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
+#: Matches in a row of op5_chroma's result at most, about.
+LISTED = 1_000
+
+
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each recording asked for (vec_id divisible by 50) and each class that aligns with it, its own first; class_size counts the class's recordings."""
+    """For each recording asked for (vec_id divisible by 50) all classes of recordings that align with it, its own among them.
+
+    A row lists about a thousand of them (class, number of its recordings, offset, bit error); a recording with more has
+    several rows, told apart by ``part``.
+    """
     vectors = _table(spark, sf_dir, "embeddings")
     with rows_at_once(spark, 200):
         prints = written(fingerprints(sonified(vectors, "vec_id", "embedding")), "fingerprints")
@@ -54,8 +62,12 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = members.where("id % 50 = 0")
     own = asked.select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error")).distinct()
     found = own.unionByName(matches.select("query_class", "match_class", "offset", "bit_error"))
-    rows = asked.join(found, F.col("class") == F.col("query_class")).join(sizes.withColumnRenamed("class", "match_class"), "match_class")
-    return rows.select(F.col("id").alias("query_id"), "match_class", "class_size", "offset", "bit_error")
+    found = written(found.join(sizes.withColumnRenamed("class", "match_class"), "match_class"), "audio-matches")
+    parts = found.groupBy("query_class").agg(F.count("*").alias("n_matches"))
+    lists = found.join(parts, "query_class").withColumn("part", F.pmod(F.xxhash64("match_class"), F.ceil(F.col("n_matches") / LISTED)).cast("int"))
+    item = F.struct("match_class", "class_size", "offset", "bit_error")
+    lists = lists.groupBy("query_class", "part").agg(F.first("n_matches").alias("n_matches"), F.array_sort(F.collect_list(item)).alias("matches"))
+    return asked.join(lists, F.col("class") == F.col("query_class")).select(F.col("id").alias("query_id"), "query_class", "part", "n_matches", "matches")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
