@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +27,8 @@ EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.03, 1e-5
 #: A bucket is learnt if its share of the words of toxic texts and that of the other texts differ by this factor, and by this
 #: many standard deviations of chance; all others stay zero, as do those never seen, so common word parts add no noise.
 LIFT, SIGNIFICANT = 2.0, 5.0
+#: Words whose n-grams are held at a time while the model is fitted.
+FITTED_AT_ONCE = 10_000
 #: Words whose numbers a worker remembers.
 MEMO = 2_000_000
 
@@ -69,8 +72,8 @@ class Model:
         return np.add.reduceat(self.weight[buckets], first[:-1]) / np.diff(first) if words else np.zeros(0)
 
 
-def fit(texts: list[tuple[list[str], np.ndarray]], toxic: np.ndarray, odds: float, seed: int = 7) -> Model:
-    """Train on texts given as distinct words and their counts. ``odds`` are those of the labels at large.
+def fit(vocabulary: list[str], texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, odds: float, seed: int = 7) -> Model:
+    """Train on texts given as distinct words (places in ``vocabulary``) and their counts. ``odds`` are those of the labels at large.
 
     Adam on minibatches; embeddings and softmax are learnt together, and the bias is moved from the sample's odds to
     ``odds``. Without texts of both classes the model gives everything the score that the odds imply.
@@ -78,12 +81,15 @@ def fit(texts: list[tuple[list[str], np.ndarray]], toxic: np.ndarray, odds: floa
     if not len(texts) or toxic.all() or not toxic.any():
         return Model(np.zeros(1 << BUCKET_BITS), float(np.clip(np.log(max(odds, 1e-9)), -20, 20)))
     rng = np.random.default_rng(seed)
-    index: dict[str, int] = {}
-    word_of = [np.array([index.setdefault(w, len(index)) for w in words], np.int64) for words, _ in texts]
-    buckets, first = subwords(list(index))
-    owner = np.repeat(np.arange(len(index)), np.diff(first))
-    in_class = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(w for w, y in zip(word_of, toxic, strict=True) if y == c)]), minlength=len(index)) for c in (False, True)]
-    zero, one = (np.bincount(buckets, weights=n[owner], minlength=1 << BUCKET_BITS) for n in in_class)
+    in_class = np.zeros((2, len(vocabulary)))
+    for (words, _), y in zip(texts, toxic, strict=True):
+        in_class[int(y)][words] += 1
+    zero, one = np.zeros((2, 1 << BUCKET_BITS))
+    for lo in range(0, len(vocabulary), FITTED_AT_ONCE):
+        buckets, first = subwords(vocabulary[lo : lo + FITTED_AT_ONCE])
+        owner = np.repeat(np.arange(lo, lo + len(first) - 1), np.diff(first))
+        zero += np.bincount(buckets, weights=in_class[0][owner], minlength=len(zero))
+        one += np.bincount(buckets, weights=in_class[1][owner], minlength=len(one))
     share = one.sum() / max(one.sum() + zero.sum(), 1)
     expected = (one + zero) * share
     apart = np.abs(one - expected) >= SIGNIFICANT * np.sqrt(expected * (1 - share))
@@ -91,9 +97,14 @@ def fit(texts: list[tuple[list[str], np.ndarray]], toxic: np.ndarray, odds: floa
     used = np.flatnonzero((one + zero > 0) & apart & ((lift >= LIFT) | (lift <= 1 / LIFT)))
     place = np.full(1 << BUCKET_BITS, -1, np.int64)
     place[used] = np.arange(len(used))
-    full, kept = np.diff(first), place[buckets] >= 0
-    buckets = place[buckets[kept]]
-    sizes = np.bincount(owner[kept], minlength=len(index))
+    full, sizes, learnt = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(vocabulary), FITTED_AT_ONCE):
+        buckets, first = subwords(vocabulary[lo : lo + FITTED_AT_ONCE])
+        kept = place[buckets] >= 0
+        full.append(np.diff(first))
+        sizes.append(np.bincount(np.repeat(np.arange(len(first) - 1), np.diff(first))[kept], minlength=len(first) - 1))
+        learnt.append(place[buckets[kept]])
+    full, sizes, buckets = np.concatenate(full), np.concatenate(sizes), np.concatenate(learnt)
     first = np.concatenate([[0], np.cumsum(sizes)])
     if not len(used):
         return Model(np.zeros(1 << BUCKET_BITS), float(np.log(odds)))
@@ -105,12 +116,12 @@ def fit(texts: list[tuple[list[str], np.ndarray]], toxic: np.ndarray, odds: floa
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), BATCH):
-            docs = [d for d in order[k : k + BATCH] if len(word_of[d])]
+            docs = [d for d in order[k : k + BATCH] if len(texts[d][0])]
             if not docs:
                 continue
-            own, inverse = np.unique(np.concatenate([word_of[d] for d in docs]), return_inverse=True)
+            own, inverse = np.unique(np.concatenate([texts[d][0] for d in docs]), return_inverse=True)
             weight = np.concatenate([texts[d][1] / texts[d][1].sum() for d in docs]).astype(np.float32)
-            rows = np.repeat(np.arange(len(docs)), [len(word_of[d]) for d in docs])
+            rows = np.repeat(np.arange(len(docs)), [len(texts[d][0]) for d in docs])
             n = sizes[own]
             ends = np.cumsum(n)
             sub = buckets[np.repeat(first[own] - (ends - n), n) + np.arange(ends[-1])]
@@ -150,9 +161,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(w.first[d], w.first[d + 1]):
                     word = raw[starts[i] : ends[i]].decode().lower()
                     bag[word] = bag.get(word, 0) + 1
-                words.append(" ".join(bag))
+                words.append(list(bag))
                 counts.append(list(bag.values()))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(words, pa.string()), pa.array(counts, pa.list_(pa.int32()))], ["key", "label", "words", "counts"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["key", "label", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -165,10 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     there = known.join(docs.select(F.col(id_col).alias("key")), "key", "left_semi")
     picked = [there.where(F.col("label") == c).orderBy(F.xxhash64("key"), "key").limit(sample) for c in (0, 1)]
     rows = docs.select(F.col(id_col).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked[0].union(picked[1])), "key").select("key", "label", "text")
-    kind = pa.schema([("key", to_arrow_type(rows.schema["key"].dataType)), ("label", pa.int32()), ("words", pa.string()), ("counts", pa.list_(pa.int32()))])
-    bags = sorted(rows.mapInArrow(_bags, from_arrow_schema(kind)).dropDuplicates(["key"]).collect(), key=lambda r: str(r["key"]))
-    texts = [(r["words"].split(" ") if r["words"] else [], np.array(r["counts"], np.float64)) for r in bags]
-    return fit(texts, np.array([r["label"] for r in bags], dtype=bool), n["one"] / max(n["zero"], 1))
+    kind = pa.schema([("key", to_arrow_type(rows.schema["key"].dataType)), ("label", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+    bags = rows.mapInArrow(_bags, from_arrow_schema(kind)).dropDuplicates(["key"]).toArrow()
+    words = bags["words"].combine_chunks().flatten().dictionary_encode()
+    by_name = pa.compute.sort_indices(words.dictionary).to_numpy()
+    ids = np.argsort(by_name).astype(np.int32)[words.indices.to_numpy()]
+    counts = bags["counts"].combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(pa.compute.list_value_length(bags["counts"]).to_numpy())
+    vocabulary = words.dictionary.take(pa.array(by_name)).to_pylist()
+    names = [str(k) for k in bags["key"].to_pylist()]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    texts = [(ids[a:b], counts[a:b]) for a, b in ((ends[k - 1] if k else 0, ends[k]) for k in order)]
+    toxic = bags["label"].to_numpy().astype(bool)[order]
+    return fit(vocabulary, texts, toxic, n["one"] / max(n["zero"], 1))
 
 
 class Scorer:
