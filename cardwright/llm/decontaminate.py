@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import ALNUM, ALNUM_LOWER, Words, chunks, utf8
+from .hashing import ALNUM, ALNUM_LOWER, SMALL_CHUNK, Words, chunks, utf8
 
 #: Bytes of benchmark text held and broadcast at once; a larger benchmark is scanned for in several blocks, one after another.
 BLOCK_BYTES = 32 << 20
@@ -82,7 +82,7 @@ def _scan(text: str, broadcast, follow: bool, cut: bool):
         for batch in batches:
             data, offsets = utf8(batch.column(text))
             n_words, n_hit, spans, items = [], [], [], []
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, SMALL_CHUNK):
                 words = Words(data, offsets, lo, hi, ALNUM)
                 hit, found = windows.find(words)
                 n_words.append(words.counts)

@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer document is worked on alone.
 CHUNK = 1 << 20
+#: The same for operators whose arrays are many times the text.
+SMALL_CHUNK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 
@@ -135,7 +137,7 @@ _power: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _power or len(_power[0]) < n:
-        size = max(n, 2 * CHUNK)
+        size = max(n, 2 * len(_power[0]) if _power else SMALL_CHUNK)
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         _power[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_BASE, inverse)]
     return _power[0], _power[1]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .hashing import NOT_SPACE, Words, chunks, mix, utf8
+from .hashing import NOT_SPACE, SMALL_CHUNK, Words, chunks, mix, utf8
 from .shared import rows_at_once, written
 
 ORDERS = 3
@@ -67,7 +67,7 @@ class Sets:
 def each_set(column: pa.Array) -> Iterator[np.ndarray]:
     data, offsets = utf8(column)
     with np.errstate(over="ignore"):
-        for lo, hi in chunks(offsets):
+        for lo, hi in chunks(offsets, SMALL_CHUNK):
             sets = Sets(data, offsets, lo, hi)
             for d in range(hi - lo):
                 yield sets.of(d)

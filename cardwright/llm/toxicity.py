@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
-from .hashing import ALNUM, Memo, Words, chunks, mix, utf8
+from .hashing import ALNUM, SMALL_CHUNK, Memo, Words, chunks, mix, utf8
 
 #: Labelled texts of each class that the model is fitted on at most, by the order of a hash of their id.
 SAMPLE = 2_000
@@ -153,7 +153,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         words, counts = [], []
-        for lo, hi in chunks(offsets):
+        for lo, hi in chunks(offsets, SMALL_CHUNK):
             w = Words(data, offsets, lo, hi, ALNUM)
             raw, starts, ends = w.data.tobytes(), w.starts.tolist(), w.ends.tolist()
             for d in range(hi - lo):
@@ -202,7 +202,7 @@ class Scorer:
     def scores(self, column: pa.Array) -> np.ndarray:
         data, offsets = utf8(column)
         out = [np.zeros(0)]
-        for lo, hi in chunks(offsets):
+        for lo, hi in chunks(offsets, SMALL_CHUNK):
             w = Words(data, offsets, lo, hi, ALNUM)
             if not len(w.starts):
                 out.append(np.full(hi - lo, self.model.bias))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from cardwright.llm import line_dedup, ngram_join, pieces, toxicity
 from cardwright.llm.decontaminate import decontaminate as without_benchmark
-from cardwright.llm.shared import written
+from cardwright.llm.shared import rows_at_once, written
+
+#: Rows that a stage's tasks exchange with Python at a time: whole texts go both ways, and an executor holds several such batches.
+ROWS_AT_ONCE = 1_000
 
 #: No single SQL statement expresses the trained model and the encoder.
 ORACLE_SQL = None
@@ -27,7 +30,9 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; texts without words have the labels' base rate and stay."""
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
     score = "toxicity_score"
-    return toxicity.score(docs, toxicity.train(docs, labels), name=score).where(F.col(score) < 0.5).drop(score)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), name=score)
+    with rows_at_once(spark, ROWS_AT_ONCE):
+        return written(scored.where(F.col(score) < 0.5).drop(score), "not-toxic")
 
 
 def boilerplate_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +59,16 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items, without the passages that some still share with one."""
-    return _recounted(without_benchmark(docs, _table(spark, sf_dir, "benchmark")))
+    with rows_at_once(spark, ROWS_AT_ONCE):
+        return written(_recounted(without_benchmark(docs, _table(spark, sf_dir, "benchmark"))), "without-benchmark")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
     found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
+    found = found.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
+    with rows_at_once(spark, ROWS_AT_ONCE):
+        return written(found, "encoded")
 
 
 STAGES = [("toxicity", toxic_out), ("line_dedup", boilerplate_out), ("ngram_join", near_copies_out), ("decontamination", benchmark_out), ("sentencepiece", encoded)]
