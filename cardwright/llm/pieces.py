@@ -37,12 +37,40 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]))
 
 
-class Pieces:
+class Decoder:
+    """What is shown for each id; all that decoding needs."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        shown: list[bytes] = []
+        for i in range(model.get_piece_size()):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                shown.append(bytes([int(piece[3:5], 16)]))
+            else:
+                shown.append(b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else piece.replace(SPACE, " ").encode())
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_at = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of ids: pieces joined, bytes as UTF-8 (U+FFFD where they are none), the first space dropped."""
+        sizes = self.shown_at[ids + 1] - self.shown_at[ids]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        raw = self.shown[np.repeat(self.shown_at[ids] - (ends - sizes), sizes) + np.arange(n)].tobytes()
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+class Pieces(Decoder):
     """Encodes and decodes as the sentencepiece library does for models with the identity normaliser and byte fallback."""
 
     def __init__(self, path: str, unigram: bool = False):
         import sentencepiece
 
+        super().__init__(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.unigram = unigram
         n = model.get_piece_size()
@@ -50,15 +78,9 @@ class Pieces:
         self.score = np.array([model.get_score(i) for i in range(n)])
         special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte = np.zeros(256, np.int32)
-        shown: list[bytes] = []
         for i, piece in enumerate(self.text):
             if model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                shown.append(bytes([int(piece[3:5], 16)]))
-            else:
-                shown.append(b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else piece.replace(SPACE, " ").encode())
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.shown_at = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
         self.pieces = {piece: i for i, piece in enumerate(self.text) if not special[i]}
         self.longest = max(map(len, self.pieces))
         self._whole = np.full(n, -1, np.int8)
@@ -213,14 +235,9 @@ class Pieces:
         total = np.concatenate([[0], ends])
         return ids, np.diff(total[np.searchsorted(starts, first)])
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of ids: pieces joined, bytes as UTF-8 (U+FFFD where they are none), the first space dropped."""
-        sizes = self.shown_at[ids + 1] - self.shown_at[ids]
-        ends = np.cumsum(sizes)
-        n = int(ends[-1]) if len(ends) else 0
-        raw = self.shown[np.repeat(self.shown_at[ids] - (ends - sizes), sizes) + np.arange(n)].tobytes()
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [raw[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(at[:-1], at[1:], strict=True)]
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 @cache
@@ -255,7 +272,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     """``rows`` with the text of each list of ids; null stays null, no ids give the empty text. A column named as the new one is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path)
+        model = decoder(path)
         for batch in batches:
             kept = [c for c in batch.schema.names if c != text]
             column = batch.column(ids)
