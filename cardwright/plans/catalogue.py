@@ -443,7 +443,7 @@ def rk4_simulate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def monod_fit(spark: SparkSession, d: str) -> DataFrame:
-    p = _t(spark, d, "supplier").where("s_suppkey <= 4").select(F.col("s_suppkey").alias("id"), (0.4 + (F.col("s_suppkey") % 4) * 0.05).alias("mumax"), F.lit(16.0).alias("T"), F.lit(0.05).alias("dt"))
+    p = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (0.4 + (F.col("s_suppkey") % 4) * 0.05).alias("mumax"), F.lit(16.0).alias("T"), F.lit(0.05).alias("dt"))
     return simulate.fit(simulate.simulate(p).where("cast(t * 20 + 0.5 as int) % 20 = 0").withColumnRenamed("id", "series_id"))
 
 

@@ -43,6 +43,13 @@ def test_queries_without_sql_give_rows(spark):
         assert catalogue.QUERIES[name](spark, D).limit(1).count() == 1
 
 
+def test_every_supplier_is_fitted(spark):
+    keys = {r[0] for r in spark.read.parquet(f"{D}/supplier.parquet").select("s_suppkey").collect()}
+    got = {r["series_id"]: r["mumax"] for r in catalogue.QUERIES["monod_fit"](spark, D).collect()}
+    assert set(got) == keys and len(keys) > 4
+    assert all(abs(v - (0.4 + k % 4 * 0.05)) < 0.01 for k, v in got.items())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
