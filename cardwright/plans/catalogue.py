@@ -268,6 +268,23 @@ def jaccard_recall(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", round_half_up(evaluate.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), evaluate.recall(F.array("a"), F.array("b")).alias("recall"))
 
 
+@query("""
+WITH i AS (SELECT item_id, string_split(lower(text), ' ') AS b, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark),
+m AS (SELECT greatest(1, least((SELECT count(*) FROM benchmark), (SELECT count(DISTINCT conv_id) FROM conversations))) AS m),
+p AS (SELECT item_id, conv_id, turn, coalesce(string_split(lower(c.text), ' '), []) AS a, b FROM i CROSS JOIN m LEFT JOIN conversations c ON c.conv_id % m.m = i.place % m.m)
+SELECT item_id, conv_id, turn, floor(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b))) * 1e6 + 0.5) / 1e6 AS jaccard,
+  CASE WHEN len(list_intersect(list_distinct(a), list_distinct(b))) >= 0.5 * len(list_distinct(b)) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recall FROM p""")
+def recall_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item against texts: conversations and items are dealt in turn over as many numbers as the fewer of them are,
+    both measured; an item that no conversation meets is there with nulls and scores of 0."""
+    b, c = _t(spark, d, "benchmark"), _t(spark, d, "conversations")
+    m = max(1, min(b.count(), c.select(F.count_distinct("conv_id")).first()[0]))
+    items = b.select("item_id", F.split(F.lower("text"), " ").alias("b"), ((F.row_number().over(Window.orderBy("item_id")) - 1) % m).alias("place"))
+    texts = c.select("conv_id", "turn", F.split(F.lower("text"), " ").alias("a"), (F.col("conv_id") % m).alias("place"))
+    both = items.join(texts, "place", "left").withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
+    return both.select("item_id", "conv_id", "turn", round_half_up(evaluate.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), evaluate.recall(F.array("a"), F.array("b")).alias("recall"))
+
+
 @query("""
 WITH s AS (SELECT source, quality * 1.0 AS quality, toxic * 1.0 AS toxic, 0.6 * quality + 0.4 * (1 - toxic) AS overall FROM labels JOIN documents USING (doc_id)),
 r AS (SELECT source, floor(quality * 100 + 0.5) / 100 AS quality, floor(toxic * 100 + 0.5) / 100 AS toxic, floor(overall * 100 + 0.5) / 100 AS overall FROM s)

@@ -50,6 +50,19 @@ def test_every_supplier_is_fitted(spark):
     assert all(abs(v - (0.4 + k % 4 * 0.05)) < 0.01 for k, v in got.items())
 
 
+def test_every_benchmark_item_is_scored(spark, tmp_path):
+    texts = [f"word{k} other{k} more{k}" for k in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for n in (7, 90):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        (folder / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        spark.createDataFrame([(k, 0, texts[k % 60]) for k in range(n)], "conv_id long, turn int, text string").write.parquet(f"{folder}/conversations.parquet")
+        got = catalogue.QUERIES["recall_cover"](spark, str(folder)).collect()
+        assert {r["item_id"] for r in got} == set(range(60)) and {r["conv_id"] for r in got} == set(range(n))
+        assert all((r["jaccard"], r["recall"]) == ((1.0, 1.0) if r["item_id"] == r["conv_id"] % 60 else (0.0, 0.0)) for r in got)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
