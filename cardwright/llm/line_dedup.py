@@ -43,8 +43,8 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
 
     Lines keep their order, blank lines stay. Null text stays null with 0 lines; the empty text is one blank line. Extra
     columns pass through; where one is named n_lines or n_dropped, the new one gets a leading underscore.
-    With ``spare_copies``, a page all of whose non-blank lines are boilerplate is left whole: it is a copy of other pages
-    rather than a page with a frame around it, and belongs to a stage on duplicates.
+    With ``spare_copies``, a page all of whose non-blank lines are boilerplate is left whole if another such page of its site
+    has the same text: these are copies, of which a stage on duplicates keeps one. All other pages are cut.
     """
     found = written(boilerplate(docs, site, text, max_ratio, min_pages), "boilerplate")
     small = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_LINES
@@ -55,8 +55,15 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     good = lambda line: (_trimmed(line) == "") | ~F.array_contains(F.col(bad), _key(_trimmed(line)))
     kept = F.when(F.col(bad).isNotNull(), F.filter(lines, good)).otherwise(lines)
     if spare_copies:
-        blank = F.forall(kept, lambda line: _trimmed(line) == "")
-        kept = F.when(blank, lines).otherwise(kept)
+        some = lambda x: F.exists(x, lambda line: _trimmed(line) != "")
+        all_bad = F.col(bad).isNotNull() & some(lines) & ~some(kept)
+        digest, twin_site, twin = (free_name(docs, f"boilerplate_{c}") for c in ("digest", "twin_site", "twin"))
+        joined = joined.withColumn(digest, F.when(all_bad, F.sha2(text, 256)))
+        twins = joined.where(F.col(digest).isNotNull()).groupBy(F.col(key).alias(twin_site), F.col(digest).alias(twin)).agg(F.count("*").alias("n")).where("n > 1")
+        twins = written(twins.drop("n"), "boilerplate-copies")
+        few = twins.count() <= BROADCAST_LINES
+        joined = joined.join(F.broadcast(twins) if few else twins, (F.col(digest) == F.col(twin)) & F.col(key).eqNullSafe(F.col(twin_site)), "left")
+        kept = F.when(F.col(twin).isNotNull(), lines).otherwise(kept)
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     out = joined.withColumn(bad, F.when(F.col(text).isNotNull(), kept))
     return out.select(

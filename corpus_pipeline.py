@@ -36,7 +36,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def boilerplate_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that more than 5 % of their source's documents have; copies of whole documents are left to the next stage."""
+    """Documents without lines that more than 5 % of their source's documents have. Documents of such lines only are cut as well, except equal
+    copies within a source, whose lines are repeated with them: the next stage keeps one of each."""
     return _recounted(line_dedup.drop_boilerplate(docs, spare_copies=True).select(docs.columns))
 
 

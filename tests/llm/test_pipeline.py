@@ -64,3 +64,22 @@ def test_repeated_rows_and_nulls(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.near_copies_out(spark, docs, D)
     assert left.columns == docs.columns and sorted(map(str, (r["doc_id"] for r in left.collect()))) == ["1", "3", "None"]
+
+
+def test_pages_of_boilerplate_only_are_cut_unless_equal_copies(spark):
+    menu = [f"menu entry number {k} of this site" for k in range(6)]
+    pages = {k: "\n".join(menu[j] for j in range(6) if j not in (k % 6, (k // 6 + k + 1) % 6)) for k in range(12)}
+    assert len(set(pages.values())) == 12
+    pages |= {k: "the same notice\n\non every one of these pages" for k in range(20, 26)} | {k: f"a page with its own words {k}\n{menu[0]}" for k in range(30, 50)}
+    rows = [(k, t, "en", s, len(t)) for s in ("a", None) for k, t in ((k + (100 if s else 0), t) for k, t in pages.items())]
+    rows += [(900, "", "en", "a", 0), (901, None, "en", "a", 0), (902, " \n ", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.boilerplate_out(spark, docs, D)
+    assert got.columns == docs.columns
+    got = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert len(got) == len(rows) and (got[900], got[901], got[902]) == ("", None, " \n ")
+    for k, t in pages.items():
+        want = "" if k < 12 else t if k < 30 else t.split("\n")[0]
+        assert (got[k], got[k + 100]) == (want, want)
+    left = {r["doc_id"] for r in corpus_pipeline.near_copies_out(spark, docs.where("doc_id BETWEEN 20 AND 25"), D).collect()}
+    assert left == {20}
