@@ -16,6 +16,9 @@ CHUNK = 1 << 20
 #: The same for operators whose arrays are many times the text.
 SMALL_CHUNK = 1 << 18
 
+#: Bytes over which words are hashed at a time.
+STRETCH = 1 << 17
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 
 
@@ -106,25 +109,51 @@ class Words:
         self.table = table
 
     def hashes(self, seed: int = 1, fold: bool = True) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        power, inverse = _powers(len(self.data))
-        values = np.where(self.table, byte_values(seed, fold), np.uint64(0))[self.data]
-        values *= power[: len(values)]
-        total = np.add.reduceat(values, self.starts)
-        return mix(total * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """A hash of each word; worked out for stretches of words, so that tables and arrays stay small however long the text is."""
+        with np.errstate(over="ignore"):
+            return self._hashes(seed, fold)
+
+    def _hashes(self, seed: int, fold: bool) -> np.ndarray:
+        out = np.zeros(len(self.starts), np.uint64)
+        values = np.where(self.table, byte_values(seed, fold), np.uint64(0))
+        power, inverse = _powers()
+        lo = 0
+        while lo < len(out):
+            base = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, base + STRETCH, "right")))
+            starts, end = self.starts[lo:hi] - base, int(self.ends[hi - 1])
+            if end - base <= STRETCH:
+                weighed = values[self.data[base:end]]
+                weighed *= power[: end - base]
+                out[lo:hi] = np.add.reduceat(weighed, starts) * inverse[starts]
+            else:  # one very long word
+                shift = np.uint64(1)
+                for at in range(base, end, STRETCH):
+                    part = values[self.data[at : min(at + STRETCH, end)]]
+                    out[lo] += (part * power[: len(part)]).sum() * shift
+                    shift *= power[-1] * _BASE
+            lo = hi
+        return mix(out + (self.ends - self.starts).astype(np.uint64))
+
+    def runs_of(self, hashes: np.ndarray, doc: int, n: int) -> np.ndarray:
+        """Hashes of all runs of ``n`` words of one document."""
+        a, b = self.first[doc], self.first[doc + 1]
+        return _run_hashes(hashes[a:b], n)
 
     def runs(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of all runs of ``n`` words of one document."""
         if len(hashes) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        last = len(hashes) - n + 1
-        total = np.full(last, n, np.uint64)
-        factor = _factors(n)
-        for k in range(n):
-            total += hashes[k : k + last] * factor[k]
-        at = np.flatnonzero(self.doc[:last] == self.doc[n - 1 :])
-        return at, mix(total[at])
+        at = np.flatnonzero(self.doc[: len(hashes) - n + 1] == self.doc[n - 1 :])
+        return at, _run_hashes(hashes, n)[at]
+
+
+def _run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    last = max(len(hashes) - n + 1, 0)
+    total, factor = np.full(last, n, np.uint64), _factors(n)
+    for k in range(n):
+        total += hashes[k : k + last] * factor[k]
+    return mix(total)
 
 
 @cache
@@ -132,21 +161,16 @@ def _factors(n: int) -> np.ndarray:
     return np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
 
 
-_power: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _power or len(_power[0]) < n:
-        size = max(n, 2 * len(_power[0]) if _power else SMALL_CHUNK)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        _power[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_BASE, inverse)]
-    return _power[0], _power[1]
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(STRETCH - 1, x, np.uint64)])) for x in (_BASE, inverse))
 
 
 class Memo:
     """A hash table from unsigned 64-bit hashes to entries numbered from 0, looked up and filled by whole arrays."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.bits, self.n = bits, 0
         self.keys, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 

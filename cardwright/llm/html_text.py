@@ -1,6 +1,8 @@
 """Layout-aware text of HTML pages: a tree builder with implied tags, visibility rules, and a renderer of blocks, lists and tables."""
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -8,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import tidy
+
 #: Elements without content. Fixed values of the HTML standard, as are the other tables here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; that of RAW is not even unescaped.
@@ -27,13 +31,24 @@ ENDS = {
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure fieldset hr".split())
 LINED = frozenset("html body address article aside center details dialog div footer form header hgroup main nav search section summary li dt dd figcaption legend caption tr td th thead tbody tfoot optgroup option".split())
+#: Start tags that stay in an open head; any other one, and text, ends it.
+OF_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Columns that all indents of a line take at most, which bounds the text of deeply nested blocks.
+INDENT = 40
+#: Columns and rows that a cell spans at most, as the HTML standard has it.
+COLUMNS, ROWS = 1_000, 65_534
 #: Cells wider than this do not widen their column, which bounds the padding of a table; their text stays whole.
 ALIGNED = 60
+#: Spaces between two cells of a line at most.
+GAP = 200
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s=>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+#: A selector of one element: its name, id and classes.
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][a-zA-Z_-][\w-]*)*)")
 
 
 class Node:
@@ -46,19 +61,32 @@ class Node:
 def parse(html: str) -> Node:
     """The page's tree; texts are strings among the children."""
     root = Node("#root", {})
-    stack, at, end = [root], 0, len(html)
+    stack, at, end, opened = [root], 0, len(html), Counter()
+
+    def cut(k: int) -> None:
+        opened.subtract(node.tag for node in stack[k:])
+        del stack[k:]
 
     def close(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+        if not any(opened[tag] for tag in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in stop:
                 return
             if stack[k].tag in tags:
-                del stack[k:]
+                cut(k)
                 if len(tags) == 1:
                     return
 
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[node.tag] += 1
+
     def text(raw: str) -> None:
         if raw:
+            if stack[-1].tag == "head" and not raw.isspace():
+                cut(len(stack) - 1)
             stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
     while at < end:
@@ -97,34 +125,67 @@ def parse(html: str) -> Node:
                 value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
                 attributes.setdefault(m[1].lower(), value)
             at += 1
+            if stack[-1].tag == "head" and tag not in OF_HEAD:
+                cut(len(stack) - 1)
             if tag in BREAKS_P:
                 close({"p"}, frozenset(("td", "th", "table", "button", "object")))
             if tag in ENDS:
                 close(*ENDS[tag])
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                row = Node("tr", {})
-                stack[-1].children.append(row)
-                stack.append(row)
+                push(Node("tr", {}))
             node = Node(tag, attributes)
-            stack[-1].children.append(node)
+            if tag in VOID or tag in RAW or tag in ESCAPABLE:
+                stack[-1].children.append(node)
+            else:
+                push(node)
             if tag in RAW or tag in ESCAPABLE:
                 stop = re.compile(rf"</{tag}[\s/>]", re.IGNORECASE).search(html, at)
                 inside = html[at : stop.start() if stop else end]
                 if tag in ESCAPABLE:
                     node.children.append(unescape(inside))
+                elif tag == "style":
+                    root.attributes["style"] = root.attributes.get("style", "") + inside + "\n"
                 gt = html.find(">", stop.start()) if stop else -1
                 at = end if gt < 0 else gt + 1
-            elif tag not in VOID:
-                stack.append(node)
         else:
             text("<")
             at = lt + 1
     return root
 
 
-def _style(node: Node) -> dict[str, str]:
-    raw = node.attributes.get("style")
-    return {k: v for k, v in _STYLE.findall(raw.lower())} if raw else {}
+class Sheet:
+    """What a page's style sheets say of display and visibility, by selectors of one element; others, and those of @-rules, are not read."""
+
+    def __init__(self, css: str):
+        #: name, id or class that a rule asks for: [(weight, names, declarations)]
+        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], dict[str, str]]]] = {}
+        css, at, n = _COMMENT.sub(" ", css), 0, 0
+        while (brace := css.find("{", at)) >= 0:
+            selectors, depth, close = css[at:brace].rpartition(";")[2], 1, brace + 1
+            while depth and close < len(css):
+                depth += {"{": 1, "}": -1}.get(css[close], 0)
+                close += 1
+            said, at = {k: v for k, v in _STYLE.findall(css[brace + 1 : close - 1].lower())}, close
+            for selector in selectors.split(",") if said and "@" not in selectors else ():
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    names = re.findall(r"[.#][^.#]+", m[2])
+                    tag, ids = "" if m[1] in (None, "*") else m[1], sum(x[0] == "#" for x in names)
+                    weight = (ids, len(names) - ids, int(bool(tag)), n)
+                    self.rules.setdefault(names[0] if names else tag or "*", []).append((weight, tag, frozenset(names), said))
+                    n += 1
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The element's declarations: those of its style attribute before those of the sheets, by weight."""
+        raw, out = node.attributes.get("style"), {}
+        if self.rules:
+            mine = {"*", node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "").strip()}
+            fitting = [r for name in mine for r in self.rules.get(name, ()) if r[2] <= mine and r[1] in ("", node.tag)]
+            for *_, said in sorted(fitting, key=lambda r: r[0]):
+                out |= said
+        if raw:
+            out |= {k: v for k, v in _STYLE.findall(raw.lower())}
+        return out
 
 
 class Writer:
@@ -161,11 +222,19 @@ class Writer:
         if self.blank and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
-        lead = "".join(self.indents)
+        lead = self.lead()
         if self.marker and text.strip():
-            lead, self.marker = lead[: len(lead) - len(self.marker)] + self.marker, ""
+            lead, self.marker = lead[: max(len(lead) - len(self.marker), 0)] + self.marker, ""
         self.lines.append((lead + text).rstrip())
 
+    def lead(self) -> str:
+        width = 0
+        for k, indent in enumerate(self.indents):
+            width += len(indent)
+            if width >= INDENT:
+                return "".join(self.indents[: k + 1])[:INDENT]
+        return "".join(self.indents)
+
     def block(self, spaced: bool) -> None:
         self.line()
         self.blank = self.blank or spaced
@@ -177,26 +246,51 @@ class Writer:
         return self.lines
 
 
-def _laid_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table of (cell's lines, columns it spans), cells of a column aligned."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    widths: dict[int, int] = {}
+def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of (cell's lines, columns and rows it spans), cells of a column aligned; a cell keeps its columns in the rows below that it spans."""
+    placed: list[list[tuple[int, list[str], int]]] = []
+    taken: list[tuple[int, int, int]] = []  # first column, columns and rows left of cells from rows above
     for row in rows:
-        column = 0
-        for lines, span in row:
+        column, cells, held, after = 0, [], sorted(taken), []
+        for lines, span, down in row:
+            while held and held[0][0] < column + span:
+                first, width, left = held.pop(0)
+                column = max(column, first + width)
+                after.append((first, width, left - 1))
+            cells.append((column, lines, span))
+            if down > 1:
+                after.append((column, span, down - 1))
+            column += span
+        after += [(first, width, left - 1) for first, width, left in held]
+        taken = [x for x in after if x[2] > 0]
+        placed.append(cells)
+    placed = [cells for cells in placed if any(lines for _, lines, _ in cells)]
+    widths: dict[int, int] = {}
+    for cells in placed:
+        for column, lines, span in cells:
             width = max(map(len, lines), default=0)
             if span == 1 and width <= ALIGNED:
                 widths[column] = max(widths.get(column, 0), width)
-            column += span
+    used = sorted(c for c in widths if widths[c])
+    before = dict(zip(used, range(len(used)), strict=True))
+    starts = [0]
+    for c in used:
+        starts.append(starts[-1] + widths[c] + 2)
+
+    def place(column: int) -> int:
+        """Where a column's text begins: after all columns before it that have a width."""
+        return starts[before[column]] if column in before else starts[bisect_left(used, column)]
+
     out = []
-    for row in rows:
-        for k in range(max(len(lines) for lines, _ in row)):
-            parts, column = [], 0
-            for lines, span in row:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(width))
-                column += span
-            out.append("  ".join(parts).rstrip())
+    for cells in placed:
+        for k in range(max(len(lines) for _, lines, _ in cells)):
+            line, wide = [], 0
+            for column, lines, _ in cells:
+                if k < len(lines) and lines[k]:
+                    gap = min(max(place(column) - wide, 2 if wide else 0), GAP)
+                    line += [" " * gap, lines[k]]
+                    wide += gap + len(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -212,7 +306,7 @@ def _marker(item: Node, lists: list[list]) -> str:
 
 def render(root: Node) -> str:
     """All visible text, one block a line, with blank lines around spaced blocks. Works without recursion, however deep the tree."""
-    out = Writer()
+    out, sheet = Writer(), Sheet(root.attributes.get("style", ""))
     writers, tables, lists = [out], [], []
     todo: list = [(root, False, False, True)]
     while todo:
@@ -232,8 +326,8 @@ def render(root: Node) -> str:
                 w.marker = ""
             if tag in ("td", "th") and tables:
                 lines = writers.pop().done()
-                span = node.attributes.get("colspan", "1")
-                tables[-1][-1].append((lines, min(max(int(span), 1), 100) if re.fullmatch(r"\d{1,4}", span) else 1))
+                span = lambda name, most: min(max(int(n), 1), most) if re.fullmatch(r"\d{1,9}", n := node.attributes.get(name, "1").strip()) else 1  # noqa: B023, E731
+                tables[-1][-1].append((lines, span("colspan", COLUMNS), span("rowspan", ROWS)))
                 continue
             if tag == "table":
                 for line in _laid_out(tables.pop()):
@@ -242,7 +336,7 @@ def render(root: Node) -> str:
             if tag in SPACED or tag in LINED:
                 w.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
             continue
-        style = _style(node)
+        style = sheet.of(node) if node is not root else {}
         if tag in HIDDEN or "hidden" in node.attributes or style.get("display") == "none" or tag == "dialog" and "open" not in node.attributes:
             continue
         if "visibility" in style:
@@ -295,8 +389,9 @@ def html_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """``pages`` with the visible text of each whole page.
 
     Null and empty pages have the empty text. Pages are rendered one by one, repeated rows alike; no shuffle. What hides: the
-    elements of HIDDEN, the hidden attribute, display:none and visibility:hidden in style attributes (a child may be visible
-    again), closed details but for their summary, and dialogs that are not open. A column named as the new one is replaced.
+    elements of HIDDEN, the hidden attribute, display:none and visibility:hidden in style attributes and in the page's own
+    sheets (rules for one element; a child of an invisible one may be visible again), closed details but for their summary,
+    and dialogs that are not open. Indents end at INDENT columns. A column named as the new one is replaced.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,4 +401,4 @@ def html_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], [*kept, text])
 
     out = pages.drop(text)
-    return pages.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(text, T.StringType())]))
+    return pages.mapInArrow(tidy(run), T.StructType([*out.schema.fields, T.StructField(text, T.StringType())]))

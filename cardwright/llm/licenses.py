@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .hashing import ALNUM_LOWER, utf8
+from .shared import tidy
 
 #: Phrases that count as base evidence, and their labels. Fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -105,9 +106,11 @@ def scan_text(raw: bytes) -> dict:
     words = raw.translate(ALNUM_LOWER).split()
     plain = " " + b" ".join(words).decode("latin-1") + " "
     starts, base, labels, expressions, kinds, greatest = [], set(), set(), [], [0, 0, 0], -1
+    at, spaces = 0, 0  # spaces counted so far: hits come in the order of their ends, so each stretch is counted once
     for end, (length, phrase) in automaton().iter(plain):
         if phrase in BASE:
-            starts.append(plain.count(" ", 0, end - length + 2) - 1)
+            spaces, at = spaces + plain.count(" ", at, end), end
+            starts.append(spaces - 1 - phrase.count(" "))
             base.add(BASE[phrase])
         if phrase in NOTICES:
             labels.add(NOTICES[phrase])
@@ -150,4 +153,4 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *_FIELDS])
 
     out = docs.drop(*_FIELDS)
-    return out.mapInArrow(scan, T.StructType([*out.schema.fields, *from_arrow_schema(pa.schema(_FIELDS)).fields]))
+    return out.mapInArrow(tidy(scan), T.StructType([*out.schema.fields, *from_arrow_schema(pa.schema(_FIELDS)).fields]))

@@ -18,8 +18,13 @@ def _trimmed(line: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits of a trimmed line, from two seeds of a 64-bit hash."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    """128 bits of a trimmed line: 64-bit hashes of it and of it behind a prefix, which shifts its blocks, so neither follows from the other."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.concat(F.lit("line:"), line)).alias("b"))
+
+
+def host(url: Column) -> Column:
+    """The site of an address: the lower-cased host without a leading "www."; what is no address stays as it is."""
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")).otherwise(url)
 
 
 def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
@@ -27,10 +32,10 @@ def boilerplate(docs: DataFrame, site: str = "source", text: str = "text", max_r
 
     A line counts once a page, trimmed of spaces, tabs and carriage returns; blank lines never count. A line must be on
     ``min_pages`` pages at least, so small sites lose nothing by chance. Each row is a page, repeated rows too; null is a
-    site of its own; pages without text count for the site's total. A site's list holds fewer keys than its mean number
+    site of its own; pages without text count for the site's total. Where the site is an address, its host counts. A site's list holds fewer keys than its mean number
     of lines a page divided by ``max_ratio``, so collecting it is bounded.
     """
-    pages = docs.select(F.col(site).alias("site"), F.col(text).alias("text"))
+    pages = docs.select(host(F.col(site).cast("string")).alias("site"), F.col(text).alias("text"))
     lines = pages.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _trimmed))).alias("line")).where("line != ''")
     common = lines.groupBy("site", _key(F.col("line")).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = pages.groupBy("site").agg(F.count("*").alias("total"))
@@ -50,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", text: str = "text",
     small = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_LINES
     key, bad = free_name(docs, "boilerplate_site"), free_name(docs, "boilerplate_lines")
     found = found.select(F.col("site").alias(key), F.col("lines").alias(bad))
-    joined = docs.join(F.broadcast(found) if small else found, docs[site].eqNullSafe(found[key]), "left")
+    joined = docs.join(F.broadcast(found) if small else found, host(docs[site].cast("string")).eqNullSafe(found[key]), "left")
     lines = F.split(F.col(text), "\n")
     good = lambda line: (_trimmed(line) == "") | ~F.array_contains(F.col(bad), _key(_trimmed(line)))
     kept = F.when(F.col(bad).isNotNull(), F.filter(lines, good)).otherwise(lines)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .hashing import NOT_SPACE, SMALL_CHUNK, Words, chunks, mix, utf8
-from .shared import rows_at_once, written
+from .shared import ROWS_AT_ONCE, rows_at_once, tables_dropped, tidy, written
 
 ORDERS = 3
 #: Shingles seen this often within one batch of documents are counted across batches.
@@ -31,9 +31,11 @@ LOCAL_COUNT = 2
 #: The most frequent of those that the orders know; all others are of the lowest class. This bounds a broadcast, 16 bytes each; any order is correct.
 KNOWN_SHINGLES = 150_000
 #: Shingles counted, and postings sorted, by a task at a time.
-COUNTED_AT_ONCE, POSTED_AT_ONCE = 3_000_000, 600_000
-#: Rows that a task exchanges with Python at a time while this operator writes its tables.
-ROWS_AT_ONCE = 1_000
+COUNTED_AT_ONCE, POSTED_AT_ONCE = 1_500_000, 400_000
+#: Postings of a bucket, about, which a task holds at a time; and of a partition of buckets.
+BUCKET, PARTITION = 250_000, 2_000_000
+#: A token with more postings than one in this many of all, and than so many, is dealt over several tasks: at most so many tokens.
+HOT_TOKENS, HOT = 20_000, 256
 #: Nodes of a token from which they are compared as a family, and nodes of a block then.
 FAMILY, BLOCK = 48, 384
 #: Ids up to which a list of candidate documents is broadcast; above, a shuffle join is used.
@@ -73,10 +75,22 @@ def each_set(column: pa.Array) -> Iterator[np.ndarray]:
                 yield sets.of(d)
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set."""
-    weights = mix(np.arange(1, len(tokens) + 1, dtype=np.uint64))
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(tokens * weights + np.uint64(7))) + np.uint64(len(tokens))])).view(np.int64)[0])
+_WEIGHTS = mix(np.arange(1, 4097, dtype=np.uint64))
+
+
+def _weights(n: int) -> np.ndarray:
+    return _WEIGHTS[:n] if n <= len(_WEIGHTS) else mix(np.arange(1, n + 1, dtype=np.uint64))
+
+
+def node_of(tokens: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """A signed 64-bit fingerprint of a set; its check instead, if several sets have that fingerprint."""
+    node = int(mix(np.array([np.bitwise_xor.reduce(mix(tokens * _weights(len(tokens)) + np.uint64(7))) + np.uint64(len(tokens))])).view(np.int64)[0])
+    return check_of(tokens) if node in clashing else node
+
+
+def check_of(tokens: np.ndarray) -> int:
+    """A second fingerprint, of other sums: sets with equal fingerprints and equal checks count as equal, 128 bits in all."""
+    return int(mix(np.array([np.add.reduce(mix((tokens ^ _SEEDS[0]) + _weights(len(tokens)))) + np.uint64(len(tokens))])).view(np.int64)[0])
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -107,7 +121,7 @@ class Order:
         return tokens[first[np.argsort(keys[first])]]
 
 
-_LIGHT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+_LIGHT = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("nodes", pa.binary()), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _LIVE = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 _CANDIDATES = pa.schema([("node", pa.int64()), *((f"p{k}", pa.list_(pa.int32())) for k in range(1, ORDERS)), ("tokens", pa.binary())])
@@ -119,7 +133,7 @@ def _columns(schema: pa.Schema, rows_: int, **known) -> pa.RecordBatch:
 
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, node, n) of documents, and rows (token, count) of shingles common within some thousand documents."""
+    """Rows (id, node, check, n) of documents, and rows (token, count) of shingles common within some thousand documents."""
     held, n_held = [], 0
 
     def common() -> pa.RecordBatch:
@@ -132,21 +146,22 @@ def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _columns(_LIGHT, int(often.sum()), token=tokens[at[often]].view(np.int64), count=counts[often])
 
     for batch in batches:
-        nodes, sizes = [], []
+        nodes, checks, sizes = [], [], []
         for tokens in each_set(batch.column(1)):
             nodes.append(node_of(tokens) if len(tokens) else None)
+            checks.append(check_of(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
             held.append(tokens)
             n_held += len(tokens)
             if n_held > COUNTED_AT_ONCE:
                 yield common()
                 n_held = 0
-        yield _columns(_LIGHT, len(nodes), id=batch.column(0), node=nodes, n=sizes)
+        yield _columns(_LIGHT, len(nodes), id=batch.column(0), node=nodes, check=checks, n=sizes)
     if n_held:
         yield common()
 
 
-def _postings(broadcast, buckets: int, percent: int):
+def _postings(broadcast, buckets: int, percent: int, clashing: frozenset[int]):
     """Prefix postings under the first order.
 
     Tokens that several nodes of a batch share are known to be live, so their postings are final; of each other token, and
@@ -176,7 +191,7 @@ def _postings(broadcast, buckets: int, percent: int):
 
         for batch in batches:
             for s in each_set(batch.column(0)):
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := node_of(s, clashing)) in seen:
                     continue
                 seen.add(node)
                 held.append((order.prefix(0, s, percent), node, len(s)))
@@ -191,14 +206,8 @@ def _postings(broadcast, buckets: int, percent: int):
     return post
 
 
-def _met(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of the tokens that came from several batches with different nodes."""
-    tokens, rows = [], []
-    for batch in batches:
-        tokens += [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("tokens")]
-        rows += [np.frombuffer(x.as_py(), np.int64) for x in batch.column("nodes")]
-    if not tokens:
-        return
+def _met(tokens: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+    """Postings of the tokens of a bucket that came from several batches with different nodes."""
     tokens, rows = np.concatenate(tokens), np.concatenate(rows).reshape(-1, 2)
     at = np.lexsort((rows[:, 0], tokens))
     tokens, rows = tokens[at], rows[at]
@@ -207,26 +216,34 @@ def _met(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = tokens[1:] == tokens[:-1]
     live = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     tokens, rows = tokens[live], rows[live]
-    yield _columns(_LIVE, len(tokens), token=tokens.view(np.int64), node=rows[:, 0], n=(rows[:, 1] >> 32).astype(np.int32), pos=(rows[:, 1] & 0xFFFFFFFF).astype(np.int32))
+    return _columns(_LIVE, len(tokens), token=tokens.view(np.int64), node=rows[:, 0], n=(rows[:, 1] >> 32).astype(np.int32), pos=(rows[:, 1] & 0xFFFFFFFF).astype(np.int32))
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Final postings as they are, and those of packed buckets that meet."""
-    packed = []
+    """Final postings as they are, and those of packed buckets that meet; rows come in the order of buckets, so one bucket is held at a time."""
+    bucket, tokens, rows = None, [], []
     for batch in batches:
         final = batch.column("bucket").is_null()
         yield pa.RecordBatch.from_arrays(batch.filter(final).select(_LIVE.names).columns, schema=_LIVE)
-        packed.append(batch.filter(pa.compute.invert(final)).select(["tokens", "nodes"]))
-    yield from _met(packed)
-
-
-def _candidates(broadcast, percent: int):
+        packed = batch.filter(pa.compute.invert(final))
+        for b, t, r in zip(packed.column("bucket").to_pylist(), packed.column("tokens"), packed.column("nodes"), strict=True):
+            if b != bucket and tokens:
+                yield _met(tokens, rows)
+                tokens, rows = [], []
+            bucket = b
+            tokens.append(np.frombuffer(t.as_py(), np.uint64))
+            rows.append(np.frombuffer(r.as_py(), np.int64))
+    if tokens:
+        yield _met(tokens, rows)
+
+
+def _candidates(broadcast, percent: int, clashing: frozenset[int]):
     """Of each text its node, its prefixes under the further orders (32 bits a token, which can only let more pairs through), and its set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = broadcast.value
         for batch in batches:
-            rows = [(node_of(s), [order.prefix(k, s, percent).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)], s.tobytes()) for s in each_set(batch.column(0)) if len(s)]
+            rows = [(node_of(s, clashing), [order.prefix(k, s, percent).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)], s.tobytes()) for s in each_set(batch.column(0)) if len(s)]
             prefixes = {f"p{k}": [r[1][k - 1] for r in rows] for k in range(1, ORDERS)}
             yield _columns(_CANDIDATES, len(rows), node=[r[0] for r in rows], tokens=[r[2] for r in rows], **prefixes)
 
@@ -332,10 +349,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows link when 100 * intersection >= ``percent`` * union of their sets; component_id is the smallest id reachable.
     Null, empty and blank texts have no shingles and are linked with nothing: component_id is their own id. Repeated rows
     are linked with each other. Extra columns of ``docs`` are ignored. Ids are integers; a null id counts as no id for
-    the smallest of a component. Sets are held as 64-bit hashes of their shingles and known by 64-bit fingerprints.
+    the smallest of a component. Sets are held as 64-bit hashes of their shingles and known by 64-bit fingerprints; where a
+    second fingerprint shows that different sets share one, they go by the second. An empty table gives no rows.
     """
-    with rows_at_once(docs.sparkSession, ROWS_AT_ONCE):
-        return _ngram_components(docs, id_col, text, percent)
+    with rows_at_once(docs.sparkSession, ROWS_AT_ONCE), tables_dropped(docs.sparkSession):
+        return written(_ngram_components(docs, id_col, text, percent), "components", keep=True)
 
 
 def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
@@ -343,16 +361,25 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     ddl = lambda schema: from_arrow_schema(schema)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     texts = rows.select("text")
-    light = written(rows.mapInArrow(_light, ddl(_LIGHT)), "light")
+    light = written(rows.mapInArrow(tidy(_light), ddl(_LIGHT)), "light")
     known = light.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN_SHINGLES).toArrow()
     order = spark.sparkContext.broadcast(Order(known["token"].to_numpy().view(np.uint64), known["count"].to_numpy()))
-    ids = light.where(F.col("token").isNull()).select("id", "node", "n")
-
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    posted = texts.mapInArrow(_postings(order, buckets, percent), ddl(_POSTINGS))
-    # one pass: final postings have no bucket and go through the same exchange, spread by token
-    spread = posted.repartition(buckets // 4, F.coalesce("bucket", F.xxhash64("token")))
-    live = written(spread.mapInArrow(_settled, ddl(_LIVE)), "live")
+    ids = light.where(F.col("token").isNull()).select("id", "node", "check", "n")
+    # different sets with one fingerprint: of n sets about n * n / 2 ** 65, so hardly ever any
+    twice = ids.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").select("node")
+    clashing = frozenset(r["node"] for r in twice.collect())
+    if clashing:
+        ids = ids.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("check")).otherwise(F.col("node")))
+    ids = ids.drop("check")
+
+    # buckets and partitions by the number of postings, each about 1 / 5 of a set's shingles
+    partitions, total = int(spark.conf.get("spark.sql.shuffle.partitions")), ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    postings = total - percent * total // 100
+    buckets, partitions = max(4 * partitions, postings // BUCKET), max(partitions, postings // PARTITION)
+    posted = texts.mapInArrow(tidy(_postings(order, buckets, percent, clashing)), ddl(_POSTINGS))
+    # one pass: final postings have no bucket and go through the same exchange, spread by token and node
+    spread = posted.repartition(partitions, F.coalesce("bucket", F.xxhash64("token", "node"))).sortWithinPartitions("bucket")
+    live = written(spread.mapInArrow(tidy(_settled), ddl(_LIVE)), "live")
 
     def can(n: Column, pos: Column, m: Column, at: Column) -> Column:
         """Whether sets of n and m tokens that first meet at these places of their prefixes can still reach the threshold."""
@@ -368,7 +395,7 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
         chosen = written(ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("chosen")), "chosen")
         wanted = written(chosen.select("chosen").distinct(), "wanted")
         of_wanted = rows.join(few(wanted), rows["id"].eqNullSafe(F.col("chosen")), "left_semi").select("text")
-        found = written(of_wanted.mapInArrow(_candidates(order, percent), ddl(_CANDIDATES)).join(few(chosen.select("node")), "node", "left_semi"), "sets")
+        found = written(of_wanted.mapInArrow(tidy(_candidates(order, percent, clashing)), ddl(_CANDIDATES)).join(few(chosen.select("node")), "node", "left_semi"), "sets")
         n = found.agg(F.count("*").alias("all"), F.countDistinct("node").alias("distinct")).first()
         # an id that several texts have gives more rows than nodes
         return found if n["all"] == n["distinct"] else written(found.dropDuplicates(["node"]), "sets")
@@ -383,25 +410,34 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
         shared = written(shared.select("a", "b"), "shared")
         whole = sets.join(few(written(ends(shared), "ends")), "node", "left_semi")
         whole = shared.join(side(whole, "b", "tokens"), "b").join(side(whole, "a", "tokens"), "a")
-        return written(whole.mapInArrow(_linked(percent), ddl(_PAIRS)), "links")
+        return written(whole.mapInArrow(tidy(_linked(percent)), ddl(_PAIRS)), "links")
 
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ordered = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     # each token's nodes against one of them
-    centre = live.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("c"))
-    stars = live.join(centre, "token").where((F.col("node") != F.col("c.node")) & can(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+    centre = written(live.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("c"), F.count("*").alias("nodes")), "centres")
+    most = max(HOT, centre.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"] // HOT_TOKENS)
+    hot = F.broadcast(written(centre.where(F.col("nodes") > most).select("token", F.ceil(F.col("nodes") / most).cast("int").alias("parts")), "hot"))
+
+    def by_token(posts: DataFrame, per_token: DataFrame) -> DataFrame:
+        """Join postings with a table that has one row a token; a hot token's postings are dealt over several parts, to each of which its row is copied."""
+        dealt = posts.join(hot, "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        copied = per_token.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return dealt.join(copied, ["token", "part"]).drop("part")
+
+    stars = by_token(live, centre.select("token", "c")).where((F.col("node") != F.col("c.node")) & can(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
     stars = written(ordered(stars, "node", "c.node"), "pairs")
     sets = candidate_sets(ends(stars))
     links = verified(stars, sets)
     comps = components(links)
     placed = live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("nodes")).where("x != y").select("token", "nodes")
-    mixed = written(placed.join(apart, "token"), "mixed")
+    mixed = written(by_token(placed, apart), "mixed")
 
     # families of the tokens that very many nodes share
     many, more = mixed.where(F.col("nodes") > FAMILY), []
     centre = many.groupBy("token").agg(F.min("node").alias("a"))
-    families = written(many.join(centre, "token").select("a", F.col("node").alias("b")).distinct(), "families")
+    families = written(by_token(many, centre).select("a", F.col("node").alias("b")).distinct(), "families")
     if families.limit(1).count():
         sets = sets.unionByName(candidate_sets(ends(families).join(sets, "node", "left_anti")))
         member = components(families).withColumnRenamed("comp", "family")

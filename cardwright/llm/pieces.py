@@ -8,22 +8,23 @@ two neighbouring pieces stay apart when their joint text is merged by rank; a te
 the library's result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import Memo, chunks, mix, utf8
+from .shared import tidy
 
 SPACE = "▁"
 #: Words a worker remembers before it starts anew, and bytes of text worked on at a time.
-MEMO, CHUNK = 1_000_000, 1 << 20
+MEMO, CHUNK = 800_000, 1 << 20
 #: Ids decoded at a time.
-IDS = 1 << 19
+IDS = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -107,7 +108,7 @@ class Pieces(Decoder):
                     keys.setdefault(key, -1)
         self.keys = np.array(sorted(keys), np.uint64)
         self.id_of = np.array([keys[k] for k in self.keys.tolist()], np.int32)
-        self.pairs, self.fits = Memo(21), np.zeros(1 << 14, dtype=bool)
+        self.pairs, self.fits = Memo(), np.zeros(1 << 14, dtype=bool)
         self._clear()
 
     def _clear(self) -> None:
@@ -137,7 +138,7 @@ class Pieces(Decoder):
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             if self.pairs.n > MEMO:
-                self.pairs = Memo(21)
+                self.pairs = Memo()
                 return self._follows(last, piece)
             new, at = np.unique(key[missing], return_index=True)
             at, n = rest[missing[at]], self.pairs.n
@@ -235,6 +236,7 @@ class Pieces(Decoder):
         total = np.concatenate([[0], ends])
         return ids, np.diff(total[np.searchsorted(starts, first)])
 
+
 @cache
 def decoder(path: str) -> Decoder:
     return Decoder(path)
@@ -245,6 +247,35 @@ def pieces(path: str, unigram: bool = False) -> Pieces:
     return Pieces(path, unigram)
 
 
+def _encoded(model: Pieces, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, row after the last, their lists of ids), about CHUNK bytes of text at a time."""
+    data, offsets = utf8(column)
+    for lo, hi in chunks(offsets, CHUNK):
+        found, counts = model.encode([data[a:b].tobytes().decode() for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)])
+        yield lo, hi, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found, pa.int32()), mask=column.slice(lo, hi - lo).is_null())
+
+
+def _decoded(model: Decoder, column: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, row after the last, their texts), about IDS ids at a time."""
+    values = column.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for lo, hi in chunks(at, IDS):
+        missing = column.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
+        yield lo, hi, pa.array(model.decode(values[at[lo] : at[hi]], counts[lo:hi]), pa.string(), mask=missing)
+
+
+def _with(batch: pa.RecordBatch, lo: int, hi: int, **new: pa.Array) -> pa.RecordBatch:
+    kept = [c for c in batch.schema.names if c not in new]
+    return pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), *new.values()], [*kept, *new])
+
+
+def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], **new: T.DataType) -> DataFrame:
+    """``df`` with the columns that ``run`` puts after the others."""
+    out = df.drop(*new)
+    return df.mapInArrow(tidy(run), T.StructType([*out.schema.fields, *(T.StructField(k, t) for k, t in new.items())]))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", unigram: bool = False) -> DataFrame:
     """``docs`` with the piece ids of each whole text (array<int>), without begin or end ids.
 
@@ -255,17 +286,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", uni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, unigram)
         for batch in batches:
-            column = batch.column(text)
-            data, offsets = utf8(column)
-            kept = [c for c in batch.schema.names if c != ids]
-            for lo, hi in chunks(offsets, CHUNK):
-                found, counts = model.encode([data[a:b].tobytes().decode() for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)])
-                missing = column.slice(lo, hi - lo).is_null()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found, pa.int32()), mask=missing)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), lists], [*kept, ids])
+            for lo, hi, lists in _encoded(model, batch.column(text)):
+                yield _with(batch, lo, hi, **{ids: lists})
 
-    out = docs.drop(ids)
-    return docs.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return _mapped(docs, run, **{ids: T.ArrayType(T.IntegerType())})
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -274,21 +298,24 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = decoder(path)
         for batch in batches:
-            kept = [c for c in batch.schema.names if c != text]
-            column = batch.column(ids)
-            values = column.flatten().fill_null(0).to_numpy(zero_copy_only=False)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at = np.concatenate([[0], np.cumsum(counts)])
-            for lo, hi in chunks(at, IDS):
-                missing = column.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
-                texts = pa.array(model.decode(values[at[lo] : at[hi]], counts[lo:hi]), pa.string(), mask=missing)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), texts], [*kept, text])
-
-    out = rows.drop(text)
-    return rows.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(text, T.StringType())]))
-
-
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``encode`` and then ``decode`` of its ids, with round_trip: whether the text came back as it was (null and U+2581 aside, it does)."""
-    found = decode(encode(docs, path, text), path)
-    return found.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col(text)))
+            for lo, hi, texts in _decoded(model, batch.column(ids)):
+                yield _with(batch, lo, hi, **{text: texts})
+
+    return _mapped(rows, run, **{text: T.StringType()})
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: bool = True) -> DataFrame:
+    """``encode``, and ``decode`` of its ids in the same pass: ids, decoded and round_trip, whether the text came back as it was (U+2581 aside, it does; null does).
+
+    Without ``keep``, the decoded texts stay in the tasks. Columns named as the new ones are replaced.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for batch in batches:
+            for lo, hi, lists in _encoded(model, batch.column(text)):
+                back = pa.concat_arrays([pa.array([], pa.string()), *(x for _, _, x in _decoded(model, lists))])
+                same = pa.compute.equal(back, batch.column(text).slice(lo, hi - lo).cast(pa.string()))
+                yield _with(batch, lo, hi, ids=lists, **({"decoded": back} if keep else {}), round_trip=pa.compute.fill_null(same, True))
+
+    return _mapped(docs, run, ids=T.ArrayType(T.IntegerType()), **({"decoded": T.StringType()} if keep else {}), round_trip=T.BooleanType())

@@ -13,13 +13,14 @@ from .licenses import license_scan
 from .line_dedup import drop_boilerplate
 from .ngram_join import ngram_components
 from .pieces import round_trip
-from .shared import rows_at_once, shared_dir, written
+from .shared import rows_at_once, shared_dir, small_batches, written
 from .token_shards import document_digests, write_shards
 from .toxicity import held_out, score, train
 from .transducer import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,7 +72,7 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
     return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 

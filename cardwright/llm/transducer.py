@@ -6,9 +6,12 @@ still be open, the node of the token trie reached from there, the token that end
 A token may follow another iff no merge crosses their border before both are complete; so of the tokens that could end at
 a place exactly one fits, and states and transitions are deterministic. Transitions are compiled when first needed.
 
-Texts run in lockstep: the marked bytes of a batch are cut into equal chunks whatever they hold. From its first word end on
-a chunk does not depend on the state it starts in, so its map of states is constant after one pass over all chunks at
-once; a scan then composes the maps, giving each chunk its starting state, and the chunks' heads run from there.
+Texts run in lockstep: the marked bytes of a batch are cut into equal chunks whatever they hold, and each chunk is a map from
+the state it starts in to the state it ends in. After a word end in it the map is constant. The map of a chunk without one
+is found for the states that the chunk before can end in, all chunks at once, until no new state turns up; those are few, as
+different beginnings soon lead to the same state. The maps are composed by doubling (a parallel prefix scan), which gives
+each chunk the state that it starts in; then the chunks' heads run from there, all at once. A single word as long as many
+chunks is counted like that too.
 """
 
 import json
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import chunks, utf8
+from .shared import tidy
 
-#: Symbols a chunk holds, and characters of text taken at a time.
-STEPS, BATCH = 512, 1 << 22
+#: Symbols a chunk holds, and bytes of text taken at a time.
+STEPS, BATCH = 512, 1 << 20
 #: States after which a worker compiles anew; bounds its memory.
-MAX_STATES = 300_000
+MAX_STATES = 150_000
 #: Transition values hold the next state above these bits and the change of the count, plus OFFSET, below.
 _SHIFT, OFFSET = 6, 32
 SPACE, LETTER, NUMBER, OTHER, ODD, UNKNOWN = range(6)
@@ -132,7 +136,7 @@ class Transducer:
         """Whether b may follow a: their joint text is encoded as the two."""
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 4_000_000:
+            if len(self._fits) > 500_000:
                 self._fits.clear()
             known = self._fits[a, b] = self._first_crossing(a, b) is None
         return known
@@ -188,6 +192,63 @@ class Transducer:
             value = self.table[state, column]
         return value
 
+    def _run(self, by_step: np.ndarray, inside: np.ndarray, lane: np.ndarray, state: np.ndarray, upto: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """The states after the first ``upto`` symbols of chunks ``lane`` from ``state``; with ``out``, the changes are noted there."""
+        state, order = state.copy(), np.argsort(-upto, kind="stable")
+        longest = upto[order]
+        for t in range(int(longest[0]) if len(longest) else 0):
+            run = order[: np.searchsorted(-longest, -t)]
+            run = run[inside[t, lane[run]]]
+            if not len(run):
+                continue
+            value = self._step(state[run], by_step[t, lane[run]])
+            state[run] = value >> _SHIFT
+            if out is not None:
+                out[t, lane[run]] = (value & (1 << _SHIFT) - 1) - OFFSET
+        return state
+
+    def _maps(self, by_step: np.ndarray, inside: np.ndarray, has_end: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, begin, end): chunk k maps state begin[i] to end[i] for i from first[k] to first[k + 1]; chunks with a word end have one entry, whatever they start in."""
+        n = len(has_end)
+        lane, begin, end = np.arange(n)[has_end], np.zeros(int(has_end.sum()), np.int64), last[has_end].astype(np.int64)
+        known = np.zeros(0, np.int64)
+        # a chunk without word end is tried from the start state and from all states that the chunk before may end in
+        new_lane = np.flatnonzero(~has_end)
+        new_state = np.zeros(len(new_lane), np.int64)
+        after = np.flatnonzero(~has_end[1:] & has_end[:-1]) + 1
+        new_lane, new_state = np.append(new_lane, after), np.append(new_state, last[after - 1])
+        while len(new_lane):
+            new = np.setdiff1d(new_lane << 32 | new_state, known)
+            known = np.union1d(known, new)
+            new_lane, new_state = new >> 32, new & 0xFFFFFFFF
+            ends = self._run(by_step, inside, new_lane, new_state, np.full(len(new_lane), STEPS))
+            lane, begin, end = np.append(lane, new_lane), np.append(begin, new_state), np.append(end, ends)
+            onward = (new_lane + 1 < n) & ~has_end[np.minimum(new_lane + 1, n - 1)]
+            new_lane, new_state = new_lane[onward] + 1, ends[onward]
+            fresh = ~np.isin(new_lane << 32 | new_state, known)
+            new_lane, new_state = new_lane[fresh], new_state[fresh]
+        order = np.lexsort((begin, lane))
+        return np.searchsorted(lane[order], np.arange(n + 1)), begin[order], end[order]
+
+    def _starts(self, first: np.ndarray, begin: np.ndarray, end: np.ndarray, has_end: np.ndarray) -> np.ndarray:
+        """The state that each chunk starts in: the chunks' maps composed from the left by doubling."""
+        n, most = len(has_end), int(np.diff(first).max())
+        lane = np.repeat(np.arange(n), np.diff(first))
+        # each entry's place among those of the next chunk
+        after = np.minimum(lane + 1, n - 1)
+        to = np.zeros(len(lane), np.int64)
+        open_next = ~has_end[after] & (lane + 1 < n)
+        to[open_next] = np.searchsorted(lane << 32 | begin, after[open_next] << 32 | end[open_next]) - first[after[open_next]]
+        composed = np.zeros((n, most), np.int64)
+        composed[lane, np.arange(len(lane)) - first[lane]] = to
+        step = 1
+        while step < n:
+            composed[step:] = np.take_along_axis(composed[step:], composed[:-step].copy(), 1)
+            step *= 2
+        # the first chunk starts in its entry for state 0, which is its first
+        into = np.concatenate([[0], composed[:-1, 0]])
+        return np.concatenate([[0], end[first[:-1] + into][:-1]])
+
     def emitted(self, symbols: np.ndarray) -> np.ndarray:
         """The change of the token count at each symbol; the first one starts a word."""
         if len(self.states) > MAX_STATES:
@@ -205,7 +266,6 @@ class Transducer:
         inside, end = inside.reshape(lanes, STEPS).T, end.reshape(lanes, STEPS).T
         has_end = end.any(0)
         head = np.where(has_end, end.argmax(0) + 1, STEPS)
-        head[0] = 0
         out = np.zeros((STEPS, lanes), np.int8)
         # the constant part of every chunk's map: from its first word end on
         last = np.zeros(lanes, np.int64)
@@ -215,24 +275,11 @@ class Transducer:
                 value = self._step(last[run], by_step[t, run])
                 last[run] = value >> _SHIFT
                 out[t, run] = (value & (1 << _SHIFT) - 1) - OFFSET
-        # compose the maps: a chunk starts in the state in which the one before ends
-        known = has_end.copy()
-        known[0] = True
-        waiting = head > 0
-        while waiting.any():
-            ready = np.flatnonzero(waiting[1:] & known[:-1]) + 1
-            state = last[ready - 1]
-            for t in range(int(head[ready].max())):
-                run = np.flatnonzero((head[ready] > t) & inside[t, ready])
-                if not len(run):
-                    continue
-                value = self._step(state[run], by_step[t, ready[run]])
-                state[run] = value >> _SHIFT
-                out[t, ready[run]] = (value & (1 << _SHIFT) - 1) - OFFSET
-            through = ready[~has_end[ready]]
-            last[through] = state[~has_end[ready]]
-            known[ready] = True
-            waiting[ready] = False
+        if has_end.all():
+            starts = np.concatenate([[0], last[:-1]])
+        else:
+            starts = self._starts(*self._maps(by_step, inside, has_end, last), has_end)
+        self._run(by_step, inside, np.arange(lanes), starts, head, out)
         return out.T.reshape(-1)[:n]
 
     def _class(self, c: str) -> int:
@@ -349,4 +396,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 20
             kept = [c for c in batch.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(offsets), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], [*kept, "n_bytes", "n_tokens"])
 
-    return out.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return out.mapInArrow(tidy(count), schema).withColumn("over_limit", F.col("n_tokens") > limit)
