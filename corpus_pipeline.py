@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from cardwright.llm import line_dedup, ngram_join, pieces, toxicity
 from cardwright.llm.decontaminate import decontaminate as without_benchmark
-from cardwright.llm.shared import rows_at_once, written
-
-#: Rows that a stage's tasks exchange with Python at a time: whole texts go both ways, and an executor holds several such batches.
-ROWS_AT_ONCE = 1_000
+from cardwright.llm.shared import drop_table, shared_dir, small_batches, tables_dropped, written
 
 #: No single SQL statement expresses the trained model and the encoder.
 ORACLE_SQL = None
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)  # whole texts go to Python and back, and an executor holds several batches of them
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,8 +29,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
     score = "toxicity_score"
     scored = toxicity.score(docs, toxicity.train(docs, labels), name=score)
-    with rows_at_once(spark, ROWS_AT_ONCE):
-        return written(scored.where(F.col(score) < 0.5).drop(score), "not-toxic")
+    return scored.where(F.col(score) < 0.5).select(docs.columns)
 
 
 def boilerplate_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,23 +57,30 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items, without the passages that some still share with one."""
-    with rows_at_once(spark, ROWS_AT_ONCE):
-        return written(_recounted(without_benchmark(docs, _table(spark, sf_dir, "benchmark"))), "without-benchmark")
+    return _recounted(without_benchmark(docs, _table(spark, sf_dir, "benchmark"))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether they decode to its text."""
-    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = found.select("doc_id", "lang", "source", "n_chars", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "round_trip")
-    with rows_at_once(spark, ROWS_AT_ONCE):
-        return written(found, "encoded")
+    """Piece ids of every document beside its other columns, their number, and whether they decode to its text. Null texts have null ids, 0 of them;
+    columns named ids, n_ids or round_trip are replaced; repeated rows are encoded alike."""
+    small_batches(spark)
+    found = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=False)
+    return found.withColumn("n_ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long")).drop("text")
 
 
 STAGES = [("toxicity", toxic_out), ("line_dedup", boilerplate_out), ("ngram_join", near_copies_out), ("decontamination", benchmark_out), ("sentencepiece", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    """All stages, each written once; a stage's input and own tables are deleted when its result is there."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_dir(spark, name)
+        with tables_dropped(spark):
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before:
+            drop_table(spark, before)
+        before = path
     return docs
