@@ -46,12 +46,14 @@ def parse_unit(c: Column | str) -> Column:
     u = F.regexp_replace(F.lower(trim_all(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))), r"\s+", "")
     for pattern, to in UNIT_REWRITES:
         u = F.regexp_replace(u, pattern, to)
-    power = lambda token: F.when(F.contains(token, F.lit("^")), F.regexp_extract(token, r"\^\(?([+-]?\d*\.?\d+)\)?$", 1)).otherwise("1").try_cast("double")
-    base = lambda token: F.regexp_extract(token, r"^([^^]*)", 1)
+    # an exponent may have exponents itself: all are multiplied
+    powers = lambda token: F.regexp_extract(token, r"((?:\^-?\d+(?:\.\d+)?)*)$", 1)
+    base = lambda token: F.regexp_replace(token, r"(?:\^-?\d+(?:\.\d+)?)*$", "")
+    power = lambda token: F.aggregate(F.filter(F.split(powers(token), r"\^"), lambda x: x != ""), F.lit(1.0), lambda a, x: a * x.cast("double"))
 
     def one(token: Column, sign: Column) -> Column:
         b, e = base(token), power(token) * sign
-        known = F.coalesce(*(F.when(b.isin(*names), F.lit(k)) for k, names in BASE_UNITS.items()), F.when(b.isin("1", ""), F.lit("")))
+        known = F.coalesce(*(F.when(b.isin(*names), F.lit(k)) for k, names in BASE_UNITS.items()), F.when(b == "1", F.lit("")))
         return F.when(known.isNotNull() & e.isNotNull(), F.struct(*(F.when(known == k, e).otherwise(0.0).alias(k) for k in "MVTN")))
 
     factors = F.flatten(F.transform(F.split(u, "/"), lambda part, i: F.transform(F.split(part, r"\*"), lambda token: one(token, F.when(i == 0, 1.0).otherwise(-1.0)))))

@@ -10,14 +10,39 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import hits, round_half_up
 
-#: keyword:weight by model type, in the order in which ties are decided. Fixed values.
-RULES_TEXT = {
-    "chemostat": "chemostat:3, continuous culture:3, cstbr:3, dilution rate:3, washout:2, wash-out:2, monod:2, sin:1, s_in:1, influent:2, effluent:2, steady state:1, continuous stirred tank bioreactor:3, continuous fermentation:2, feed concentration:1, specific growth rate:1, biomass washout:3, dilution:1",
-    "batch_reactor": "batch reactor:3, batch culture:3, batch fermentation:3, batch process:2, closed system:2, no inflow:2, no outflow:2, initial concentration:2, initial biomass:2, substrate depletion:2, inoculum:1, inoculation:1, batch growth:2",
-    "fed_batch": "fed-batch:3, fed batch:3, feeding strategy:3, feed rate:2, feed flow:2, volume change:2, dv/dt:3, variable volume:3, semi-batch:2, exponential feed:3, pulse feed:2, substrate feeding:2, intermittent feeding:2, bolus:2",
-    "cstr": "cstr:3, continuously stirred tank reactor:3, continuous stirred tank reactor:3, conversion:1, selectivity:1, damköhler:3, damkohler:3, activation energy:2, arrhenius:3, heat of reaction:2, exothermic:2, endothermic:2, rate constant:1, pre-exponential:2, residence time:2, elementary reaction:2, rate law:1, chemical reactor:2",
-    "gas_liquid_transfer": "kla:3, k_la:3, oxygen transfer:3, dissolved oxygen:3, volumetric mass transfer:3, otr:2, our:2, aeration:2, saturation concentration:2, henry:2, sparger:2, gas-liquid:2, gas liquid:2, bubble column:2, airflow:1, oxygen demand:2, do probe:2, mass transfer coefficient:2",
-    "microalgae_pbr": "microalgae:3, photobioreactor:3, pbr:2, irradiance:3, par:2, photosynthesis:3, chlorophyll:2, light intensity:2, carbon fixation:2, co2 supply:1, biomass productivity:2, algae:2, cyanobacteria:2, photoinhibition:3, haldane:2, light saturation:3, growth medium:1, pruvost:3",
+#: (keyword, weight) by model type, in the order in which ties are decided. Fixed values.
+RULES: dict[str, list[tuple[str, int]]] = {
+    "chemostat": [
+        ("chemostat", 3), ("continuous culture", 3), ("cstbr", 3), ("dilution rate", 3), ("washout", 2), ("wash-out", 2), ("monod", 2), ("sin", 1),
+        ("s_in", 1), ("influent", 2), ("effluent", 2), ("steady state", 1), ("continuous stirred tank bioreactor", 3), ("continuous fermentation", 2),
+        ("feed concentration", 1), ("specific growth rate", 1), ("biomass washout", 3), ("dilution", 1),
+    ],
+    "batch_reactor": [
+        ("batch reactor", 3), ("batch culture", 3), ("batch fermentation", 3), ("batch process", 2), ("closed system", 2), ("no inflow", 2),
+        ("no outflow", 2), ("initial concentration", 2), ("initial biomass", 2), ("substrate depletion", 2), ("inoculum", 1), ("inoculation", 1),
+        ("batch growth", 2),
+    ],
+    "fed_batch": [
+        ("fed-batch", 3), ("fed batch", 3), ("feeding strategy", 3), ("feed rate", 2), ("feed flow", 2), ("volume change", 2), ("dv/dt", 3),
+        ("variable volume", 3), ("semi-batch", 2), ("exponential feed", 3), ("pulse feed", 2), ("substrate feeding", 2), ("intermittent feeding", 2),
+        ("bolus", 2),
+    ],
+    "cstr": [
+        ("cstr", 3), ("continuously stirred tank reactor", 3), ("continuous stirred tank reactor", 3), ("conversion", 1), ("selectivity", 1),
+        ("damköhler", 3), ("damkohler", 3), ("activation energy", 2), ("arrhenius", 3), ("heat of reaction", 2), ("exothermic", 2),
+        ("endothermic", 2), ("rate constant", 1), ("pre-exponential", 2), ("residence time", 2), ("elementary reaction", 2), ("rate law", 1),
+        ("chemical reactor", 2),
+    ],
+    "gas_liquid_transfer": [
+        ("kla", 3), ("k_la", 3), ("oxygen transfer", 3), ("dissolved oxygen", 3), ("volumetric mass transfer", 3), ("otr", 2), ("our", 2),
+        ("aeration", 2), ("saturation concentration", 2), ("henry", 2), ("sparger", 2), ("gas-liquid", 2), ("gas liquid", 2), ("bubble column", 2),
+        ("airflow", 1), ("oxygen demand", 2), ("do probe", 2), ("mass transfer coefficient", 2),
+    ],
+    "microalgae_pbr": [
+        ("microalgae", 3), ("photobioreactor", 3), ("pbr", 2), ("irradiance", 3), ("par", 2), ("photosynthesis", 3), ("chlorophyll", 2),
+        ("light intensity", 2), ("carbon fixation", 2), ("co2 supply", 1), ("biomass productivity", 2), ("algae", 2), ("cyanobacteria", 2),
+        ("photoinhibition", 3), ("haldane", 2), ("light saturation", 3), ("growth medium", 1), ("pruvost", 3),
+    ],
 }
 #: What hits in each group of fields are worth. Fixed values.
 FIELD_WEIGHTS = {"source_text": 1, "title_domain": 3, "names": 2, "symbols": 1}
@@ -56,8 +81,8 @@ TEMPLATES: dict[str, dict[str, list[tuple[str, str, bool, tuple[str, ...]]]]] =
 Rules = Mapping[str, Sequence[tuple[str, int]]]
 
 
-def rules() -> dict[str, list[tuple[str, int]]]:
-    return {kind: [(k, int(w)) for k, _, w in (item.rpartition(":") for item in text.split(", "))] for kind, text in RULES_TEXT.items()}
+def rules() -> Rules:
+    return RULES
 
 
 def _of_type(fields: Mapping[str, tuple[Column, int]], keywords: Sequence[tuple[str, int]]) -> tuple[Column, Column]:
@@ -78,7 +103,7 @@ def classify(docs: DataFrame, fields: Mapping[str, tuple[Column, int]], table: R
     the most points wins, the earlier in ``table`` of equal ones; without points it is ``fallback`` with confidence 0. The
     confidence is s / (s + 5), rounded to two digits. Matched keywords are those of all types, sorted.
     """
-    table = table or rules()
+    table = table or RULES
     folded = {name: (F.col(f"_{name}"), worth) for name, (_, worth) in fields.items()}
     out = docs.withColumns({f"_{name}": F.lower(F.coalesce(text, F.lit(""))) for name, (text, _) in fields.items()})
     found = {kind: _of_type(folded, keywords) for kind, keywords in table.items()}

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import csv_cell, slug
+from cardwright.functions.text import csv_cell, slug, trim_all
 from cardwright.operators import templates, units
 
 FILES = (
@@ -33,45 +33,100 @@ def _name(c: str) -> Column:
     return F.regexp_replace(F.col(c), r"[^A-Za-z0-9_]", "_")
 
 
-def scripts(cards: DataFrame, equations: DataFrame, variables: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(extraction_id, title, code, runnable): a Python script with the parameters, and the right-hand sides of what the templates match."""
+#: The line above and below a section's name, and the units of time looked for, in this order. Fixed values.
+DIVIDER = "# " + "=" * 76
+TIME_UNITS = {"h": r"/h(?![A-Za-z0-9_])|per.h(?![A-Za-z0-9_])|h\^\{?-1|1/h", "d": r"/d(?![A-Za-z0-9_])|per.d(?![A-Za-z0-9_])|/day", "min": r"/min(?![A-Za-z0-9_])|per.min", "s": r"/s(?![A-Za-z0-9_])|per.s(?![A-Za-z0-9_])|1/s"}
+_SECTION = rf"(?:^|\n){DIVIDER}\n# ([^\n]+)\n{DIVIDER}"
+
+
+def sections(code: Column | str) -> Column:
+    """Map from the names of a script's sections to their texts, trimmed; what comes before the first one is left out."""
+    c = F.col(code) if isinstance(code, str) else code
+    names = F.transform(F.regexp_extract_all(c, F.lit(_SECTION), F.lit(1)), trim_all)
+    bodies = F.transform(F.slice(F.split(c, _SECTION), 2, F.greatest(F.size(names), F.lit(1))), trim_all)
+    pairs = F.arrays_zip(names.alias("name"), bodies.alias("body"))
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["name"]))
+    return F.map_from_entries(last)
+
+
+def time_units(cards: DataFrame, variables: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(extraction_id, time_unit): the unit of time that a card's units divide by, h before d, min and s; h if none does."""
+    every = parameters.select(_KEY, "unit").unionByName(variables.select(_KEY, "unit")).where(F.col("unit").isNotNull())
+    found = every.groupBy(_KEY).agg(*(F.bool_or(F.regexp_like("unit", F.lit(p))).alias(f"_{u}") for u, p in TIME_UNITS.items()))
+    unit = F.coalesce(*(F.when(F.col(f"_{u}"), F.lit(u)) for u in TIME_UNITS), F.lit("h"))
+    return cards.select(_KEY).join(found, _KEY, "left").select(_KEY, unit.alias("time_unit"))
+
+
+def lhs_symbol(text: Column | str) -> Column:
+    """The name before a text's first = or :, or null."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.nullif(F.regexp_extract(c, r"^([A-Za-z_][A-Za-z0-9_]*)\s*[=:]", 1), F.lit(""))
+
+
+def initial_states(variables: DataFrame, raw: DataFrame | None) -> DataFrame:
+    """(extraction_id, ordinal, symbol, unit, start) of state variables; start is the number that the provider's document (extraction_id, raw) gives as
+    the initial condition of the first variable of that name, or null."""
+    states = variables.where("role = 'state'").select(_KEY, "ordinal", "symbol", "unit", F.lower("symbol").alias("s"))
+    if raw is None:
+        return states.withColumn("start", F.lit(None).cast("double")).drop("s")
+    said = raw.select(_KEY, F.posexplode(F.from_json(F.get_json_object("raw", "$.state_variables"), "array<struct<symbol:string,initial_condition:string>>")).alias("k", "x"))
+    first = said.groupBy(_KEY, F.lower(trim_all("x.symbol")).alias("s")).agg(F.min_by(F.struct("x.initial_condition"), "k").alias("first"))
+    return states.join(first, [_KEY, "s"], "left").withColumn("start", trim_all("first.initial_condition").try_cast("double")).drop("s", "first")
+
+
+def scripts(cards: DataFrame, equations: DataFrame, variables: DataFrame, parameters: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """(extraction_id, title, code, runnable): a Python script in sections: parameters, initial states, right-hand sides, solution and plot.
+
+    Right-hand sides come from the templates that match; equations without one, states without a derivative, and values that
+    the card lacks are marked TODO. Initial states are those of ``raw``, the provider's documents, where these give numbers.
+    """
     matched = templates.match(equations, variables, parameters)
     shown = F.regexp_replace(F.coalesce(F.when(F.trim("latex") != "", F.col("latex")), F.col("description"), F.lit("")), r"[\r\n]+", " ")
     todo = matched.where("kind = 'unmatched'").join(equations.select(_KEY, "ordinal", shown.alias("shown")), [_KEY, "ordinal"])
-    parts = {
-        "values": _lines(parameters, F.concat(_name("symbol"), F.lit(" = "), number_text(F.col("value")), F.lit("  # "), F.coalesce("unit", F.lit(""))), "values"),
-        "algebra": _lines(matched.where("kind = 'matched'"), F.concat(F.lit("    "), "code"), "algebra"),
-        "rates": _lines(matched.where("kind = 'derivative'"), F.concat(F.lit("    "), F.coalesce("code", F.concat(F.lit("d"), "state", F.lit("dt = 0.0  # TODO: missing symbols: "), F.array_join("missing", ", ")))), "rates"),
-        "todo": _lines(todo, F.concat(F.lit("    # TODO: "), "shown"), "todo"),
-        "states": matched.where("kind = 'derivative'").groupBy(_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "state"))), lambda x: x["state"]).alias("states")),
-    }
-    out = reduce(lambda a, b: a.join(b, _KEY, "left"), parts.values(), cards.select(_KEY, "title"))
-    states = F.coalesce("states", F.array().cast("array<string>"))
-    some = F.size(states) > 0
-    unpack = F.when(some, F.concat(F.lit("    "), F.array_join(states, ", "), F.lit(", = y"))).otherwise(F.lit("    # TODO: unpack the states of y"))
-    back = F.when(some, F.concat(F.lit("    return ["), F.array_join(F.transform(states, lambda s: F.concat(F.lit("d"), s, F.lit("dt"))), ", "), F.lit("]"))).otherwise(F.lit("    return [0.0 for _ in y]"))
+    left = F.concat(F.lit("    # TODO: "), "shown", F.coalesce(F.concat(F.lit("\n    "), F.when(~F.col("shown").rlike(r"d[A-Za-z]+\s*/\s*dt"), lhs_symbol("shown")), F.lit(" = 0.0")), F.lit("")))
+    states = initial_states(variables, raw)
+    name, unit = _name("symbol"), F.when(F.coalesce("unit", F.lit("")) != "", F.col("unit")).otherwise("no unit")
+    rates = matched.where("kind = 'derivative'").select(_KEY, F.lower("state").alias("s"), "code", "missing")
+    each = states.withColumn("s", F.lower("symbol")).join(rates, [_KEY, "s"], "left")
+    lacking = F.concat(F.lit("d"), name, F.lit("dt = 0.0  # TODO: "), F.when(F.size("missing") > 0, F.concat(F.lit("missing symbols: "), F.array_join("missing", ", "))).otherwise("no equation matched"))
+    values = F.concat(F.lit("    "), F.to_json(F.array("symbol")).substr(F.lit(2), F.length(F.to_json(F.array("symbol"))) - 2), F.lit(": "), number_text(F.col("value")), F.lit(",  # "), unit, F.when(F.col("value").isNull(), F.lit("; TODO: value")).otherwise(""))
+    parts = [
+        _lines(parameters, values, "values"), _lines(parameters, F.concat(F.lit("    "), name, F.lit(" = p["), F.to_json(F.array("symbol")).substr(F.lit(2), F.length(F.to_json(F.array("symbol"))) - 2), F.lit("]")), "taken"),
+        _lines(matched.where("kind = 'matched'"), F.concat(F.lit("    "), "code"), "algebra"), _lines(each, F.concat(F.lit("    "), F.coalesce("code", lacking)), "rates"), _lines(todo, left, "todo"),
+        _lines(states, F.concat(F.lit("    "), F.coalesce(number_text(F.col("start")), F.lit("None")), F.lit(",  # "), "symbol", F.lit(", "), unit), "starts"),
+        states.groupBy(_KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", name.alias("s")))), lambda x: x["s"]).alias("states")), time_units(cards, variables, parameters),
+    ]
+    out = reduce(lambda a, b: a.join(b, _KEY, "left"), parts, cards.select(_KEY, "title"))
+    names = F.coalesce("states", F.array().cast("array<string>"))
+    some = F.size(names) > 0
+    unpack = F.when(some, F.concat(F.lit("    "), F.array_join(names, ", "), F.lit(", = y"))).otherwise(F.lit("    # TODO: no state variables"))
+    back = F.concat(F.lit("    return ["), F.array_join(F.transform(names, lambda x: F.concat(F.lit("d"), x, F.lit("dt"))), ", "), F.lit("]"))
+    starts = F.regexp_replace(F.coalesce("starts", F.lit("")), "(?m)^    None,", "    0.0,  # TODO: set;")
+    head = lambda title: F.lit(f"\n{DIVIDER}\n# {title}\n{DIVIDER}\n")
+    plots = F.array_join(F.transform(names, lambda x, i: F.concat(F.lit("axes["), i.cast("string"), F.lit("].plot(solution.t, solution.y["), i.cast("string"), F.lit('], label="'), x, F.lit('")\naxes['), i.cast("string"), F.lit("].legend()"))), "\n")
     code = F.concat_ws(
-        "\n", F.concat(F.lit('"""Simulation of '), F.regexp_replace("title", '["\\\\]', "'"), F.lit('."""')), F.lit("import numpy as np\nfrom scipy.integrate import solve_ivp\n\n# Parameters"), "values",
-        F.lit("\n\ndef rhs(t, y):"), unpack, "algebra", "rates", "todo", back,
-        F.concat(F.lit("\n\ny0 = ["), F.array_join(F.transform(states, lambda s: F.concat(F.lit("1.0"))), ", "), F.lit("]  # TODO: initial states\nif y0:\n    solution = solve_ivp(rhs, (0.0, 50.0), y0, max_step=0.1)\n    print(solution.y[:, -1])\n")),
+        "\n", F.concat(F.lit('"""Simulation of '), F.regexp_replace("title", '["\\\\]', "'"), F.lit('."""')), head("IMPORTS"), F.lit("import matplotlib.pyplot as plt\nimport numpy as np\nfrom scipy.integrate import solve_ivp"),
+        head("PARAMETERS"), F.lit("params = {"), "values", F.lit("}"), head("INITIAL STATES"), F.lit("y0 = ["), F.nullif(starts, F.lit("")), F.lit("]"),
+        head("MODEL"), F.lit("def rhs(t, y, p):"), unpack, "taken", "algebra", "todo", "rates", back,
+        head("SIMULATION"), F.concat(F.lit("t_span = (0.0, 100.0)  # in "), "time_unit"), F.lit("t_eval = np.linspace(*t_span, 500)\nsolution = solve_ivp(rhs, t_span, y0, args=(params,), t_eval=t_eval, rtol=1e-6, atol=1e-9)\nif not solution.success:\n    raise RuntimeError(solution.message)"),
+        head("PLOT"), F.concat(F.lit("figure, axes = plt.subplots("), F.greatest(F.size(names), F.lit(1)).cast("string"), F.lit(", 1, sharex=True, squeeze=False)\naxes = axes[:, 0]")), F.nullif(plots, F.lit("")), F.concat(F.lit('axes[-1].set_xlabel("time in '), "time_unit", F.lit('")\nplt.savefig("simulation.png")\n')),
     )
     runnable = matched.groupBy(_KEY).agg(F.count_if("runnable").alias("runnable"))
     return out.select(_KEY, "title", code.alias("code")).join(runnable, _KEY, "left").na.fill(0, ["runnable"])
 
 
 def notebook(c: dict[str, Column]) -> Column:
-    """A notebook of 14 cells as JSON: texts first and last, code between."""
-    text = lambda source: F.struct(F.lit("markdown").alias("cell_type"), F.lit(None).cast("int").alias("execution_count"), F.lit(None).cast("array<string>").alias("outputs"), source.alias("source"))
-    code = lambda source: F.struct(F.lit("code").alias("cell_type"), F.lit(0).alias("execution_count"), F.array().cast("array<string>").alias("outputs"), source.alias("source"))
+    """A notebook of 14 cells as JSON: texts first and last, the script's sections between."""
     head = lambda title, body: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(body, F.lit("None.")))
-    cells = F.array(
-        text(F.concat(F.lit("# "), c["title"])), text(head("Equations", c["equations"])), text(head("Variables", c["variables"])), text(head("Parameters", c["parameters"])), text(head("Assumptions", c["assumptions"])),
-        text(head("Limitations", c["limitations"])), text(head("Missing information", c["missing"])),
-        code(F.lit("import numpy as np")), code(F.concat(F.lit("# Parameters\n"), F.coalesce(c["values"], F.lit("")))), code(c["code"]), code(F.lit("t_end = 50.0")), code(F.lit("# Solve\n# see the script above")), code(F.lit("# Plot")),
-        text(F.lit("## Notes\n\nMade from the card; check every value against the source.")),
-    )
-    shape = F.transform(cells, lambda x: F.when(x["cell_type"] == "code", F.to_json(F.struct(F.lit("code").alias("cell_type"), F.expr("map()").cast("map<string,string>").alias("metadata"), F.lit(None).cast("int").alias("execution_count"), F.array().cast("array<string>").alias("outputs"), x["source"].alias("source")), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(F.lit("markdown").alias("cell_type"), F.expr("map()").cast("map<string,string>").alias("metadata"), x["source"].alias("source")))))
-    return F.concat(F.lit('{"nbformat": 4, "nbformat_minor": 5, "metadata": {}, "cells": ['), F.array_join(shape, ", "), F.lit("]}"))
+    part = lambda name: F.coalesce(F.try_element_at(sections(c["code"]), F.lit(name)), F.lit(f"# TODO: {name.lower()}"))
+    texts = [F.concat(F.lit("# "), c["title"]), head("Equations", c["equations"]), head("Variables", c["variables"]), head("Parameters", c["parameters"]), head("Assumptions", c["assumptions"]), head("Limitations", c["limitations"]), head("Missing information", c["missing"])]
+    codes = [part(name) for name in ("IMPORTS", "PARAMETERS", "INITIAL STATES", "MODEL", "SIMULATION", "PLOT")]
+    end = F.lit("## Notes\n\nMade from the card; check every value against the source.")
+    none = F.expr("map()").cast("map<string,string>").alias("metadata")
+    text = lambda x: F.to_json(F.struct(F.lit("markdown").alias("cell_type"), none, x.alias("source")))
+    code = lambda x: F.to_json(F.struct(F.lit("code").alias("cell_type"), none, F.lit(None).cast("int").alias("execution_count"), F.array().cast("array<string>").alias("outputs"), x.alias("source")), {"ignoreNullFields": "false"})
+    cells = F.array(*map(text, texts), *map(code, codes), text(end))
+    return F.concat(F.lit('{"nbformat": 4, "nbformat_minor": 5, "metadata": {}, "cells": ['), F.array_join(cells, ", "), F.lit("]}"))
 
 
 def package(cards: DataFrame, equations: DataFrame, variables: DataFrame, parameters: DataFrame, assumptions: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
@@ -93,7 +148,7 @@ def package(cards: DataFrame, equations: DataFrame, variables: DataFrame, parame
         _lines(assumptions.where("kind = 'assumption'"), F.concat(F.lit("- "), "text"), "a_md"), _lines(assumptions.where("kind = 'limitation'"), F.concat(F.lit("- "), "text"), "l_md"), _lines(quotes, F.col("q"), "quotes"),
         _lines(parameters, F.concat(_name("symbol"), F.lit(" = "), number_text(F.col("value"))), "values"),
     ]
-    out = reduce(lambda a, b: a.join(b, _KEY, "left"), made, scripts(cards, equations, variables, parameters))
+    out = reduce(lambda a, b: a.join(b, _KEY, "left"), made, scripts(cards, equations, variables, parameters, reports.select(_KEY, "raw") if reports is not None and "raw" in reports.columns else None))
     checks = units.formal(equations, units.dimension_map(variables, parameters)).groupBy(_KEY).agg(F.to_json(F.array_sort(F.collect_list(F.struct("ordinal", "pattern", "parsed", "matches", "issues")))).alias("unit_report"))
     out = out.join(checks, _KEY, "left")
     if reports is not None:

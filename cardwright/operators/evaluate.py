@@ -1,13 +1,14 @@
 """Scores of extractions against golden answers."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import norm, round_half_up, squash
+from cardwright.functions.text import round_half_up, squash
+from cardwright.operators.extract import symbol_list
 
-#: Weights of the parts of the overall score, and spellings of equal units. Fixed values.
+#: Weights of the parts of the overall score, and pairs of unit spellings that count as equal. Fixed values.
 WEIGHTS = {"variables": 0.25, "parameters": 0.25, "equations": 0.25, "units": 0.15, "missing_info": 0.10}
-UNIT_SPELLINGS = (("1/h", "h-1", "/h", "perh", "h^-1"), ("g/l", "gl-1", "g*l-1", "kg/m3"), ("g/g", "gg-1", "dimensionless", "-"), ("mol/l", "moll-1", "m"), ("1/s", "s-1", "/s", "pers"), ("1/d", "d-1", "/d", "1/day"))
+UNIT_ALIASES = (("g/l", "g·l-1"), ("1/h", "h-1"), ("l/h", "l·h-1"), ("mol/l", "mol·l-1"), ("µmol/m2/s", "µmol·m-2·s-1"), ("umol/m2/s", "µmol·m-2·s-1"))
 
 
 def jaccard(found: Column, expected: Column) -> Column:
@@ -22,32 +23,84 @@ def recall(found: Column, expected: Column, least: float = 0.5) -> Column:
     return F.when(F.size(expected) == 0, 1.0).otherwise(F.size(hit).cast("double") / F.nullif(F.size(expected), F.lit(0)))
 
 
+def equation_symbols(involved: Column | str, plaintext: Column | str, label: Column | str) -> Column:
+    """The squashed symbols of an equation: those listed, as an array, a JSON array or with commas, and the names in its plain text and label."""
+    text = F.concat(*(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (plaintext, F.lit(" "), label)))
+    listed = F.coalesce(symbol_list(involved), F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(listed, tokens(text)), squash))
+
+
+def tokens(text: Column) -> Column:
+    """Names in a text: a letter, then letters, digits and underscores."""
+    return F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0))
+
+
 def plain_unit(c: Column | str) -> Column:
-    t = F.regexp_replace(norm(c), r"[·•\s^]", "")
-    return F.translate(F.regexp_replace(t, "[⁻¹]", "-1"), "²³", "23")
+    t = F.regexp_replace(squash(c), "[·•]", "")
+    t = F.regexp_replace(t, r"\^?(-?\d+)", "$1")
+    return F.lower(F.translate(F.regexp_replace(t, "[⁻¹]", "-1"), "²³", "23"))
 
 
 def same_unit(a: Column | str, b: Column | str) -> Column:
-    """Equal when spelt plainly, or both spelt in ways of one unit, also as part of a longer text."""
+    """Equal when spelt plainly, or when one contains a spelling and the other its alias. Null is the empty unit."""
     x, y = plain_unit(a), plain_unit(b)
-    group = lambda c, names: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(c, n))
     out = x == y
-    for names in UNIT_SPELLINGS:
-        out = out | (group(x, names) & group(y, names))
+    for p, q in UNIT_ALIASES:
+        out = out | (F.contains(x, F.lit(p)) & F.contains(y, F.lit(q))) | (F.contains(x, F.lit(q)) & F.contains(y, F.lit(p)))
     return F.coalesce(out, F.lit(False))
 
 
 def unit_scores(found: DataFrame, expected: DataFrame, key: str = "fixture") -> DataFrame:
     """(key, units): share of expected (key, symbol, unit) whose found unit is the same; of several found ones the last by ordinal."""
-    last = found.groupBy(key, squash("symbol").alias("s")).agg(F.max_by("unit", "ordinal").alias("got"))
+    last = found.groupBy(key, squash("symbol").alias("s")).agg(F.max_by(F.struct("unit"), "ordinal").alias("got"))
     joined = expected.withColumn("s", squash("symbol")).join(last, [key, "s"], "left")
-    return joined.groupBy(key).agg(F.avg(F.when(same_unit("got", "unit"), 1.0).otherwise(0.0)).alias("units"))
-
-
-def missing_info(listed: Column, limitations: Column) -> Column:
-    """1 with missing information listed, 0.5 with limitations only, else 0."""
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return F.when(size(listed) > 0, 1.0).when(size(limitations) > 0, 0.5).otherwise(0.0)
+    right = F.col("got").isNotNull() & same_unit(F.col("got.unit"), "unit")
+    return joined.groupBy(key).agg(F.avg(F.when(right, 1.0).otherwise(0.0)).alias("units"))
+
+
+def missing_info(listed: Column, limitations: Column, assumptions: Column) -> Column:
+    """1 with missing information or limitations, 0.5 with assumptions only, else 0."""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    return F.when(some(listed) | some(limitations), 1.0).when(some(assumptions), 0.5).otherwise(0.0)
+
+
+#: An expected answer, as its file has it.
+GOLDEN = """
+expected_variable_symbols array<string>, expected_parameter_symbols array<string>, expected_equation_symbol_sets array<array<string>>,
+expected_variable_units map<string, string>, expected_parameter_units map<string, string>
+"""
+
+
+def fixtures(spark: SparkSession, texts: str, answers: str) -> DataFrame:
+    """(fixture, text, golden): the .txt files of a folder beside the .json files of the same stem in another; a text without answer has a null one."""
+    stem = lambda ending: F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)\.{ending}$", 1).alias("fixture")
+    left = spark.read.text(texts, wholetext=True, pathGlobFilter="*.txt").select(stem("txt"), F.col("value").alias("text"))
+    right = spark.read.text(answers, wholetext=True, pathGlobFilter="*.json").select(stem("json"), F.from_json("value", GOLDEN).alias("golden"))
+    return left.join(right, "fixture", "left")
+
+
+def golden_scores(cards: DataFrame) -> DataFrame:
+    """``cards`` with the five parts and the overall score.
+
+    A card has doc (an extraction document) and golden (its expected answer). Symbols and units of variables come before those
+    of parameters, and of equal symbols the last counts, in found and in expected ones. A null doc scores 0.
+    """
+    d, g = F.col("doc"), F.col("golden")
+    names = lambda array: F.coalesce(F.transform(d[array], lambda x: x["symbol"]), F.array().cast("array<string>"))
+    none = F.array().cast("array<array<string>>")
+    found = F.coalesce(F.transform(d["equations"], lambda x: equation_symbols(F.to_json(x["variables_involved"]), x["equation_plaintext"], x["label"])), none)
+    pairs = lambda array: F.coalesce(F.transform(d[array], lambda x: F.struct(squash(x["symbol"]).alias("s"), x["unit"].alias("u"))), F.array().cast("array<struct<s:string,u:string>>"))
+    units = F.concat(pairs("state_variables"), pairs("parameters"))
+    wanted = F.concat(*(F.coalesce(F.map_entries(g[f"expected_{kind}_units"]), F.array().cast("array<struct<key:string,value:string>>")) for kind in ("variable", "parameter")))
+    wanted = F.filter(wanted, lambda x, i: ~F.exists(F.slice(wanted, i + 2, F.size(wanted)), lambda y: y["key"] == x["key"]))
+    mine = lambda e: F.element_at(F.filter(units, lambda x: x["s"] == squash(e["key"])), -1)["u"]
+    hits = F.filter(wanted, lambda e: (F.size(F.filter(units, lambda x: x["s"] == squash(e["key"]))) > 0) & same_unit(mine(e), e["value"]))
+    parts = {
+        "variables": jaccard(names("state_variables"), g["expected_variable_symbols"]), "parameters": jaccard(names("parameters"), g["expected_parameter_symbols"]),
+        "equations": recall(found, g["expected_equation_symbol_sets"]), "units": F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(hits).cast("double") / F.nullif(F.size(wanted), F.lit(0))),
+        "missing_info": missing_info(d["model_card"]["missing_information"], d["limitations"], d["assumptions"]),
+    }
+    return overall(cards.withColumns({k: F.when(d.isNull(), 0.0).otherwise(c) for k, c in parts.items()}))
 
 
 def overall(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -56,16 +56,16 @@ def mock(docs: DataFrame, text: str = "content") -> DataFrame:
     """``docs`` with ``raw``: the fixed document of the built-in provider, its title taken from the text's first line; columns only."""
     title = F.coalesce(capped(first_line(text)), F.lit("Untitled model"))
     item = lambda **f: F.struct(*(F.lit(v).alias(k) for k, v in f.items()))
-    quote = "built-in provider"
+    said = lambda what, confidence: {"source_context": f"(mock) {what}", "confidence": confidence}
     fixed = F.struct(
-        title.alias("paper_title_or_topic"), F.lit("Generic dynamic system").alias("system_type"), F.lit("A process whose state changes over time.").alias("process_description"),
-        F.array(item(symbol="C", name="Concentration", meaning="State of the system", unit="mol/L", role="state", source_context=quote, confidence="low"), item(symbol="t", name="Time", meaning="Independent variable", unit="s", role="input", source_context=quote, confidence="low")).alias("state_variables"),
-        F.array(item(symbol="k", name="Rate constant", value="0.1", unit="1/s", source_context=quote, confidence="low")).alias("parameters"),
-        F.array(F.struct(F.lit("(1)").alias("label"), F.lit("\\frac{dC}{dt} = -k C").alias("equation_latex"), F.lit("dC/dt = -k*C").alias("equation_plaintext"), F.lit("First-order decay").alias("meaning"), F.array(F.lit("C"), F.lit("k"), F.lit("t")).alias("variables_involved"), F.lit(quote).alias("source_context"), F.lit("low").alias("confidence"))).alias("equations"),
-        F.array(item(assumption="The system is well mixed.", source_context=quote, confidence="low")).alias("assumptions"),
-        F.array(item(limitation="Made by the built-in provider without reading the source.", source_context=quote, confidence="low")).alias("limitations"),
-        F.struct(F.lit("Placeholder model card").alias("short_summary"), F.lit("ODE").alias("model_type"), F.array(F.lit("initial concentration")).alias("inputs"), F.array(F.lit("concentration over time")).alias("outputs"), F.array().cast("array<string>").alias("control_variables"), F.array(F.lit("initial conditions"), F.lit("measured data")).alias("missing_information"), F.lit(True).alias("can_generate_ode_template")).alias("model_card"),
-    )
+        title.alias("paper_title_or_topic"), F.lit("Generic dynamic system (mock)").alias("system_type"), F.lit("A process whose state changes over time; made without reading the source.").alias("process_description"),
+        F.array(item(symbol="x", name="Lumped state", meaning="The one state of the system.", unit="—", role="state", **said("the one state", "low")), item(symbol="t", name="Time", meaning="Independent variable.", unit="s", role="input", **said("independent variable", "high"))).alias("state_variables"),
+        F.array(item(symbol="k", name="Rate constant", value="0.1", unit="1/s", **said("a default rate", "low"))).alias("parameters"),
+        F.array(F.struct(F.lit("(1)").alias("label"), F.lit("\\frac{dx}{dt} = -k\\, x").alias("equation_latex"), F.lit("dx/dt = -k * x").alias("equation_plaintext"), F.lit("First-order decay of the state.").alias("meaning"), F.array(F.lit("x"), F.lit("t"), F.lit("k")).alias("variables_involved"), F.lit("(mock) first-order kinetics").alias("source_context"), F.lit("low").alias("confidence"))).alias("equations"),
+        F.array(item(assumption="The system is lumped and well mixed.", source_context="(mock)", confidence="medium"), item(assumption="The temperature is constant.", source_context="(mock)", confidence="medium")).alias("assumptions"),
+        F.array(item(limitation="Made by the built-in provider; configure another one for a real extraction.", source_context="(mock)", confidence="high")).alias("limitations"),
+        F.struct(F.concat(F.lit('Mock extraction for "'), title, F.lit('".')).alias("short_summary"), F.lit("Lumped ODE").alias("model_type"), F.array(F.lit("t")).alias("inputs"), F.array(F.lit("x")).alias("outputs"), F.array().cast("array<string>").alias("control_variables"), F.array(F.lit("Quotes of the source"), F.lit("Values of parameters from the source")).alias("missing_information"), F.lit(True).alias("can_generate_ode_template")).alias("model_card"),
+    )
     return docs.withColumn("raw", F.to_json(fixed))
 
 
@@ -79,18 +79,29 @@ def repaired(raw: Column | str) -> Column:
     status is not_needed, repaired or failed.
     """
     c = F.col(raw) if isinstance(raw, str) else raw
-    fenced = F.nullif(trim_all(F.regexp_extract(c, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1)), F.lit(""))
-    start, length = F.instr(c, "{"), F.length(c) - F.instr(F.reverse(c), "}") + 1
-    sliced = F.when((start > 0) & (length >= start), F.substring(c, start, length - start + 1))
-    good = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    fixed = F.coalesce(good(fenced), good(sliced))
-    status = F.when(good(c).isNotNull(), "not_needed").when(fixed.isNotNull(), "repaired").otherwise("failed")
-    return F.struct(F.coalesce(good(c), fixed).alias("json"), status.alias("status"))
+
+    def tried(t: Column) -> Column:
+        fenced = F.nullif(trim_all(F.regexp_extract(t, r"(?s)```(?:json|JSON)?\s*(.*?)```", 1)), F.lit(""))
+        start, length = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        sliced = F.when((start > 0) & (length >= start), F.substring(t, start, length - start + 1))
+        return F.transform(F.array(t, fenced, sliced), lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
+
+    def chosen(ok: Column) -> Column:
+        json = F.coalesce(*(ok[k] for k in range(3)))
+        return F.struct(json.alias("json"), F.when(ok[0].isNotNull(), "not_needed").when(json.isNotNull(), "repaired").otherwise("failed").alias("status"))
+
+    return bound(bound(c, tried), chosen)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def violations(doc: Column, raw: Column) -> Column:
     """Array of what keeps a parsed document from being valid: absent fields, unknown enum values, blank texts that must not be."""
-    absent = lambda path: F.when(F.get_json_object(raw, f"$.{path}").isNull(), F.lit(f"{path}: required"))
+    fields = "map<string,string>"
+    absent = lambda found, path: F.when(found[path.rpartition(".")[2]].isNull(), F.lit(f"{path}: required"))
     blank = lambda c, path: F.when(F.coalesce(c, F.lit("")) == "", F.lit(f"{path}: empty"))
 
     def each(array: str, texts: tuple[str, ...], needed: tuple[str, ...], enums: dict[str, tuple[str, ...]]) -> Column:
@@ -102,11 +113,11 @@ def violations(doc: Column, raw: Column) -> Column:
         return F.coalesce(F.flatten(found), F.array().cast("array<string>"))
 
     level = {"confidence": ("high", "medium", "low")}
-    top = F.array_compact(F.array(
-        *(absent(p) for p in ("paper_title_or_topic", "system_type", "process_description", "state_variables", "parameters", "equations", "assumptions", "limitations", "model_card")),
-        *(absent(f"model_card.{p}") for p in ("short_summary", "model_type", "inputs", "outputs", "control_variables", "missing_information", "can_generate_ode_template")),
-        blank(doc["paper_title_or_topic"], "paper_title_or_topic"),
-    ))
+    outer = ("paper_title_or_topic", "system_type", "process_description", "state_variables", "parameters", "equations", "assumptions", "limitations", "model_card")
+    inner = ("short_summary", "model_type", "inputs", "outputs", "control_variables", "missing_information", "can_generate_ode_template")
+    listed = lambda paths: lambda found: F.array(*(absent(found, p) for p in paths))
+    card = F.from_json(F.get_json_object(raw, "$.model_card"), fields)
+    top = F.array_compact(F.concat(bound(F.from_json(raw, fields), listed(outer)), bound(F.coalesce(card, F.expr("map()").cast(fields)), listed([f"model_card.{p}" for p in inner])), F.array(blank(doc["paper_title_or_topic"], "paper_title_or_topic"))))
     return F.array_distinct(F.concat(
         top,
         each("state_variables", ("symbol", "name", "meaning", "unit", "role", "source_context", "confidence"), ("symbol",), level | {"role": tuple(ROLES)}),
@@ -119,10 +130,12 @@ def violations(doc: Column, raw: Column) -> Column:
 
 def validated(answers: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """(valid, rejected): answers with json, doc and repair_status; those that cannot be repaired or break the schema go to the rejects with 502."""
-    out = answers.withColumn("_r", repaired(raw)).withColumns({"json": F.col("_r.json"), "repair_status": F.col("_r.status")}).drop("_r")
-    out = out.withColumn("doc", F.from_json("json", EXTRACTION))
+    # each step goes through explode, so that later filters do not copy its expression into every place that names its result
+    once = lambda df, made: df.withColumn("_r", F.explode(F.array(made)))
+    out = once(answers, repaired(raw)).withColumns({"json": F.col("_r.json"), "repair_status": F.col("_r.status")}).drop("_r")
+    out = once(out, F.from_json("json", EXTRACTION)).withColumnRenamed("_r", "doc")
     broken = F.when(F.col("json").isNull(), F.array(F.lit("no JSON object"))).otherwise(violations(F.col("doc"), F.col("json")))
-    out = out.withColumn("validation_errors", broken)
+    out = once(out, broken).withColumnRenamed("_r", "validation_errors")
     bad = out.where(F.size("validation_errors") > 0).withColumn("status_code", F.lit(502))
     return out.where(F.size("validation_errors") == 0), bad.drop("doc")
 
@@ -135,7 +148,7 @@ def rows_of(valid: DataFrame, key: str = "id") -> dict[str, DataFrame]:
     """
     d = F.col("doc")
     head = valid.select(
-        F.col(key).alias("id"), d["paper_title_or_topic"].alias("model_card_title"), d["system_type"].alias("domain"), d["process_description"].alias("system_description"),
+        F.col(key).alias("id"), d["paper_title_or_topic"].alias("model_card_title"), d["system_type"].alias("domain"), system_description(d).alias("system_description"),
         problem_statement(d["model_card"]).alias("problem_statement"), F.col("json").alias("raw_extraction_json"), "repair_status",
     )
     each = lambda array: valid.select(F.col(key).alias("extraction_id"), F.posexplode(d[array]).alias("ordinal", "x"))
@@ -155,11 +168,18 @@ def rows_of(valid: DataFrame, key: str = "id") -> dict[str, DataFrame]:
 
 
 def problem_statement(card: Column) -> Column:
-    part = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", ")))
-    text = F.concat_ws(". ", part("Predict", card["outputs"]), part("Given", card["inputs"]), part("Control", card["control_variables"]), part("Missing", card["missing_information"]))
+    part = lambda label, c, by=", ": F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, by), F.lit(".")))
+    text = F.concat_ws(" ", part("Predict", card["outputs"]), part("Given inputs", card["inputs"]), part("Control variables", card["control_variables"]), part("Missing information", card["missing_information"], "; "))
     return F.when(text == "", "—").otherwise(text)
 
 
+def system_description(doc: Column) -> Column:
+    """The process, then the card's summary and model type on lines of their own; absent and empty ones are left out."""
+    part = lambda lead, c: F.when(c != "", F.concat(F.lit(lead), c))
+    card = doc["model_card"]
+    return F.concat_ws("", part("", doc["process_description"]), part("\n\nSummary: ", card["short_summary"]), part("\nModel type: ", card["model_type"]))
+
+
 def symbol_list(c: Column | str) -> Column:
     """A list of symbols given as a JSON array or separated by commas."""
     t = trim_all(c)

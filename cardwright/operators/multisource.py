@@ -9,6 +9,10 @@ from cardwright.functions.text import norm
 SEVERITY = {"parameter_value": "high", "parameter_unit": "high", "variable_definition": "medium", "equation": "medium", "missing_across_sources": "low"}
 
 
+#: Under this name the symbols themselves go with the values.
+SYMBOL = "symbol as written"
+
+
 def first_seen(rows: DataFrame, key: str, value: Column | str, order: Column | str, name: str) -> DataFrame:
     """(key, name): each key's distinct values in the order in which they first appear; nulls and blanks left out."""
     v = rows.select(key, F.col(value).cast("string").alias("v") if isinstance(value, str) else value.cast("string").alias("v"), (F.col(order) if isinstance(order, str) else order).alias("o"))
@@ -22,12 +26,25 @@ def aggregated(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...]
     Blank symbols are skipped. The sets of a symbol are grouped by value before they are collected, so their size is that
     of the distinct values, not of the rows.
     """
-    o = F.struct(*order)
-    keyed = rows.withColumns({"key": norm(symbol), "seen": o}).where("key != ''")
-    out = keyed.groupBy("key").agg(F.min_by(symbol, "seen").alias("symbol"))
-    for v in values:
-        out = out.join(first_seen(keyed, "key", v, "seen", f"{v}s"), "key", "left").withColumn(f"{v}s", F.coalesce(f"{v}s", F.array().cast("array<string>")))
-    return out
+    keyed = rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''")
+    items = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("v")) for name, c in ((SYMBOL, symbol), *((v, v) for v in values))))
+    one = keyed.select("key", "seen", F.explode(items).alias("x")).where((F.trim("x.v") != "") | (F.col("x.name") == SYMBOL))
+    # one exchange by value, one by symbol: each value goes on once, with the place where it is first seen
+    firsts = one.groupBy("key", F.col("x.name").alias("name"), F.col("x.v").alias("v")).agg(F.min("seen").alias("seen"))
+    sets = firsts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seen", "name", "v"))).alias("all"))
+    of = lambda name: F.transform(F.filter("all", lambda x: x["name"] == name), lambda x: x["v"])
+    return sets.select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values))
+
+
+def distinct_texts(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:
+    """(text): the texts of all sources, each once however it is spaced and cased, as first written and with its place; blank ones are left out."""
+    keyed = rows.select(norm(text).alias("key"), F.col(text).alias("text"), F.struct(*order).alias("seen")).where("key != ''")
+    return keyed.groupBy(F.sha2("key", 256).alias("key")).agg(F.min_by("text", "seen").alias("text"), F.min("seen").alias("seen")).select("text", "seen")
+
+
+def of_source(rows: DataFrame, source: str | None) -> DataFrame:
+    """Rows of one source; None or "all" keeps those of all."""
+    return rows if source in (None, "all") else rows.where(F.col("source") == source)
 
 
 def equation_key() -> Column:
@@ -53,10 +70,9 @@ def conflicts(parameters: DataFrame, variables: DataFrame, equations: DataFrame,
     text = lambda c: F.array_join(c, " | ")
     last = sources.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("extraction_id")))).where("n = 1").select("source", "extraction_id")
     own = parameters.join(last, ["source", "extraction_id"]).select(norm("symbol").alias("key"), "source").where("key != ''").distinct()
-    n_sources = last.agg(F.count("*").alias("n_sources"))
-    present = own.groupBy("key").agg(F.count("*").alias("n_present"))
-    some = present.crossJoin(F.broadcast(n_sources)).where("n_present < n_sources")  # one row
-    absent = some.join(last.select("source"), how="cross").join(own, ["key", "source"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_list("source")).alias("missing"))
+    all_sources = last.agg(F.coalesce(F.array_sort(F.collect_list("source")), F.array().cast("array<string>")).alias("all_sources"))
+    present = own.groupBy("key").agg(F.collect_set("source").alias("present")).crossJoin(F.broadcast(all_sources))  # one row
+    absent = present.select("key", F.array_except("all_sources", "present").alias("missing")).where(F.size("missing") > 0)
     absent = absent.join(p.select("key", "symbol"), "key")
     parts = [
         row(p.where(several("values")), "parameter_value", F.col("symbol"), text("values")),

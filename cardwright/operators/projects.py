@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardwright.functions.text import trim_all
 from cardwright.sources.tables import CHILDREN, TABLES
 
 
@@ -140,4 +141,53 @@ def export_project(projects: DataFrame, sources: DataFrame, extractions: DataFra
     return out.select(F.col("id").alias("project_id"), "created_at", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
+def export_all(projects: DataFrame, sources: DataFrame, extractions: DataFrame, children: dict[str, DataFrame], now: str) -> DataFrame:
+    """(part, project_count, json): the whole store as documents of version 1, which ``store.import_rows`` reads; no document holds more than one
+    project, as one document of a large store would have to pass through one task. Names of fields are those of the format; nulls are kept."""
+    camel = lambda c: "".join(x.title() if k else x for k, x in enumerate(c.split("_")))
+    fields = lambda df, *skip: F.struct(*(F.col(c).alias(camel(c)) for c in df.columns if c not in skip))
+    in_order = lambda df, key, name, *by: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*by, fields(df).alias("x")))), lambda s: s["x"]).alias(name))
+    cards_ = extractions
+    for name in CHILDREN:
+        inner = in_order(children[name], "extraction_id", name, "ordinal", "id")
+        cards_ = cards_.join(inner, cards_["id"] == inner["extraction_id"], "left").drop("extraction_id").withColumn(name, F.coalesce(name, F.array().cast(inner.schema[name].dataType)))
+    card = F.struct(*(F.col(c) for c in ("created_at", "id") if c in extractions.columns), F.struct(fields(extractions).alias("extraction"), *CHILDREN).alias("x"))
+    nested_cards = cards_.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", F.to_json(card["x"], {"ignoreNullFields": "false"}).alias("x")))), lambda s: s["x"]).alias("cards"))
+    src = in_order(sources, "project_id", "docs", "created_at", "id")
+    out = projects.withColumn("project", F.to_json(fields(projects), {"ignoreNullFields": "false"}))
+    out = out.join(src, out["id"] == src["project_id"], "left").drop("project_id")
+    out = out.join(nested_cards, out["id"] == nested_cards["project_id"], "left").drop("project_id")
+    docs = F.coalesce(F.to_json("docs", {"ignoreNullFields": "false"}), F.lit("[]"))
+    cards_json = F.concat(F.lit("["), F.array_join(F.coalesce("cards", F.array().cast("array<string>")), ","), F.lit("]"))
+    entry = F.concat(F.lit('{"project":'), F.col("project"), F.lit(',"sourceDocuments":'), docs, F.lit(',"modelCards":'), cards_json, F.lit("}"))
+    head = F.concat(F.lit('{"exportedAt":'), F.to_json(F.array(F.lit(now))).substr(2, len(now) + 2), F.lit(',"version":"1","projectCount":1,"data":['))
+    return out.select(F.col("id").alias("part"), F.lit(1).alias("project_count"), F.concat(head, entry, F.lit("]}")).alias("json"))
+
+
+#: Fewest characters of texts, and closed values, of requests by kind. Fixed values.
+REQUESTS = {
+    "project": {"name": ("text", 1)}, "source": {"project_id": ("id", 1), "content": ("text", 30)},
+    "extraction": {"project_id": ("id", 1), "provider": ("value", ("auto", "mock", "openai", "gemini", "ollama")), "source_document_id": ("optional id", 1)},
+    "visibility": {"id": ("id", 1), "visibility": ("value", ("private", "public"))},
+}
+
+
+def requested(requests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): requests of a kind; those with ids that are no whole positive numbers, texts too short or unknown values are rejected with 400 and the fields at fault."""
+    wrong = []
+    for name, (rule, value) in REQUESTS[kind].items():
+        c = F.col(name)
+        if rule == "value":
+            bad = c.isNotNull() & ~c.isin(*value) if name == "provider" else ~F.coalesce(c.isin(*value), F.lit(False))
+        elif rule == "text":
+            bad = F.length(trim_all(F.coalesce(c, F.lit("")))) < value
+        else:
+            bad = ~F.coalesce(c.cast("string").rlike("^[0-9]+$") & (c.try_cast("long") >= value), F.lit(False))
+            bad = c.isNotNull() & bad if rule == "optional id" else bad
+        wrong.append(F.when(bad, F.lit(name)))
+    out = requests.withColumn("fields", F.array_compact(F.array(*wrong)))
+    bad = out.where(F.size("fields") > 0).withColumn("status_code", F.lit(400))
+    return out.where(F.size("fields") == 0).drop("fields"), bad
+
+
 TABLES_COLUMNS = [c.strip().split(" ")[0] for c in TABLES["extractions"].split(", ")]

@@ -97,9 +97,9 @@ def findings(known: DataFrame, extractions: DataFrame, equations: DataFrame, var
     add(known.where((F.col("n_var") > 0) & ~has("initial")), "critical", "initial_conditions", "no initial conditions", True)
     add(known.where((F.col("n_var") > 0) & ~has("boundary")), "warning", "initial_conditions", "no boundary or inlet conditions")
     add(known.where(has("kinetics") & ~F.col("kinetic")), "warning", "parameters", "kinetics without their constants")
-    add(known.where(has("kinetics") & ~has("yields")), "info", "parameters", "no yield coefficients")
+    add(known.where((F.col("n_eq") > 0) & ~has("yields")), "info", "parameters", "no yield coefficients")
     add(known.where(has("gas") & ~F.col("gas_symbol")), "warning", "parameters", "gas transfer without its parameters")
-    add(known.where(has("gas") & ~has("henry")), "info", "parameters", "gas transfer without an equilibrium")
+    add(known.where(has("gas") & has("henry")), "info", "parameters", "Henry's law is mentioned: its form and units are to be checked")
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9_]", "")
     known_symbols = variables.select("extraction_id", F.lower("symbol").alias("s")).union(parameters.select("extraction_id", F.lower("symbol"))).distinct()
     used = equations.select("extraction_id", F.explode(F.coalesce("variables_involved", identifiers("latex", LATEX_WORDS))).alias("w")).select("extraction_id", "w", plain("w").alias("s")).where("s != ''")

@@ -2,6 +2,7 @@
 
 import math
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ def stepper(p: dict[str, float]) -> Callable[[float, float, float], tuple[float,
     mumax, ks, yxs, d, s_in = (float(p[c]) for c in ("mumax", "Ks", "Yxs", "D", "Sin"))
 
     def rate(x: float, s: float) -> tuple[float, float]:
+        s = s if s > 0 else 0.0 if s <= 0 else s  # NaN stays
         mu = mumax * s / (ks + s) if ks + s else 0.0
         return (mu - d) * x, d * (s_in - s) - (mu * x / yxs if yxs else mu * x * math.inf)
 
@@ -37,19 +39,24 @@ def stepper(p: dict[str, float]) -> Callable[[float, float, float], tuple[float,
 
 
 def simulated(p: dict[str, float]) -> list[tuple[float, float, float]]:
-    """(t, X, S) at about a thousand points and the end; negative states are cut in the output only; ends where a state is not finite."""
+    """(t, X, S) at about a thousand points and the end, t with 4 digits and states with 6; negative states are cut in the output only; ends where a state is not finite."""
     steps = max(1, min(int(np.ceil(p["T"] / p["dt"])), MOST_STEPS))
     h, every = p["T"] / steps, max(1, steps // POINTS)
-    step, x, s, t, out = stepper(p), p["X0"], p["S0"], 0.0, [(0.0, p["X0"], p["S0"])]
+    step, x, s, t, out = stepper(p), p["X0"], p["S0"], 0.0, [(0.0, fixed(max(0.0, p["X0"]), 6), fixed(max(0.0, p["S0"]), 6))]
     for i in range(1, steps + 1):
         (x, s), t = step(x, s, h), t + h
         if not (math.isfinite(x) and math.isfinite(s)):
             break
         if i % every == 0 or i == steps:
-            out.append((t, max(0.0, x), max(0.0, s)))
+            out.append((fixed(t, 4), fixed(max(0.0, x), 6), fixed(max(0.0, s), 6)))
     return out
 
 
+def fixed(x: float, digits: int) -> float:
+    """``x`` as written with so many digits, halves of its exact value away from zero."""
+    return float(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def simulate(parameters: DataFrame, key: str = "id") -> DataFrame:
     """(key, t, X, S) for each row of ``parameters`` (key and the columns of DEFAULTS; absent or null ones take the default)."""
     given = [c for c in DEFAULTS if c in parameters.columns]
@@ -57,9 +64,14 @@ def simulate(parameters: DataFrame, key: str = "id") -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            held: list[tuple] = []
             for row in frame.to_dict("records"):
                 p = DEFAULTS | {c: float(row[c]) for c in given if not pd.isna(row[c])}
-                yield pd.DataFrame([(row[key], *point) for point in simulated(p)], columns=[key, "t", "X", "S"])
+                held += [(row[key], *point) for point in simulated(p)]
+                if len(held) > 20 * POINTS:
+                    yield pd.DataFrame(held, columns=[key, "t", "X", "S"])
+                    held = []
+            yield pd.DataFrame(held, columns=[key, "t", "X", "S"])
 
     return parameters.select(key, *given).mapInPandas(run, f"{key} {kind}, t double, X double, S double")
 
@@ -83,6 +95,32 @@ def at_times(times: np.ndarray, p: dict[str, float]) -> np.ndarray:
     return out
 
 
+def dense_curve(p: dict[str, float], end: float) -> list[tuple[float, float, float]]:
+    """(t, X, S) on an even grid of 500 to 5 000 steps of about 0.05; ends where a state is not finite."""
+    n = min(max(500, math.ceil(end / 0.05)), 5_000)
+    h, step, x, s, out = end / n, stepper(p), float(p["X0"]), float(p["S0"]), []
+    for i in range(n + 1):
+        out.append((fixed(i * h, 4), x, s))
+        x, s = (0.0 if v < 0 else v for v in step(x, s, h))
+        if not (math.isfinite(x) and math.isfinite(s)):
+            break
+    return out
+
+
+def curves(fits: DataFrame, ends: DataFrame, key: str = "series_id") -> DataFrame:
+    """(key, t, X, S): the dense curve of each fit (``key`` and columns of DEFAULTS) to the series' end (``key``, T)."""
+    rows = fits.drop("T").join(ends.select(key, "T"), key)
+    given = [c for c in DEFAULTS if c in rows.columns]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                p = DEFAULTS | {c: float(row[c]) for c in given if not pd.isna(row[c])}
+                yield pd.DataFrame([(row[key], *point) for point in dense_curve(p, p["T"])], columns=[key, "t", "X", "S"])
+
+    return rows.select(key, *given).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, t double, X double, S double")
+
+
 def simplex(objective, start: np.ndarray) -> tuple[np.ndarray, float, int]:
     """Nelder-Mead: reflection, expansion by 2, contraction inside only, shrinking by a half."""
     n = len(start)
@@ -165,11 +203,15 @@ def steady_state(mumax: Column, ks: Column, yxs: Column, d: Column, s_in: Column
 
 
 def checked(parameters: DataFrame) -> DataFrame:
-    """``parameters`` with errors (not positive or not finite) and warnings (washout, batch, long steps, nothing to grow)."""
+    """``parameters`` with errors (not positive or not finite) and warnings (washout, batch, long steps, nothing to simulate).
+
+    Washout is a dilution above the growth rate at the feed's concentration.
+    """
     value = {c: F.coalesce(F.col(c) if c in parameters.columns else F.lit(None).cast("double"), F.lit(v)) for c, v in DEFAULTS.items()}
     bad = lambda c, cond, text: F.when(cond | F.isnan(value[c]) | (F.abs(value[c]) == float("inf")), F.lit(f"{c} {text}"))
-    errors = F.array_compact(F.array(*(bad(c, value[c] <= 0, "must be positive") for c in ("mumax", "Ks", "Yxs", "T", "dt")), *(bad(c, value[c] < 0, "must not be negative") for c in ("D", "Sin", "X0", "S0")), F.when(value["dt"] > value["T"], F.lit("dt exceeds T"))))
-    warnings = F.array_compact(F.array(F.when(value["D"] >= value["mumax"], F.lit("washout")), F.when(value["D"] == 0, F.lit("batch")), F.when(value["dt"] > 0.5, F.lit("long steps")), F.when((value["X0"] == 0), F.lit("nothing grows"))))
+    errors = F.array_compact(F.array(*(bad(c, value[c] <= 0, "must be positive") for c in ("mumax", "Ks", "Yxs", "T", "dt")), *(bad(c, value[c] < 0, "must not be negative") for c in ("D", "Sin", "X0", "S0")), F.when((value["dt"] > 0) & (value["T"] > 0) & (value["dt"] >= value["T"]), F.lit("dt must be smaller than T"))))
+    most = value["mumax"] * value["Sin"] / F.nullif(value["Ks"] + value["Sin"], F.lit(0.0))
+    warnings = F.array_compact(F.array(F.when(value["D"] > most, F.lit("washout")), F.when(value["D"] == 0, F.lit("batch")), F.when(value["dt"] > 0.5, F.lit("long steps")), F.when((value["X0"] == 0) & (value["S0"] == 0), F.lit("nothing to simulate"))))
     return parameters.withColumns({"errors": errors, "warnings": warnings})
 
 

@@ -34,6 +34,23 @@ def fit_json(fits: DataFrame, key: str = "series_id") -> DataFrame:
     return fits.select(key, F.to_json(F.struct(F.struct(*parameters).alias("parameters"), F.struct(*metrics).alias("metrics"))).alias("content"))
 
 
+#: Units of a fit's parameters, found and given, and of its metrics.
+_FOUND, _GIVEN = {"mumax": "1/h", "Ks": "g/L", "Yxs": "g/g"}, {"D": "1/h", "Sin": "g/L", "X0": "g/L", "S0": "g/L"}
+_METRICS = {"rmse_X": "g/L", "rmse_S": "g/L", "r2_X": "", "r2_S": ""}
+
+
+def fit_report_csv(fits: DataFrame, key: str = "series_id") -> DataFrame:
+    """(key, content): all seven parameters of a fit, the fitted before the given ones, then its metrics; values with six decimals, and units."""
+    lines = lambda units: [F.concat(F.lit(f"{c},"), js_number(c, 6), F.lit(f",{u}")) for c, u in units.items()]
+    return fits.select(key, F.concat_ws("\n", F.lit("# Fitted parameters\nparameter,value,unit"), *lines(_FOUND | _GIVEN), F.lit("\n# Fit metrics"), *lines(_METRICS)).alias("content"))
+
+
+def fit_report_json(fits: DataFrame, key: str = "series_id") -> DataFrame:
+    """(key, content): a fit as JSON with its fitted and given parameters and its metrics, each with value and unit."""
+    part = lambda name, units: F.struct(*(F.struct(F.col(c).alias("value"), F.lit(u).alias("unit")).alias(c) for c, u in units.items())).alias(name)
+    return fits.select(key, F.to_json(F.struct(part("fitted", _FOUND), part("given", _GIVEN), part("metrics", _METRICS))).alias("content"))
+
+
 def wrapped(text: Column | str, prefix: str = "# ", width: int = 88) -> Column:
     """A text broken between words into lines of at most ``width`` characters with a prefix; longer words stay whole."""
     t = F.col(text) if isinstance(text, str) else text

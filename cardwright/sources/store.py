@@ -1,10 +1,11 @@
 """A store of tables as Parquet versions with a manifest, and table edits as plans: append, publish, upsert, cascade, seed, import.
 
-A version is a folder that holds all tables written together; publishing it is one rename of the manifest, so readers see
-all of a version or none. There is one writer at a time.
+A version is a folder that holds all tables written together, published by a manifest of the next number, which is renamed
+into place and never changed: readers take the last one, so they see all of a version or none. There is one writer at a time.
 """
 
 import json
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -22,12 +23,19 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _last(self) -> int:
+        """The number of the last manifest, 0 for none."""
+        fs, p = self._fs(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), default=0)
+
+    def _manifest_path(self, n: int) -> str:
+        return f"{self.path}/manifest-{n:09d}.json"
+
     def manifest(self) -> dict[str, list[str]]:
         """Table -> folders that make it up."""
-        fs, p = self._fs(f"{self.path}/manifest.json")
-        if not fs.exists(p):
-            return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        n = self._last()
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(self._manifest_path(n)).collect())) if n else {}
 
     def read(self, table: str) -> DataFrame:
         folders = self.manifest().get(table, [])
@@ -48,14 +56,13 @@ class Store:
             folder = f"{version}/{name}"
             conform(df, name).write.parquet(folder)
             after[name] = [*(after.get(name, []) if append else []), folder]
-        fs, target = self._fs(f"{self.path}/manifest.json")
+        fs, target = self._fs(self._manifest_path(self._last() + 1))
         _, fresh = self._fs(f"{version}/manifest.json")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(after).encode()))
         out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(fresh, target)
+        if not fs.rename(fresh, target):
+            raise RuntimeError(f"another writer published {target.getName()}")
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
