@@ -22,7 +22,7 @@ from .shared import tidy
 
 SPACE = "▁"
 #: Words a worker remembers before it starts anew, and bytes of text worked on at a time.
-MEMO, CHUNK = 800_000, 1 << 20
+MEMO, CHUNK = 800_000, 3 << 18
 #: Ids decoded at a time.
 IDS = 1 << 18
 
@@ -111,6 +111,11 @@ class Pieces(Decoder):
         self.pairs, self.fits = Memo(), np.zeros(1 << 14, dtype=bool)
         self._clear()
 
+    def forget(self) -> None:
+        """Give up what was learnt of words and pairs of pieces; a worker does so after each task, as it waits for others of any kind."""
+        self.pairs, self.fits = Memo(8), np.zeros(1 << 4, dtype=bool)
+        self.memo, self.ids, self.at, self.used = Memo(8), np.zeros(1 << 4, np.int32), np.zeros(1 << 4, np.int64), 0
+
     def _clear(self) -> None:
         self.memo, self.ids, self.at, self.used = Memo(21), np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
@@ -137,7 +142,7 @@ class Pieces(Decoder):
         entry = self.pairs.find(key)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
-            if self.pairs.n > MEMO:
+            if self.pairs.bits < 20 or self.pairs.n > MEMO:
                 self.pairs = Memo()
                 return self._follows(last, piece)
             new, at = np.unique(key[missing], return_index=True)
@@ -222,7 +227,7 @@ class Pieces(Decoder):
         lengths = np.diff(np.append(starts, len(code)))
         inside = np.arange(len(code)) - np.repeat(starts, lengths)
         hashes = mix(np.add.reduceat(mix(_values(code) + (inside.astype(np.uint64) << np.uint64(33))), starts) + lengths.astype(np.uint64))
-        if self.memo.n + len(hashes) > MEMO:
+        if self.memo.bits < 21 or self.memo.n + len(hashes) > MEMO:
             self._clear()
         entry = self.memo.find(hashes)
         missing = np.flatnonzero(entry < 0)
@@ -288,6 +293,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", uni
         for batch in batches:
             for lo, hi, lists in _encoded(model, batch.column(text)):
                 yield _with(batch, lo, hi, **{ids: lists})
+        model.forget()
 
     return _mapped(docs, run, **{ids: T.ArrayType(T.IntegerType())})
 
@@ -317,5 +323,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: bool = True
                 back = pa.concat_arrays([pa.array([], pa.string()), *(x for _, _, x in _decoded(model, lists))])
                 same = pa.compute.equal(back, batch.column(text).slice(lo, hi - lo).cast(pa.string()))
                 yield _with(batch, lo, hi, ids=lists, **({"decoded": back} if keep else {}), round_trip=pa.compute.fill_null(same, True))
+        model.forget()
 
     return _mapped(docs, run, ids=T.ArrayType(T.IntegerType()), **({"decoded": T.StringType()} if keep else {}), round_trip=T.BooleanType())

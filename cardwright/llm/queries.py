@@ -45,30 +45,28 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
 
 
-#: Matches in a row of op5_chroma's result at most, about.
-LISTED = 1_000
-
-
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each recording asked for (vec_id divisible by 50) all classes of recordings that align with it, its own among them.
+    """One row a recording: vec_id, its class (the smallest id with an equal fingerprint) and the class's size; for a recording asked for (id divisible
+    by 50) n_matches, the classes that align with its own; and n_asked, the asked classes that its own aligns with, the nearest of them, offset and bit error.
 
-    A row lists about a thousand of them (class, number of its recordings, offset, bit error); a recording with more has
-    several rows, told apart by ``part``.
+    A class always aligns with itself, which is not counted. A recording without fingerprint (no vector) has nulls. Rows of one id are told apart by
+    their fingerprints only.
     """
     vectors = _table(spark, sf_dir, "embeddings")
     with rows_at_once(spark, 200):
         prints = written(fingerprints(sonified(vectors, "vec_id", "embedding")), "fingerprints")
     matches, members = search(prints, prints.where("vec_id % 50 = 0"), "vec_id")
     sizes = members.groupBy("class").agg(F.count("*").alias("class_size"))
-    asked = members.where("id % 50 = 0")
-    own = asked.select(F.col("class").alias("query_class"), F.col("class").alias("match_class"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_error")).distinct()
-    found = own.unionByName(matches.select("query_class", "match_class", "offset", "bit_error"))
-    found = written(found.join(sizes.withColumnRenamed("class", "match_class"), "match_class"), "audio-matches")
-    parts = found.groupBy("query_class").agg(F.count("*").alias("n_matches"))
-    lists = found.join(parts, "query_class").withColumn("part", F.pmod(F.xxhash64("match_class"), F.ceil(F.col("n_matches") / LISTED)).cast("int"))
-    item = F.struct("match_class", "class_size", "offset", "bit_error")
-    lists = lists.groupBy("query_class", "part").agg(F.first("n_matches").alias("n_matches"), F.array_sort(F.collect_list(item)).alias("matches"))
-    return asked.join(lists, F.col("class") == F.col("query_class")).select(F.col("id").alias("query_id"), "query_class", "part", "n_matches", "matches")
+    out = matches.groupBy(F.col("query_class").alias("class")).agg(F.count("*").alias("n_matches"))
+    nearest = F.min(F.struct("bit_error", "query_class", "offset"))
+    back = matches.groupBy(F.col("match_class").alias("class")).agg(F.count("*").alias("n_asked"), nearest.alias("near"))
+    by_class = sizes.join(out, "class", "left").join(back, "class", "left")
+    found = members.join(by_class, "class").select(
+        F.col("id").alias("vec_id"), F.col("class").alias("class_id"), "class_size", F.when(F.col("id") % 50 == 0, F.coalesce("n_matches", F.lit(0))).alias("n_matches"),
+        F.coalesce("n_asked", F.lit(0)).alias("n_asked"), F.col("near.query_class").alias("nearest"), F.col("near.offset").alias("offset"), F.col("near.bit_error").alias("bit_error"),
+    )
+    silent = prints.where("vec_id IS NULL OR fingerprint IS NULL OR length(fingerprint) = 0").select(F.col("vec_id").cast("long").alias("vec_id"))
+    return found.unionByName(silent, allowMissingColumns=True)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +79,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

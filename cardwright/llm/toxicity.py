@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from .hashing import ALNUM, SMALL_CHUNK, Memo, Words, chunks, mix, utf8
+from .shared import tidy
 
 #: Labelled texts of each class that the model is fitted on at most, by the order of a hash of their id.
 SAMPLE = 2_000
@@ -24,13 +25,14 @@ NGRAMS, BUCKET_BITS, DIM = (3, 4, 5, 6), 18, 8
 #: A text's mean vector is multiplied by this before the softmax, so that a rare word of a long text can weigh.
 GAIN = 40.0
 EPOCHS, BATCH, RATE, DECAY = 10, 128, 0.03, 1e-5
+#: Both were tried on training rows only: fitted where crc32(id) mod 5 is 2 to 4, judged where it is 1; the README has the figures.
 #: A bucket is learnt if its share of the words of toxic texts and that of the other texts differ by this factor, and by this
 #: many standard deviations of chance; all others stay zero, as do those never seen, so common word parts add no noise.
 LIFT, SIGNIFICANT = 2.0, 5.0
 #: Words whose n-grams are held at a time while the model is fitted.
 FITTED_AT_ONCE = 10_000
 #: Words whose numbers a worker remembers.
-MEMO = 2_000_000
+MEMO = 500_000
 
 _FACTORS = np.random.default_rng(5).integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
 
@@ -169,7 +171,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` texts of each class, those first by a hash of their id; the odds come from all labels.
 
-    An id labelled several times counts as toxic if any of its labels is 1; null labels and null ids are not used.
+    An id labelled several times counts as toxic if any of its labels is 1; null labels and null ids are not used. Of several
+    texts of one id the first in order is used.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label).cast("int").alias("label"))
     n = known.agg(F.count_if(F.col("label") == 1).alias("one"), F.count_if(F.col("label") == 0).alias("zero")).first()
@@ -177,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     picked = [there.where(F.col("label") == c).orderBy(F.xxhash64("key"), "key").limit(sample) for c in (0, 1)]
     rows = docs.select(F.col(id_col).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked[0].union(picked[1])), "key").select("key", "label", "text")
     kind = pa.schema([("key", to_arrow_type(rows.schema["key"].dataType)), ("label", pa.int32()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
-    bags = rows.mapInArrow(_bags, from_arrow_schema(kind)).dropDuplicates(["key"]).toArrow()
+    rows = rows.groupBy("key", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    bags = rows.mapInArrow(tidy(_bags), from_arrow_schema(kind)).toArrow()
     words = bags["words"].combine_chunks().flatten().dictionary_encode()
     by_name = pa.compute.sort_indices(words.dictionary).to_numpy()
     ids = np.argsort(by_name).astype(np.int32)[words.indices.to_numpy()]
@@ -221,8 +225,10 @@ class Scorer:
                 self.values[n : n + len(words)] = self.model.words(words)
                 self.memo.add(new)
                 entry[missing] = self.memo.find(hashes[missing])
-            total = np.concatenate([[0.0], np.cumsum(self.values[entry])])
-            sums = np.diff(total[w.first])
+            # each text's words are added for themselves, so equal texts score alike wherever they stand
+            some = np.flatnonzero(w.counts)
+            sums = np.zeros(hi - lo)
+            sums[some] = np.add.reduceat(self.values[entry], w.first[some])
             out.append(self.model.bias + GAIN * sums / np.maximum(w.counts, 1))
         return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -500, 500)))
 
@@ -242,9 +248,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scorer.scores(batch.column(text)))], [*kept, name])
 
     out = docs.drop(name)
-    return docs.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*out.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Whether an id is kept from training: crc32 of its text mod 5 is 0."""
+    """Whether an id is kept from training: crc32 of its text mod 5 is 0; null for a null id, which no label can have either."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
