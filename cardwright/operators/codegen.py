@@ -129,6 +129,13 @@ def notebook(c: dict[str, Column]) -> Column:
     return F.concat(F.lit('{"nbformat": 4, "nbformat_minor": 5, "metadata": {}, "cells": ['), F.array_join(cells, ", "), F.lit("]}"))
 
 
+def distinct_quotes(equations: DataFrame, variables: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(extraction_id, q, ordinal): a card's quotes, trimmed and each once, in the order equations, variables, parameters; blank ones are left out."""
+    quotes = equations.select(_KEY, "ordinal", "source_quote", F.lit(0).alias("k")).union(variables.select(_KEY, "ordinal", "source_quote", F.lit(1))).union(parameters.select(_KEY, "ordinal", "source_quote", F.lit(2)))
+    some = quotes.where(F.trim(F.coalesce("source_quote", F.lit(""))) != "")
+    return some.groupBy(_KEY, F.trim("source_quote").alias("q")).agg(F.min(F.struct("k", "ordinal")).alias("ordinal"))
+
+
 def package(cards: DataFrame, equations: DataFrame, variables: DataFrame, parameters: DataFrame, assumptions: DataFrame | None = None, reports: DataFrame | None = None) -> DataFrame:
     """(extraction_id, filename, content): the 15 files of each card (extraction_id, title).
 
@@ -139,8 +146,7 @@ def package(cards: DataFrame, equations: DataFrame, variables: DataFrame, parame
         assumptions = spark.createDataFrame([], f"{_KEY} long, ordinal int, kind string, text string")
     csv = lambda *columns: F.concat_ws(",", *(csv_cell(c) for c in columns))
     mark = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\\|", "\\\\|"), "`", "'")
-    quotes = equations.select(_KEY, "ordinal", "source_quote", F.lit(0).alias("k")).union(variables.select(_KEY, "ordinal", "source_quote", F.lit(1))).union(parameters.select(_KEY, "ordinal", "source_quote", F.lit(2)))
-    quotes = quotes.where(F.trim(F.coalesce("source_quote", F.lit(""))) != "").groupBy(_KEY, F.trim("source_quote").alias("q")).agg(F.min(F.struct("k", "ordinal")).alias("ordinal"))
+    quotes = distinct_quotes(equations, variables, parameters)
     made = [
         _lines(variables, csv("symbol", "name", "unit", "role"), "v_csv"), _lines(parameters, csv("symbol", "name", F.col("value").cast("string"), "unit", "confidence"), "p_csv"),
         _lines(variables, F.concat(F.lit("- `"), mark("symbol"), F.lit("` "), mark("name"), F.lit(" ["), mark("unit"), F.lit("]")), "v_md"), _lines(parameters, F.concat(F.lit("- `"), mark("symbol"), F.lit("` = "), number_text(F.col("value")), F.lit(" "), mark("unit")), "p_md"),

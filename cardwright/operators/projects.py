@@ -20,7 +20,12 @@ def can_change(user: str | None) -> Column:
 
 
 def visible(projects: DataFrame, user: str | None) -> DataFrame:
-    return projects.where(can_view(user)).orderBy(F.desc("updated_at"), F.desc("id"))
+    return projects.where(can_view(user))
+
+
+def last_updated_first(rows: DataFrame) -> DataFrame:
+    """The order in which projects are listed. A whole table is sorted only where a caller asks for it, best after a limit or filter."""
+    return rows.orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 def counted(projects: DataFrame, rows: DataFrame, name: str) -> DataFrame:
@@ -36,11 +41,10 @@ def latest(extractions: DataFrame, *columns: str) -> DataFrame:
 
 
 def summaries(projects: DataFrame, sources: DataFrame, extractions: DataFrame, user: str | None = None) -> DataFrame:
-    """One row a visible project, the last updated first: its columns, both counts and the latest extraction's title."""
+    """One row a visible project: its columns, both counts and the latest extraction's title."""
     shown = counted(counted(projects.where(can_view(user)), sources, "source_document_count"), extractions, "extraction_count")
     last = latest(extractions, "model_card_title").withColumnRenamed("model_card_title", "latest_extraction_title")
-    out = shown.join(last, shown["id"] == last["project_id"], "left").drop("project_id")
-    return out.orderBy(F.desc("updated_at"), F.desc("id"))
+    return shown.join(last, shown["id"] == last["project_id"], "left").drop("project_id")
 
 
 def totals(projects: DataFrame, sources: DataFrame, extractions: DataFrame) -> DataFrame:

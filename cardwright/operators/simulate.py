@@ -225,7 +225,7 @@ def inputs_of(parameters: DataFrame) -> DataFrame:
 
 
 def with_measured(curve: DataFrame, measured: DataFrame, key: str, order: str = "t") -> DataFrame:
-    """Fitted and measured points of each series side by side, in order of time."""
+    """Fitted and measured points of each series side by side; callers sort what they show."""
     a = curve.select(key, order, *(F.col(c).alias(f"{c}_fit") for c in curve.columns if c not in (key, order)))
     b = measured.select(key, order, *(F.col(c).alias(f"{c}_measured") for c in measured.columns if c not in (key, order)))
-    return a.unionByName(b, allowMissingColumns=True).orderBy(key, order)
+    return a.unionByName(b, allowMissingColumns=True)

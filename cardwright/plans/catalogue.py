@@ -128,15 +128,12 @@ def semi_present(spark: SparkSession, d: str) -> DataFrame:
 WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part)
 SELECT word FROM words WHERE word <> '' AND NOT EXISTS (SELECT 1 FROM conversations WHERE contains(lower(text), word))""")
 def theta_unused(spark: SparkSession, d: str) -> DataFrame:
-    """Words of part names that no conversation contains: the used ones are found per text, so nothing is paired with everything at once."""
+    """Words of part names that no conversation contains: the texts' distinct substrings of the words' lengths, and an anti join by equality."""
     words = _t(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word != ''").distinct()
-    # a vocabulary of a fixed kind: its size is measured before it is sent to the texts
-    listed = [r[0] for r in words.limit(5001).collect()]
-    if len(listed) > 5000:
-        texts = _t(spark, d, "conversations").select(F.lower("text").alias("text"))
-        return words.join(texts, F.contains("text", "word"), "left_anti")
-    texts = _t(spark, d, "conversations").select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    used = texts.select(F.explode(F.filter(F.array(*map(F.lit, listed)), lambda w: F.contains("text", w))).alias("word")).distinct()
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # as many as there are lengths of words
+    texts = _t(spark, d, "conversations").select(F.lower("text").alias("text")).where("text IS NOT NULL").distinct()
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    used = texts.select(F.explode(F.array_distinct(F.concat(*map(parts, lengths)))).alias("word")) if lengths else texts.select(F.col("text").alias("word"))
     return words.join(used, "word", "left_anti")
 
 
@@ -461,7 +458,8 @@ def rk4_simulate(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def monod_fit(spark: SparkSession, d: str) -> DataFrame:
     p = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (0.4 + (F.col("s_suppkey") % 4) * 0.05).alias("mumax"), F.lit(16.0).alias("T"), F.lit(0.05).alias("dt"))
-    return simulate.fit(simulate.simulate(p).where("cast(t * 20 + 0.5 as int) % 20 = 0").withColumnRenamed("id", "series_id"))
+    measured = series_csv.decimated(simulate.simulate(p), "id", "t", 20)
+    return simulate.fit(measured.withColumnRenamed("id", "series_id"))
 
 
 @query()

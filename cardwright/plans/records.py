@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardwright.functions import text as X
 from cardwright.functions.units import label, normal_equation, parse_unit
 from cardwright.operators import classify as C
-from cardwright.operators import editing, evaluate, extract, multisource, projects, reproducibility, simulate, templates, units
+from cardwright.operators import codegen, editing, evaluate, extract, multisource, projects, reproducibility, simulate, templates, units
 from cardwright.plans.catalogue import _t, query
 from cardwright.sources import ingest, series_csv, sinks, store
 
@@ -652,3 +652,90 @@ def all_conflicts(spark: SparkSession, d: str) -> DataFrame:
     eq = lines.select(F.col("l_suppkey").cast("string").alias("label"), F.concat(F.lit("x = "), F.col("l_linenumber")).alias("plaintext"), F.lit("").alias("latex"), F.col("l_orderkey").alias("extraction_id"), F.col("l_linenumber").alias("ordinal"))
     sources = spark.range(3).select(F.col("id").cast("string").alias("source"), F.col("id").alias("extraction_id"))
     return multisource.conflicts(rows, rows, eq, sources).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+# --- scripts and packages --------------------------------------------------------------------------------------------
+
+
+@query(f"WITH l AS ({_LINE}) SELECT id, CASE flag WHEN 'R' THEN 'as said' ELSE 'elsewhere' END AS quote, min(CASE WHEN k <= 2 THEN 0 WHEN k <= 4 THEN 1 ELSE 2 END) AS kind FROM l WHERE flag <> 'N' GROUP BY 1, 2")
+def source_quotes(spark: SparkSession, d: str) -> DataFrame:
+    _, *rows = _described_cards(spark, d)
+    eq, var, par = (df.withColumn("source_quote", F.when(F.col("flag") == "R", " as said ").when(F.col("flag") == "A", "elsewhere").otherwise(" ")) for df in rows)
+    return codegen.distinct_quotes(eq, var, par).select(F.col("extraction_id").alias("id"), F.col("q").alias("quote"), F.col("ordinal.k").alias("kind"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'h' WHEN 1 THEN 'd' WHEN 2 THEN 'min' WHEN 3 THEN 's' ELSE 'h' END AS time_unit, CASE o_orderkey % 5 WHEN 0 THEN 1.5 WHEN 1 THEN -200.0 END AS x0, CASE o_orderkey % 3 WHEN 0 THEN 'mu' WHEN 1 THEN 'C_0' END AS lhs FROM orders")
+def script_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The time unit of a card's units, the initial state that the provider's document gives, and the left-hand side of an equation."""
+    o, k = _t(spark, d, "orders"), F.col("o_orderkey")
+    cards = o.select(k.alias("extraction_id"))
+    par = o.select(k.alias("extraction_id"), F.lit(0).alias("ordinal"), _pick(["1/h", "g/day", "per min", "mol/s", None], k % 5).alias("unit"))
+    var = o.select(k.alias("extraction_id"), F.lit(0).alias("ordinal"), F.lit("X").alias("symbol"), F.lit("g/L").alias("unit"), F.lit("state").alias("role"))
+    said = _pick(["1.5", " -2e2 ", "about 3", "", None], k % 5)
+    raw = o.select(k.alias("extraction_id"), F.to_json(F.struct(F.array(*(F.struct(F.lit(s).alias("symbol"), c.alias("initial_condition")) for s, c in ((" x", said), ("X", F.lit("99"))))).alias("state_variables"))).alias("raw"))
+    texts = o.select(k.alias("extraction_id"), codegen.lhs_symbol(_pick(["mu = a", "C_0: start", "dX/dt = a"], k % 3)).alias("lhs"))
+    starts = codegen.initial_states(var, raw).select("extraction_id", F.col("start").alias("x0"))
+    out = codegen.time_units(cards, var, par).join(starts, "extraction_id").join(texts, "extraction_id")
+    return out.select(F.col("extraction_id").alias("id"), "time_unit", "x0", "lhs")
+
+
+@query("SELECT s_suppkey AS id, 15 AS files, 14 AS cells, 'IMPORTS,INITIAL STATES,MODEL,PARAMETERS,PLOT,SIMULATION' AS sections, 'dSdt = D * (Sin - S) - (1.0 / Yxs) * mu * X' AS rate, 6 AS parameters FROM supplier")
+def package_files(spark: SparkSession, d: str) -> DataFrame:
+    """The 15 files of each supplier's card: the notebook's cells, the script's sections, a right-hand side of the model and the lines of a table."""
+    from cardwright.plans.catalogue import _cards
+
+    e, eq, var, par = _cards(spark, d)
+    files = codegen.package(e.select("extraction_id", F.col("s_name").alias("title")), eq, var, par)
+    of = lambda name: F.max(F.when(F.col("filename") == name, F.col("content")))
+    out = files.groupBy("extraction_id").agg(F.count("*").cast("int").alias("files"), of("model_notebook.ipynb").alias("book"), of("simulate.py").alias("script"), of("parameters.csv").alias("csv"))
+    found = codegen.sections("script")
+    return out.select(
+        F.col("extraction_id").alias("id"), "files", F.expr("json_array_length(get_json_object(book, '$.cells'))").alias("cells"), F.array_join(F.array_sort(F.map_keys(found)), ",").alias("sections"),
+        F.regexp_extract(F.element_at(found, "MODEL"), "(dSdt = .*)", 1).alias("rate"), (F.size(F.split("csv", "\n")) - 1).alias("parameters"),
+    )
+
+
+_NUMBERS = [(0.5, "0.5"), (3.0, "3"), (-0.0004, "-4e-04"), (None, "None"), (2.5e7, "2.5e+07"), (0.0, "0")]
+
+
+@query(f"SELECT p_partkey AS id, n.t AS number FROM part JOIN {_values([(i, t) for i, (_, t) in enumerate(_NUMBERS)])} n(k, t) ON p_partkey % 6 = n.k")
+def numbers_for_code(spark: SparkSession, d: str) -> DataFrame:
+    v = F.element_at(F.array(*(F.lit(x).cast("double") for x, _ in _NUMBERS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), codegen.number_text(v).alias("number"))
+
+
+@query("SELECT s_suppkey AS id, floor((0.4 + (s_suppkey % 4) * 0.05) * 100 + 0.5) / 100 AS mumax, 1.0::DOUBLE AS r2 FROM supplier")
+def fit_recovers(spark: SparkSession, d: str) -> DataFrame:
+    """Fits of simulated series find the rate that each was made with."""
+    from cardwright.plans.catalogue import monod_fit
+
+    return monod_fit(spark, d).select(F.col("series_id").alias("id"), X.round_half_up("mumax", 2).alias("mumax"), X.round_half_up("r2_X", 3).alias("r2"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE c_name END AS data FROM customer")
+def data_urls(spark: SparkSession, d: str) -> DataFrame:
+    k, plain = F.col("c_custkey"), F.base64(F.col("c_name").cast("binary"))
+    given = F.when(k % 3 == 0, plain).when(k % 3 == 1, F.concat(F.lit("data:application/pdf;base64,"), plain)).otherwise("!!")
+    return _t(spark, d, "customer").select(k.alias("id"), ingest.decoded_pdf(given).cast("string").alias("data"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '[(1)] ' || upper(p_name) || ' (y = x)' ELSE '[(1)] ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' (' || p_brand || ')' END END AS description, p_partkey % 2 = 0 AS edited FROM part")
+def patch_equation(spark: SparkSession, d: str) -> DataFrame:
+    """A patched equation is described anew; the plain text is left out where it equals the meaning."""
+    p, k = _t(spark, d, "part"), F.col("p_partkey")
+    rows = p.select(k.alias("id"), F.lit("(1)").alias("label"), F.col("p_name").alias("meaning"), F.when(k % 3 == 0, F.col("p_name")).otherwise(F.col("p_brand")).alias("plaintext"), F.lit(False).alias("edited_by_user"), F.lit(None).cast("string").alias("original_value"))
+    rows = rows.withColumn("description", editing.described())
+    patches = rows.where("id % 2 = 0").select("id", F.upper("meaning").alias("meaning"), F.lit("y = x").alias("plaintext"))
+    return editing.patch(rows, patches, editing.FIELDS["equations"]).select("id", "description", F.col("edited_by_user").alias("edited"))
+
+
+@query(f"""
+SELECT doc_id AS id, CASE doc_id % 4 WHEN 1 THEN 'state_variables.0.confidence: unknown value,parameters.0.confidence: unknown value,equations.0.confidence: unknown value' WHEN 2 THEN 'no JSON object'
+  ELSE 'system_type: required' END AS errors, 502 AS status FROM ({_TITLE}) WHERE doc_id % 4 <> 0""")
+def extraction_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that break the schema: an unknown value, no JSON at all, a field that is not there."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    answers, k = extract.mock(extract.guarded(docs)[0]), F.col("id") % 4
+    spoilt = F.when(k == 1, F.replace("raw", F.lit('"confidence":"low"'), F.lit('"confidence":"none"'))).when(k == 2, "I cannot say.").when(k == 3, F.replace("raw", F.lit('"system_type"'), F.lit('"kind"'))).otherwise(F.col("raw"))
+    bad = extract.validated(answers.withColumn("raw", spoilt))[1]
+    return bad.select("id", F.array_join("validation_errors", ",").alias("errors"), F.col("status_code").alias("status"))
