@@ -24,9 +24,11 @@ def _lines(rows: DataFrame, line: Column, name: str) -> DataFrame:
 
 
 def number_text(c: Column) -> Column:
-    """A number for code: whole ones without point, very small and large ones with an exponent."""
+    """A number for code: whole ones without point, those under 0.001 and over a million with an exponent, all digits kept."""
     small = (F.abs(c) > 0) & ((F.abs(c) < 1e-3) | (F.abs(c) > 1e6))
-    return F.when(c.isNull() | F.isnan(c), "None").when(small, F.regexp_replace(F.format_string("%e", c), "0+e", "e")).when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    shown = F.regexp_replace(c.cast("string"), r"^(-?\d)(\d{6})\.(\d+)$", "$1.$2$3e6")
+    power = F.regexp_replace(F.regexp_replace(F.lower(shown), r"\.?0*e", "e"), r"e(\d)", "e+$1")
+    return F.when(c.isNull() | F.isnan(c), "None").when(small, power).when(c == F.floor(c), c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
 def _name(c: str) -> Column:

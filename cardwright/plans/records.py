@@ -695,12 +695,12 @@ def package_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_NUMBERS = [(0.5, "0.5"), (3.0, "3"), (-0.0004, "-4e-04"), (None, "None"), (2.5e7, "2.5e+07"), (0.0, "0")]
+_NUMBERS = [(0.5, "0.5"), (3.0, "3"), (-0.0004, "-4e-4"), (None, "None"), (2.5e7, "2.5e+7"), (0.0, "0"), (1234567.5, "1.2345675e+6"), (1.05e-10, "1.05e-10")]
 
 
-@query(f"SELECT p_partkey AS id, n.t AS number FROM part JOIN {_values([(i, t) for i, (_, t) in enumerate(_NUMBERS)])} n(k, t) ON p_partkey % 6 = n.k")
+@query(f"SELECT p_partkey AS id, n.t AS number FROM part JOIN {_values([(i, t) for i, (_, t) in enumerate(_NUMBERS)])} n(k, t) ON p_partkey % 8 = n.k")
 def numbers_for_code(spark: SparkSession, d: str) -> DataFrame:
-    v = F.element_at(F.array(*(F.lit(x).cast("double") for x, _ in _NUMBERS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    v = F.element_at(F.array(*(F.lit(x).cast("double") for x, _ in _NUMBERS)), (F.col("p_partkey") % 8 + 1).cast("int"))
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), codegen.number_text(v).alias("number"))
 
 

@@ -101,7 +101,7 @@ def test_extraction_pipeline(spark):
     valid, bad = extract.validated(extract.mock(usable))
     assert bad.count() == 0 and valid.first()["doc"]["paper_title_or_topic"] == "A chemostat with Monod kinetics, described at length."
     rows = extract.rows_of(valid)
-    assert rows["parameters"].first()["value"] == 0.1 and rows["assumptions"].count() == 2
+    assert rows["parameters"].first()["value"] == 0.1 and rows["assumptions"].count() == 3  # two assumptions and a limitation
     assert extract.choose_provider(None, {}) == "mock" and extract.choose_provider("ollama", {}) == "mock"
     with pytest.raises(ValueError):
         extract.choose_provider("openai", {})
