@@ -372,6 +372,9 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
         ids = ids.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("check")).otherwise(F.col("node")))
     ids = ids.drop("check")
 
+    # each text's smallest id: found where rows lie before they are dealt by text, so that many copies of one come as few rows
+    smallest = written(ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least")), "smallest")
+
     # buckets and partitions by the number of postings, each about 1 / 5 of a set's shingles
     partitions, total = int(spark.conf.get("spark.sql.shuffle.partitions")), ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     postings = total - percent * total // 100
@@ -392,7 +395,7 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
 
     def candidate_sets(nodes: DataFrame) -> DataFrame:
         """Prefixes and sets of the nodes, from one text each."""
-        chosen = written(ids.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("chosen")), "chosen")
+        chosen = written(smallest.join(nodes, "node", "left_semi").select("node", F.col("least").alias("chosen")), "chosen")
         wanted = written(chosen.select("chosen").distinct(), "wanted")
         of_wanted = rows.join(few(wanted), rows["id"].eqNullSafe(F.col("chosen")), "left_semi").select("text")
         found = written(of_wanted.mapInArrow(tidy(_candidates(order, percent, clashing)), ddl(_CANDIDATES)).join(few(chosen.select("node")), "node", "left_semi"), "sets")
@@ -460,7 +463,6 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
             links = links.unionByName(x)
         comps = components(links)
 
-    smallest = ids.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"))
     joined = smallest.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_comp = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_node = joined.join(of_comp, "comp").select("node", "component_id")
