@@ -168,10 +168,14 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Memo:
-    """A hash table from unsigned 64-bit hashes to entries numbered from 0, looked up and filled by whole arrays."""
+    """A hash table from unsigned 64-bit hashes to entries numbered from 0, looked up and filled by whole arrays. It grows when half full."""
 
-    def __init__(self, bits: int = 20):
-        self.bits, self.n = bits, 0
+    def __init__(self, bits: int = 16):
+        self.n = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
+        self.bits = bits
         self.keys, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
@@ -193,8 +197,17 @@ class Memo:
 
     def add(self, hashes: np.ndarray) -> None:
         """New, distinct hashes get the next entries in order."""
-        place, entries = self._places(hashes), np.arange(self.n, self.n + len(hashes), dtype=np.int32)
-        self.n += len(hashes)
+        total = self.n + len(hashes)
+        if 2 * total > 1 << self.bits:
+            there = np.flatnonzero(self.entries >= 0)
+            keys, entries = self.keys[there], self.entries[there]
+            self._empty((2 * total).bit_length())
+            self._put(keys, entries)
+        self._put(hashes, np.arange(self.n, total, dtype=np.int32))
+        self.n = total
+
+    def _put(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        place = self._places(hashes)
         while len(hashes):
             first = np.zeros(len(place), dtype=bool)
             first[np.unique(place, return_index=True)[1]] = True
