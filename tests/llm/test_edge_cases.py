@@ -245,3 +245,14 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         if name != "sentencepiece":
             assert out.columns == docs.columns
     assert {"n_hit", "node", "score"} <= set(out.columns) and "round_trip" in out.columns
+
+
+def test_table_of_hashes_grows():
+    rng, table, known = np.random.default_rng(0), hashing.Memo(4), []
+    for n in (3, 0, 500, 20_000):
+        new = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        table.add(new)
+        known.append(new)
+    known = np.concatenate(known)
+    assert (table.find(known) == np.arange(len(known))).all() and (table.find(rng.integers(0, 2**64, 1000, dtype=np.uint64)) < 0).all()
+    assert 2 * table.n <= 1 << table.bits
