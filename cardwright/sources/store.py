@@ -7,7 +7,7 @@ into place and never changed: readers take the last one, so they see all of a ve
 import json
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,12 +75,13 @@ def append(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def update(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the non-null values of ``patches`` in rows of equal key."""
+def update(rows: DataFrame, patches: DataFrame, key: str, clear: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the non-null values of ``patches`` in rows of equal key; of columns in ``clear`` null values too."""
     given = [c for c in patches.columns if c != key]
-    p = patches.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in given))
+    p = patches.select(F.col(key).alias("_key"), F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in given))
     out = rows.join(p, rows[key] == p["_key"], "left")
-    return out.select(*(F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in rows.columns))
+    new = lambda c: F.when(F.col("_hit").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) if c in clear else F.coalesce(f"_{c}", c)
+    return out.select(*(new(c).alias(c) if c in given else F.col(c) for c in rows.columns))
 
 
 def upsert(rows: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:

@@ -140,3 +140,9 @@ def test_sections_and_initial_states(spark):
 def test_repair(spark, text, want):
     r = one(spark, text, extract.repaired)
     assert r["status"] == want and (r["json"] is None) == (want == "failed")
+
+
+def test_update_can_clear(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "a", "b")], "id long, x string, y string")
+    patch = spark.createDataFrame([(1, None, None)], "id long, x string, y string")
+    assert sorted(map(tuple, store.update(rows, patch, "id", clear=("x",)).collect())) == [(1, None, "b"), (2, "a", "b")]
