@@ -11,8 +11,11 @@ from .decontaminate import contamination
 from .html_text import html_text
 from .licenses import license_scan
 from .line_dedup import drop_boilerplate
+from .nearest import nearest
 from .ngram_join import ngram_components
 from .pieces import round_trip
+from .prefix_trie import prefix_trie
+from .ranked_search import TERM, search as ranked_search
 from .shared import rows_at_once, shared_dir, small_batches, written
 from .token_shards import document_digests, write_shards
 from .toxicity import held_out, score, train
@@ -93,7 +96,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_token_shards, op4_ngram_join, op5_chroma, op6_sentencepiece, op7_line_dedup, op8_token_counts, op9_decontaminate, op10_license_scan)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", k=5)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_token_shards, op4_ngram_join, op5_chroma, op6_sentencepiece, op7_line_dedup, op8_token_counts, op9_decontaminate, op10_license_scan, op11_ranked_search, op12_nearest, op13_prefix_trie)}
 
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -142,4 +157,60 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(lis
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_ranked_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format(t="text")}, '{TERM}') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format(t="text")}, '{TERM}')) AS term FROM benchmark),
+sizes AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, n, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, sizes WHERE term IN (SELECT term FROM i) GROUP BY term, docs),
+parts AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words)))) AS part
+  FROM tf JOIN weights USING (term), sizes),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM i JOIN parts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 50""",
+    "op13_prefix_trie": """
+WITH RECURSIVE bytes AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM conversations),
+crc AS (
+  SELECT conv_id, name, 0 AS i, 4294967295::BIGINT AS c FROM bytes
+  UNION ALL
+  SELECT conv_id, name, i + 1,
+    CASE WHEN b8 % 2 = 1 THEN xor(b8 // 2, 3988292384) ELSE b8 // 2 END
+  FROM (SELECT *, CASE WHEN b7 % 2 = 1 THEN xor(b7 // 2, 3988292384) ELSE b7 // 2 END AS b8
+  FROM (SELECT *, CASE WHEN b6 % 2 = 1 THEN xor(b6 // 2, 3988292384) ELSE b6 // 2 END AS b7
+  FROM (SELECT *, CASE WHEN b5 % 2 = 1 THEN xor(b5 // 2, 3988292384) ELSE b5 // 2 END AS b6
+  FROM (SELECT *, CASE WHEN b4 % 2 = 1 THEN xor(b4 // 2, 3988292384) ELSE b4 // 2 END AS b5
+  FROM (SELECT *, CASE WHEN b3 % 2 = 1 THEN xor(b3 // 2, 3988292384) ELSE b3 // 2 END AS b4
+  FROM (SELECT *, CASE WHEN b2 % 2 = 1 THEN xor(b2 // 2, 3988292384) ELSE b2 // 2 END AS b3
+  FROM (SELECT *, CASE WHEN b1 % 2 = 1 THEN xor(b1 // 2, 3988292384) ELSE b1 // 2 END AS b2
+  FROM (SELECT conv_id, name, i, xor(c, CAST(ascii(substr(name, i + 1, 1)) AS BIGINT)) AS b1 FROM crc WHERE i < length(name)))))))))),
+heads AS (SELECT conv_id, xor(c, 4294967295) % 9 AS h FROM crc WHERE i = length(name)),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+made AS (
+  SELECT h.conv_id, 0 AS own, t.pos, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id - h.conv_id % 5 AND t.pos < h.h
+  UNION ALL SELECT h.conv_id, 1, t.pos, role, text FROM heads h JOIN turns t ON t.conv_id = h.conv_id AND t.pos >= h.h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, text,
+    string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING) AS k FROM made),
+paths AS (
+  SELECT conv_id, CAST(depth AS BIGINT) AS depth, k, CAST(strlen(text) AS BIGINT) AS bytes, max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM placed
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM made) FROM heads),
+nodes AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM paths GROUP BY depth, k),
+tree AS (
+  SELECT n.*, p.k AS parent_k, u.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN paths p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 LEFT JOIN nodes u ON u.depth = p.depth AND u.k = p.k),
+kids AS (SELECT depth - 1 AS depth, parent_k AS k, count(*) AS n FROM tree WHERE depth > 0 GROUP BY 1, 2),
+below AS (
+  SELECT p.depth, p.k, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((n.n_convs - 1) * n.bytes) AS saved
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids ON kids.depth = n.depth AND kids.k = n.k GROUP BY p.depth, p.k)
+SELECT t.conv_id, t.depth, t.parent_conv_id, t.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(below.leaves AS BIGINT) AS n_leaves,
+  CAST(below.saved AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM tree t LEFT JOIN kids ON kids.depth = t.depth AND kids.k = t.k JOIN below ON below.depth = t.depth AND below.k = t.k""",
 }
