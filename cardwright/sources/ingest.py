@@ -1,12 +1,13 @@
-"""Plain-text and PDF sources: limits, page counts and diagnostics. Reading a PDF's text is left to a function that the caller gives."""
+"""Plain-text and PDF sources: limits, page counts and diagnostics. PDFs are read by ``cardwright.sources.pdf`` or by a function that the caller gives."""
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwright.functions.text import trim_all
+from cardwright.sources import pdf
 
 #: Limits of sources. Fixed values.
 PDF_BYTES, PDF_PAGES, LEAST_CHARS, RETRY_CHARS, TEXT_BYTES = 20 << 20, 200, 30, 120, 10 << 20
@@ -44,33 +45,75 @@ def word_count(c: Column | str) -> Column:
     return F.size(F.filter(F.split(F.coalesce(t, F.lit("")), r"\s+"), lambda x: x != ""))
 
 
-def pdf_texts(files: DataFrame, reader: Callable[[bytes], tuple[str, int]], retry: Callable[[bytes], tuple[str, int]] | None = None, data: str = "data") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of base64 PDFs (id, data): text, pages, chars, words and page_chars, or a reason with a status code.
+def page_char_counts(text: Column | str, pages: Column | int) -> Column:
+    """Characters by page: of the parts between form feeds or two blank lines, trimmed, where there are at least as many as pages; else even shares, the rest on the last page."""
+    t = F.col(text) if isinstance(text, str) else text
+    n = F.lit(pages) if isinstance(pages, int) else pages
+    parts = F.transform(F.split(t, r"\f|\n\s*\n\s*\n"), lambda x: F.length(trim_all(x)))
+    share = F.floor(F.length(t) / n).cast("int")
+    even = F.concat(F.array_repeat(share, n - 1), F.array(F.length(t) - share * (n - 1)))
+    return F.when(n <= 1, F.array(F.length(t))).when(F.size(parts) >= n, F.slice(parts, 1, F.greatest(n, F.lit(0)))).otherwise(even)
+
+
+Reader = Callable[[bytes], tuple[str, int]]
+
+
+def read_pdf(raw: bytes) -> tuple[str, int]:
+    """(text, pages) of a PDF: pages' texts with a blank line between them."""
+    pages = pdf.page_texts(raw)
+    return "\n\n".join(pages).strip(), len(pages)
+
+
+_READ = "id {id}, text string, pages long, retried boolean, error string"
 
-    ``reader`` gives (text, pages) of a file's bytes. Under 120 characters ``retry`` is asked and the longer text taken.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for raw in frame["raw"]:
-                try:
-                    text, pages = reader(bytes(raw))
-                    if retry is not None and len(text.strip()) < RETRY_CHARS:
-                        other, n = retry(bytes(raw))
-                        text, pages = (other, n) if len(other.strip()) > len(text.strip()) else (text, pages)
-                    out.append((text, pages, None))
-                except Exception as e:  # noqa: BLE001  a reader may fail in any way
-                    out.append((None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame({"id": frame["id"], "text": [o[0] for o in out], "pages": pd.array([o[1] for o in out], "Int64"), "error": [o[2] for o in out]})
-
-    raw = files.select("id", decoded_pdf(data).alias("raw"))
+def _reading(reader: Reader, retry: Reader | None):
+    def read(raw: bytes) -> tuple[str | None, int | None, bool, str | None]:
+        try:
+            text, pages = reader(raw)
+            if retry is None or len(text.strip()) >= RETRY_CHARS:
+                return text, pages, False, None
+            other, n = retry(raw)
+            return (other, n, True, None) if len(other.strip()) > len(text.strip()) else (text, pages, False, None)
+        except Exception as e:  # noqa: BLE001  a reader may fail in any way
+            return None, None, False, str(e) or type(e).__name__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):  # a file may be large, and so may its text
+                found = read(batch.column("raw")[k].as_py())
+                columns = [pa.array([x], t) for x, t in zip(found, (pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), *columns], ["id", "text", "pages", "retried", "error"])
+
+    return run
+
+
+def pdf_texts(files: DataFrame, reader: Reader = read_pdf, retry: Reader | None = None, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of base64 PDFs (id, data): text, pages, chars, words, page_chars, extraction_mode and warnings, or a reason with a status code.
+
+    ``reader`` gives (text, pages) of a file's bytes. Under 120 characters ``retry`` is asked and the longer text taken. ``data`` may also be a
+    column of bytes, as ``pdf_files`` gives it. Tasks read one file after another; a file is at most 20 MB.
+    """
+    binary = files.schema[data].dataType.typeName() == "binary"
+    raw = files.select("id", (F.col(data) if binary else decoded_pdf(data)).alias("raw"))
     size = F.coalesce(F.octet_length("raw"), F.lit(0))
     early = raw.select("id", F.when(size == 0, "no PDF data").when(size > PDF_BYTES, "the file is too large").alias("reason"), F.when(size > PDF_BYTES, 413).otherwise(400).alias("status_code")).where(F.col("reason").isNotNull())
-    read = raw.where((size > 0) & (size <= PDF_BYTES)).mapInPandas(run, "id long, text string, pages long, error string")
-    n = F.length(trim_all(F.coalesce("text", F.lit(""))))
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages") > PDF_PAGES, "too many pages").when(n < LEAST_CHARS, "too little text")
-    read = read.withColumn("reason", reason)
+    schema = _READ.format(id=files.schema["id"].dataType.simpleString())
+    read = raw.where((size > 0) & (size <= PDF_BYTES)).mapInArrow(_reading(reader, retry), schema)
+    text = trim_all("text")
+    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages") > PDF_PAGES, "too many pages").when(F.length(text) < LEAST_CHARS, "too little text")
+    # one row a file through a step that is not copied into every column that reads it
+    read = read.select("id", F.explode(F.array(F.struct("pages", "retried", reason.alias("reason"), text.alias("text")))).alias("f")).select("id", "f.*")
     late = read.where(F.col("reason").isNotNull()).select("id", "reason", F.lit(422).alias("status_code"))
-    good = read.where(F.col("reason").isNull()).select("id", "text", "pages", F.length("text").alias("chars"), word_count("text").alias("words"), page_chars("text", F.col("pages").cast("int")).alias("page_chars"))
+    low = F.when((F.length("text") < RETRY_CHARS) | F.col("retried"), F.array(F.lit("little text on the first pass; read again with other settings"))).otherwise(F.array().cast("array<string>"))
+    good = read.where(F.col("reason").isNull()).select(
+        "id", "text", "pages", F.length("text").alias("chars"), word_count("text").alias("words"), page_char_counts("text", F.col("pages").cast("int")).alias("page_chars"),
+        F.when(F.col("retried"), "normalized_whitespace").otherwise("default").alias("extraction_mode"), low.alias("warnings"),
+    )
     return good, early.unionByName(late)
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(id, data, size) of PDF files in a folder, read by Spark: the path, the bytes (none beyond 20 MB, which are rejected by size) and the length."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return found.select(F.col("path").alias("id"), F.col("content").alias("data"), F.col("length").alias("size"))
