@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import norm
+from cardwright.functions.text import norm, trim_all
 
 #: Severities by kind of conflict. Fixed values.
 SEVERITY = {"parameter_value": "high", "parameter_unit": "high", "variable_definition": "medium", "equation": "medium", "missing_across_sources": "low"}
@@ -11,35 +11,55 @@ SEVERITY = {"parameter_value": "high", "parameter_unit": "high", "variable_defin
 
 #: Under this name the symbols themselves go with the values.
 SYMBOL = "symbol as written"
+#: Values of a set that are shown, the first seen ones; sizes always count all.
+SHOWN = 1_000
 
 
-def first_seen(rows: DataFrame, key: str, value: Column | str, order: Column | str, name: str) -> DataFrame:
-    """(key, name): each key's distinct values in the order in which they first appear; nulls and blanks left out."""
-    v = rows.select(key, F.col(value).cast("string").alias("v") if isinstance(value, str) else value.cast("string").alias("v"), (F.col(order) if isinstance(order, str) else order).alias("o"))
-    firsts = v.where(F.trim("v") != "").groupBy(key, "v").agg(F.min("o").alias("o"))
-    return firsts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias(name))
+def _text(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def aggregated(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...] = ("value", "unit", "meaning", "source"), order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:
-    """One row a symbol, trimmed and case folded: key, the symbol as first written, and for each of ``values`` the set in first-seen order.
+def seen_values(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...] = ("value", "unit", "meaning", "source"), order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:
+    """(key, name, v, seen): for each symbol, trimmed and case folded, its distinct values as rows, each with the place where it is first seen.
 
-    Blank symbols are skipped. The sets of a symbol are grouped by value before they are collected, so their size is that
-    of the distinct values, not of the rows.
+    ``name`` tells which of ``values`` it is, or ``SYMBOL`` for the symbol as written. Blank symbols are skipped, and so are
+    values that are null or empty; of "value" also blank ones. Grouped by value, so a symbol with any number of values is no larger group than others.
     """
     keyed = rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''")
-    items = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("v")) for name, c in ((SYMBOL, symbol), *((v, v) for v in values))))
-    one = keyed.select("key", "seen", F.explode(items).alias("x")).where((F.trim("x.v") != "") | (F.col("x.name") == SYMBOL))
-    # one exchange by value, one by symbol: each value goes on once, with the place where it is first seen
-    firsts = one.groupBy("key", F.col("x.name").alias("name"), F.col("x.v").alias("v")).agg(F.min("seen").alias("seen"))
-    sets = firsts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seen", "name", "v"))).alias("all"))
+    items = F.array(*(F.struct(F.lit(name).alias("name"), _text(c).alias("v")) for name, c in ((SYMBOL, symbol), *((v, v) for v in values))))
+    one = keyed.select("key", "seen", F.explode(items).alias("x")).select("key", "x.name", "x.v", "seen")
+    there = F.when(F.col("name") == "value", trim_all("v")).otherwise(F.col("v")) != ""
+    return one.where(there | (F.col("name") == SYMBOL)).groupBy("key", "name", "v").agg(F.min("seen").alias("seen"))
+
+
+def set_sizes(seen: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """(key, n_<value>s ...): sizes of a symbol's sets, from ``seen_values``."""
+    return seen.groupBy("key").agg(*(F.count_if(F.col("name") == v).alias(f"n_{v}s") for v in values))
+
+
+def first_values(seen: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """The first ``shown`` values of each symbol's sets; tasks keep no more than these before they are dealt by symbol."""
+    place = F.row_number().over(Window.partitionBy("key", "name").orderBy("seen", "v"))
+    return seen.withColumn("place", place).where(F.col("place") <= shown)
+
+
+def aggregated(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...] = ("value", "unit", "meaning", "source"), order: tuple[str, ...] = ("extraction_id", "ordinal"), shown: int = SHOWN) -> DataFrame:
+    """One row a symbol, trimmed and case folded: key, the symbol as first written, for each of ``values`` the set in first-seen order (``<value>s``) and its size (``n_<value>s``).
+
+    Sets stay rows (``seen_values``) until only the first ``shown`` of each are left, so a symbol with a million values costs no
+    task more than others; beyond ``shown`` the size tells that there are more.
+    """
+    seen = seen_values(rows, symbol, values, order)
+    kept = first_values(seen, shown).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "place", "v"))).alias("all"))
     of = lambda name: F.transform(F.filter("all", lambda x: x["name"] == name), lambda x: x["v"])
-    return sets.select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values))
+    sizes = set_sizes(seen, values)
+    return kept.join(sizes, "key").select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values), *(f"n_{v}s" for v in values))
 
 
 def distinct_texts(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:
-    """(text): the texts of all sources, each once however it is spaced and cased, as first written and with its place; blank ones are left out."""
-    keyed = rows.select(norm(text).alias("key"), F.col(text).alias("text"), F.struct(*order).alias("seen")).where("key != ''")
-    return keyed.groupBy(F.sha2("key", 256).alias("key")).agg(F.min_by("text", "seen").alias("text"), F.min("seen").alias("seen")).select("text", "seen")
+    """(text, seen): the texts of all sources, each once exactly as written, with the place where it is first seen; null and empty ones are left out."""
+    there = rows.where(F.col(text) != "").select(F.col(text).alias("text"), F.struct(*order).alias("seen"))
+    return there.groupBy(F.sha2("text", 256).alias("key")).agg(F.min_by("text", "seen").alias("text"), F.min("seen").alias("seen")).select("text", "seen")
 
 
 def of_source(rows: DataFrame, source: str | None) -> DataFrame:
@@ -51,11 +71,15 @@ def equation_key() -> Column:
     return F.coalesce(*(F.nullif(norm(c), F.lit("")) for c in ("label", "plaintext", "latex")))
 
 
-def equation_forms(equations: DataFrame, order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:
-    """(key, display, forms): equations by label, else plain text, else LaTeX; their distinct forms in first-seen order."""
-    keyed = equations.withColumns({"key": equation_key(), "seen": F.struct(*order), "form": F.coalesce(F.nullif(norm("plaintext"), F.lit("")), norm("latex"))}).where(F.col("key").isNotNull())
-    shown = keyed.groupBy("key").agg(F.min_by(F.coalesce("label", "key"), "seen").alias("display"))
-    return shown.join(first_seen(keyed, "key", "form", "seen", "forms"), "key", "left")
+def equation_forms(equations: DataFrame, order: tuple[str, ...] = ("extraction_id", "ordinal"), shown: int = SHOWN) -> DataFrame:
+    """(key, display, forms, n_forms): equations by label, else plain text, else LaTeX; their distinct forms, as written, in first-seen order.
+
+    Keys are trimmed and case folded, forms are not: two that differ in a letter's case or in a space are two. ``display`` is the label of the first
+    equation, which may be empty, or the key where it has none.
+    """
+    keyed = equations.withColumns({"equation": equation_key(), "form": F.coalesce(F.nullif("plaintext", F.lit("")), F.nullif("latex", F.lit("")))}).where(F.col("equation").isNotNull())
+    first = keyed.groupBy(F.col("equation").alias("key")).agg(F.min_by(F.coalesce("label", "equation"), F.struct(*order)).alias("display"))
+    return aggregated(keyed, "equation", ("form",), order, shown).join(first, "key").select("key", "display", "forms", "n_forms")
 
 
 def conflicts(parameters: DataFrame, variables: DataFrame, equations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -66,8 +90,9 @@ def conflicts(parameters: DataFrame, variables: DataFrame, equations: DataFrame,
     """
     p, v, e = aggregated(parameters), aggregated(variables, values=("unit", "meaning", "source")), equation_forms(equations)
     row = lambda df, kind, subject, details: df.select(F.lit(kind).alias("kind"), F.lit(SEVERITY[kind]).alias("severity"), subject.alias("subject"), details.alias("details"))
-    several = lambda c: F.size(c) > 1
-    text = lambda c: F.array_join(c, " | ")
+    several = lambda name: F.col(f"n_{name}") > 1
+    more = lambda name: F.when(F.col(f"n_{name}") > F.size(name), F.concat(F.lit(" | and "), F.col(f"n_{name}") - F.size(name), F.lit(" more"))).otherwise("")
+    text = lambda name: F.concat(F.array_join(name, " | "), more(name))
     last = sources.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("extraction_id")))).where("n = 1").select("source", "extraction_id")
     own = parameters.join(last, ["source", "extraction_id"]).select(norm("symbol").alias("key"), "source").where("key != ''").distinct()
     all_sources = last.agg(F.coalesce(F.array_sort(F.collect_list("source")), F.array().cast("array<string>")).alias("all_sources"))
@@ -79,7 +104,7 @@ def conflicts(parameters: DataFrame, variables: DataFrame, equations: DataFrame,
         row(p.where(several("units")), "parameter_unit", F.col("symbol"), text("units")),
         row(v.where(several("units") | several("meanings")), "variable_definition", F.col("symbol"), F.concat_ws(" / ", text("units"), text("meanings"))),
         row(e.where(several("forms")), "equation", F.col("display"), text("forms")),
-        row(absent, "missing_across_sources", F.col("symbol"), text("missing")),
+        row(absent, "missing_across_sources", F.col("symbol"), F.array_join("missing", " | ")),
     ]
     out = parts[0]
     for part in parts[1:]:

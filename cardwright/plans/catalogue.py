@@ -155,8 +155,8 @@ SELECT l_partkey AS part, count(DISTINCT l_discount) AS n_values, count(DISTINCT
 GROUP BY l_partkey HAVING count(DISTINCT l_discount) > 1 OR count(DISTINCT l_returnflag) > 1""")
 def conflict_values(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_discount").alias("value"), F.col("l_returnflag").alias("unit"), F.col("l_orderkey").alias("extraction_id"), F.col("l_linenumber").alias("ordinal"))
-    by = multisource.aggregated(rows, values=("value", "unit"))
-    return by.where((F.size("values") > 1) | (F.size("units") > 1)).select(F.col("key").cast("long").alias("part"), F.size("values").cast("long").alias("n_values"), F.size("units").cast("long").alias("n_units"))
+    by = multisource.set_sizes(multisource.seen_values(rows, values=("value", "unit")), ("value", "unit"))
+    return by.where("n_values > 1 OR n_units > 1").select(F.col("key").cast("long").alias("part"), "n_values", "n_units")
 
 
 @query("""

@@ -396,12 +396,16 @@ def time_scales(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), units.time_scale(_pick(list(_SCALES), F.col("p_partkey") % len(_SCALES))).alias("scale"))
 
 
-@query("SELECT doc_id, source, min_id FROM documents JOIN (SELECT lower(source) AS s, min(doc_id) AS min_id FROM documents WHERE lang = 'en' GROUP BY 1) ON doc_id = min_id")
+@query("""
+WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN upper(source) ELSE ' ' || source || ' ' END AS text FROM documents WHERE lang = 'en' AND doc_id % 11 <> 0)
+SELECT min(doc_id) AS doc_id, text AS source, min(doc_id) AS min_id FROM t GROUP BY text""")
 def distinct_source_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of the English documents' sources, each once as first seen."""
-    rows = _t(spark, d, "documents").select(F.col("lang").alias("source"), F.concat(F.lit(" "), "source", F.lit(" ")).alias("text"), F.col("doc_id").alias("extraction_id"), F.lit(0).alias("ordinal"))
+    """Names of the English documents' sources, spelt and spaced in several ways, each once exactly as written; some are empty."""
+    k = F.col("doc_id")
+    text = F.when(k % 11 == 0, "").when(k % 3 == 0, F.col("source")).when(k % 3 == 1, F.upper("source")).otherwise(F.concat(F.lit(" "), "source", F.lit(" ")))
+    rows = _t(spark, d, "documents").select(F.col("lang").alias("source"), text.alias("text"), k.alias("extraction_id"), F.lit(0).alias("ordinal"))
     out = multisource.distinct_texts(multisource.of_source(rows, "en"))
-    return out.select(F.col("seen.extraction_id").alias("doc_id"), F.trim("text").alias("source"), F.col("seen.extraction_id").alias("min_id"))
+    return out.select(F.col("seen.extraction_id").alias("doc_id"), F.col("text").alias("source"), F.col("seen.extraction_id").alias("min_id"))
 
 
 @query("SELECT doc_id, length(text) // 3 AS first_page, length(text) - 2 * (length(text) // 3) AS last_page, false AS parted FROM documents WHERE len(string_split(replace(text, chr(12), chr(10) || chr(10) || chr(10)), chr(10) || chr(10) || chr(10))) <> 3 UNION ALL SELECT doc_id, length(p[1]), length(p[3]), true FROM (SELECT doc_id, string_split(replace(text, chr(12), chr(10) || chr(10) || chr(10)), chr(10) || chr(10) || chr(10)) AS p FROM documents) WHERE len(p) = 3 UNION ALL SELECT -doc_id - 1, 3, length(text), true FROM documents WHERE NOT contains(text, chr(12)) AND NOT contains(text, chr(10) || chr(10) || chr(10))")
@@ -644,12 +648,15 @@ def template_coverage(spark: SparkSession, d: str) -> DataFrame:
 WITH p AS (SELECT l_partkey::VARCHAR AS s, l_orderkey % 3 AS src, l_discount AS v, l_returnflag AS u FROM lineitem),
 c AS (SELECT s, count(DISTINCT v) AS nv, count(DISTINCT u) AS nu, count(DISTINCT src) AS ns FROM p GROUP BY 1)
 SELECT 'parameter_value' AS kind, 'high' AS severity, count(*) AS n FROM c WHERE nv > 1 UNION ALL SELECT 'parameter_unit', 'high', count(*) FROM c WHERE nu > 1 UNION ALL SELECT 'missing_across_sources', 'low', count(*) FROM c WHERE ns < 3 HAVING count(*) > 0
-UNION ALL SELECT 'variable_definition', 'medium', count(*) FROM c WHERE nu > 1 OR nv > 1 UNION ALL SELECT 'equation', 'medium', count(*) FROM (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1)""")
+UNION ALL SELECT 'variable_definition', 'medium', count(*) FROM c WHERE nu > 1 OR nv > 1 UNION ALL SELECT 'equation', 'medium', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT CASE l_linenumber % 4 WHEN 0 THEN 'X = a' WHEN 1 THEN 'x = a ' WHEN 2 THEN 'x =  a' END) > 1)""")
 def all_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """The five kinds of disagreement between three sources."""
     lines = _t(spark, d, "lineitem")
     rows = lines.select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_discount").alias("value"), F.col("l_returnflag").alias("unit"), F.col("l_discount").cast("string").alias("meaning"), (F.col("l_orderkey") % 3).cast("string").alias("source"), (F.col("l_orderkey") % 3).alias("extraction_id"), F.col("l_linenumber").alias("ordinal"))
-    eq = lines.select(F.col("l_suppkey").cast("string").alias("label"), F.concat(F.lit("x = "), F.col("l_linenumber")).alias("plaintext"), F.lit("").alias("latex"), F.col("l_orderkey").alias("extraction_id"), F.col("l_linenumber").alias("ordinal"))
+    # labels of one equation in two spellings; forms that differ only in case and spaces; every third line of four has none
+    n = F.col("l_linenumber")
+    label = F.concat(F.when(n % 2 == 0, " E").otherwise("e"), F.col("l_orderkey"), F.when(n % 3 == 0, " ").otherwise(""))
+    eq = lines.select(label.alias("label"), F.when(n % 4 != 3, _pick(["X = a", "x = a ", "x =  a"], n % 4)).otherwise("").alias("plaintext"), F.lit("").alias("latex"), F.col("l_orderkey").alias("extraction_id"), n.alias("ordinal"))
     sources = spark.range(3).select(F.col("id").cast("string").alias("source"), F.col("id").alias("extraction_id"))
     return multisource.conflicts(rows, rows, eq, sources).groupBy("kind", "severity").agg(F.count("*").alias("n"))
 

@@ -82,12 +82,29 @@ def test_simulation_checks(spark):
 def test_one_pass_sets(spark):
     rows = spark.createDataFrame([(" Mu ", "0.4", "1/h", 2, 0), ("mu", "0.4", None, 1, 5), ("MU", "0.5", " ", 3, 0), ("", "9", "x", 1, 1), (None, "9", "x", 1, 1)], "symbol string, value string, unit string, extraction_id int, ordinal int")
     got = multisource.aggregated(rows, values=("value", "unit")).collect()
-    assert [(r["key"], r["symbol"], r["values"], r["units"]) for r in got] == [("mu", "mu", ["0.4", "0.5"], ["1/h"])]
+    assert [(r["key"], r["symbol"], r["values"], r["units"]) for r in got] == [("mu", "mu", ["0.4", "0.5"], ["1/h", " "])]
     texts = spark.createDataFrame([(" A b", 2, 0, "s"), ("a B", 1, 0, "t"), (" ", 0, 0, "s"), (None, 0, 0, "s")], "text string, extraction_id int, ordinal int, source string")
-    assert [r["text"] for r in multisource.distinct_texts(texts).collect()] == ["a B"]
+    assert sorted(r["text"] for r in multisource.distinct_texts(texts).collect()) == [" ", " A b", "a B"]
     assert multisource.of_source(texts, "s").count() == 3 and multisource.of_source(texts, "all").count() == multisource.of_source(texts, None).count() == 4
 
 
+def test_forms_as_written(spark):
+    eq = spark.createDataFrame([(" (1)", "X = a", "", 1), ("(1) ", "x = a ", "L", 2), ("(1)", "X = a", "", 3), ("", "", "y", 4), (None, None, "Y ", 5), (" ", "", "", 6)], "label string, plaintext string, latex string, extraction_id int").withColumn("ordinal", F.lit(0))
+    got = {r["key"]: (r["display"], r["forms"], r["n_forms"]) for r in multisource.equation_forms(eq).collect()}
+    assert got == {"(1)": (" (1)", ["X = a", "x = a "], 2), "y": ("", ["y", "Y "], 2)}
+
+
+def test_symbol_with_very_many_values(spark):
+    hot = spark.range(300_000).select(F.lit(" K ").alias("symbol"), F.concat(F.lit("v"), "id").alias("value"), F.lit("1/h").alias("unit"), F.col("id").alias("extraction_id"), F.lit(0).alias("ordinal"))
+    got = multisource.aggregated(hot.unionByName(hot.limit(3).withColumn("symbol", F.lit("other"))), values=("value", "unit"), shown=5).collect()
+    assert {r["key"]: (r["n_values"], r["n_units"], len(r["values"])) for r in got} == {"k": (300_000, 1, 5), "other": (3, 1, 3)}
+    assert next(r["values"] for r in got if r["key"] == "k") == [f"v{i}" for i in range(5)]
+    none = spark.createDataFrame([], "label string, plaintext string, latex string, extraction_id int, ordinal int")
+    some = hot.limit(2_500).withColumns({"meaning": F.lit(None).cast("string"), "source": F.lit("s")})
+    found = multisource.conflicts(some, some, none, spark.createDataFrame([("s", 1)], "source string, extraction_id long")).where("kind = 'parameter_value'").first()
+    assert found["details"].endswith("v999 | and 1500 more")
+
+
 def test_requests(spark):
     rows = spark.createDataFrame([("1", " "), ("0", "x" * 30), (None, "x" * 30), ("7", "x" * 30), ("1.0", None)], "project_id string, content string")
     good, bad = projects.requested(rows, "source")
