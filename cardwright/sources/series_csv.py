@@ -25,16 +25,27 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     exceed that of all rows accepted before it; negative X and S become 0 with a warning. Only the first 10 000 data rows
     are read. Fewer than 5 accepted rows, or any error, make a file not ok; accepted rows are returned all the same.
     """
-    kept = F.filter(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), "\n"), lambda x: (trim_all(x) != "") & ~trim_all(x).startswith("#"))
-    lines = files.select("file_id", kept.alias("lines"))
-    header = F.transform(F.split(F.element_at("lines", 1), ","), squash)
+    kept = F.filter(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), "\n"), is_kept)
+    whole = files.select("file_id", kept.alias("lines")).select("file_id", F.size("lines").alias("n_lines"), F.try_element_at("lines", F.lit(1)).alias("header"), "lines")
+    data = whole.select("file_id", "header", F.posexplode(F.slice("lines", 2, MOST_ROWS)).alias("at", "line"))
+    return judged(whole.drop("lines"), data)
+
+
+def is_kept(line: Column) -> Column:
+    """Neither blank nor a comment."""
+    return (trim_all(line) != "") & ~trim_all(line).startswith("#")
+
+
+def judged(heads: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``parse`` returns, from heads (file_id, n_lines, header), n_lines counting all kept lines, and data (file_id, header, at, line), at counting data rows from 0 up to ``MOST_ROWS``."""
+    header = F.transform(F.split("header", ","), squash)
     place = {c: F.coalesce(*(F.nullif(F.array_position(header, n).cast("int"), F.lit(0)) for n in names)) if len(names) == 1 else F.nullif(F.least(*(F.when(F.array_position(header, n) > 0, F.array_position(header, n)).otherwise(F.lit(2**31 - 1)) for n in names)).cast("int"), F.lit(2**31 - 1)) for c, names in HEADERS.items()}
-    full = lines.where(F.size("lines") >= 2)
-    placed = full.withColumns({f"_{c}": p for c, p in place.items()})
+    places = {f"_{c}": p for c, p in place.items()}
+    placed = heads.where("n_lines >= 2").withColumns(places)
     absent = F.array_compact(F.array(*(F.when(F.col(f"_{c}").isNull(), F.lit(f"missing column {'time' if c == 't' else c}")) for c in ("t", "X", "S"))))
     complete = placed.where(F.size(absent) == 0)
 
-    data = complete.select("file_id", *(f"_{c}" for c in HEADERS), F.posexplode(F.slice("lines", 2, MOST_ROWS)).alias("at", "line"))
+    data = data.withColumns(places).where(F.size(absent) == 0)
     cells = F.split("line", ",")
     cell = lambda c: F.when(F.col(f"_{c}") <= F.size(cells), leading_number(F.element_at(cells, F.col(f"_{c}"))))
     finite = lambda c: F.when(F.abs(c) < float("inf"), c)
@@ -52,9 +63,9 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     none = F.lit(None)
     counts = complete.select("file_id").join(rows.groupBy("file_id").agg(F.count("*").alias("n")), "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     parts = [
-        message(lines.where(F.size("lines") < 2), none, "error", F.lit("the file is empty or has no data rows")),
+        message(heads.where("n_lines < 2"), none, "error", F.lit("the file is empty or has no data rows")),
         message(placed.select("file_id", F.explode(absent).alias("m")), none, "error", F.col("m")),
-        message(complete.where(F.size("lines") - 1 > MOST_ROWS), none, "warning", F.lit(f"only the first {MOST_ROWS} rows are read")),
+        message(complete.where(F.col("n_lines") - 1 > MOST_ROWS), none, "warning", F.lit(f"only the first {MOST_ROWS} rows are read")),
         message(read.where(F.col("wrong").isNotNull()), F.col("row"), "error", F.col("wrong")),
         message(good.where("X < 0"), F.col("row"), "warning", F.lit("negative X set to 0")),
         message(good.where("S < 0"), F.col("row"), "warning", F.lit("negative S set to 0")),
@@ -64,7 +75,7 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for part in parts[1:]:
         messages = messages.unionByName(part)
     failed = messages.where("severity = 'error'").select("file_id").distinct().withColumn("_failed", F.lit(True))
-    status = files.select("file_id").join(failed, "file_id", "left").join(counts, "file_id", "left").select("file_id", F.col("_failed").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    status = heads.select("file_id").join(failed, "file_id", "left").join(counts, "file_id", "left").select("file_id", F.col("_failed").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n_rows"))
     return rows, messages, status
 
 
