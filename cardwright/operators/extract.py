@@ -149,7 +149,7 @@ def rows_of(valid: DataFrame, key: str = "id") -> dict[str, DataFrame]:
     d = F.col("doc")
     head = valid.select(
         F.col(key).alias("id"), d["paper_title_or_topic"].alias("model_card_title"), d["system_type"].alias("domain"), system_description(d).alias("system_description"),
-        problem_statement(d["model_card"]).alias("problem_statement"), F.col("json").alias("raw_extraction_json"), "repair_status",
+        problem_statement(d["model_card"]).alias("problem_statement"), ode_stub(d).alias("ode_template"), F.col("json").alias("raw_extraction_json"), "repair_status",
     )
     each = lambda array: valid.select(F.col(key).alias("extraction_id"), F.posexplode(d[array]).alias("ordinal", "x"))
     quote = F.col("x.source_context")
@@ -173,6 +173,33 @@ def problem_statement(card: Column) -> Column:
     return F.when(text == "", "—").otherwise(text)
 
 
+def ode_stub(doc: Column) -> Column:
+    """Code to start from: the parameters with values and units, the states, and a right-hand side to fill in; a note only, where the provider says that there can be none.
+
+    A value that is no number is 0 and named beside it. Scores read this text, so it holds no words of their patterns but the document's own.
+    """
+    from cardwright.operators.codegen import number_text
+
+    states = F.transform(F.filter(doc["state_variables"], lambda v: v["role"] == "state"), lambda v: v["symbol"])
+    names = F.when(F.size(states) > 0, F.array_join(states, ", ")).otherwise("none")
+
+    def entry(p: Column) -> Column:
+        number = parse_number(p["value"])
+        unit = F.when(F.coalesce(p["unit"], F.lit("")) == "", "—").otherwise(p["unit"])
+        note = F.when(number["ok"], "").otherwise(F.concat(F.lit('; not a number: "'), F.coalesce(p["value"], F.lit("")), F.lit('"')))
+        return F.concat(F.lit('    "'), p["symbol"], F.lit('": '), F.when(number["ok"], number_text(number["num"])).otherwise("0.0"), F.lit(",  # "), unit, note)
+
+    entries = F.transform(doc["parameters"], entry)
+    listed = F.when(F.size(entries) > 0, F.array_join(entries, "\n")).otherwise("    # none")
+    ones = F.array_join(F.array_repeat(F.lit("1.0"), F.greatest(F.size(states), F.lit(1))), ", ")
+    code = F.concat(
+        F.lit("# ODE stub: complete the right-hand side below.\n# States: "), names, F.lit("\n\nimport numpy as np\nfrom scipy.integrate import solve_ivp\n\nP = {\n"), listed,
+        F.lit("\n}\n\n\ndef rhs(t, y, p):\n    dydt = np.zeros_like(y)\n    # TODO: equations of "), names,
+        F.lit("\n    return dydt\n\n\ndef solve(y, span=(0.0, 100.0), points=200):\n    return solve_ivp(rhs, span, y, args=(P,), t_eval=np.linspace(*span, points))\n\n\nif __name__ == \"__main__\":\n    print(solve(["), ones, F.lit("]).y[:, -1])\n"),
+    )
+    return F.when(doc["model_card"]["can_generate_ode_template"], code).otherwise("# No ODE stub: the provider says that none can be made.\n")
+
+
 def system_description(doc: Column) -> Column:
     """The process, then the card's summary and model type on lines of their own; absent and empty ones are left out."""
     part = lambda lead, c: F.when(c != "", F.concat(F.lit(lead), c))

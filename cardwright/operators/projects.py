@@ -1,5 +1,7 @@
 """Projects, their sources and extractions: visibility, summaries, nested cards, search and shares."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,20 +54,23 @@ def totals(projects: DataFrame, sources: DataFrame, extractions: DataFrame) -> D
     return n(projects, "projects").crossJoin(n(extractions, "extractions")).crossJoin(n(sources, "sources"))
 
 
-def nested(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name): each key's rows as an array of structs in the order of (ordinal, id)."""
-    columns = [c for c in rows.columns if c != key]
-    item = F.struct("ordinal", "id", *(c for c in columns if c not in ("ordinal", "id")))
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))
-
-
 def cards(extractions: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    """Extractions with their equations, variables, parameters and assumptions nested; without any, empty arrays."""
-    out = extractions
+    """Extractions with their equations, variables, parameters and assumptions nested, each in the order of (ordinal, id); without any, empty arrays.
+
+    Extractions and children are dealt by card together, as rows of one table that tell what they are, so there is one exchange however many kinds of children there are.
+    """
+    kinds = {}
     for name, rows in children.items():
-        inner = nested(rows, "extraction_id", name)
-        out = out.join(inner, out["id"] == inner["extraction_id"], "left").drop("extraction_id").withColumn(name, F.coalesce(name, F.array().cast(inner.schema[name].dataType)))
-    return out
+        columns = [c for c in rows.columns if c != "extraction_id"]
+        kinds[name] = rows.where(F.col("extraction_id").isNotNull()).select(F.col("extraction_id").alias("card"), F.struct("ordinal", "id", *(c for c in columns if c not in ("ordinal", "id"))).alias("row"))
+    parts = [extractions.select(F.col("id").alias("card"), F.struct(*extractions.columns).alias("row")), *kinds.values()]
+    types = [part.schema["row"].dataType for part in parts]
+    part = lambda k: F.struct(F.lit(k).alias("kind"), *((F.col("row") if i == k else F.lit(None).cast(t)).alias(f"of_{i}") for i, t in enumerate(types)))
+    union = reduce(DataFrame.union, (df.select("card", part(k).alias("x")) for k, df in enumerate(parts)))
+    own = lambda k: F.transform(F.filter("all", lambda x: x["kind"] == k), lambda x: x[f"of_{k}"])
+    dealt = union.groupBy("card").agg(F.collect_list("x").alias("all"))
+    nested_rows = dealt.select(F.explode(own(0)).alias("card"), *(F.array_sort(own(k)).alias(name) for k, name in enumerate(kinds, 1)))
+    return nested_rows.select("card.*", *kinds)
 
 
 def latest_card(extractions: DataFrame, children: dict[str, DataFrame], project_id: int) -> DataFrame:

@@ -127,3 +127,23 @@ def next_steps(scored: DataFrame, known: DataFrame) -> DataFrame:
     ))
     out = scored.join(known.select("extraction_id", "has_gas"), "extraction_id")
     return out.select("extraction_id", F.when(F.size(steps) == 0, F.array(F.lit("Simulate the model and compare it with data."))).otherwise(steps).alias("steps"))
+
+
+#: Columns that scores read, with their types; a card's tables may lack some.
+_READ = {
+    "equations": {"latex": "string", "description": "string", "source_quote": "string", "variables_involved": "array<string>"}, "variables": {"unit": "string", "role": "string", "source_quote": "string"},
+    "parameters": {"unit": "string", "confidence": "string", "source_quote": "string"}, "extractions": dict.fromkeys(("system_description", "problem_statement", "ode_template", "raw_extraction_json"), "string"),
+}
+
+
+def report(extractions: DataFrame, equations: DataFrame, variables: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(extraction_id, report): a card's scores, readiness, findings and next steps as JSON; ``extractions`` has id and, where there are any, the texts that ``corpus`` reads."""
+    full = lambda df, name: df.withColumns({c: F.lit(None).cast(t) for c, t in _READ[name].items() if c not in df.columns})
+    e, tables = full(extractions, "extractions"), [full(df, name) for df, name in ((equations, "equations"), (variables, "variables"), (parameters, "parameters"))]
+    known = facts(e, *tables)
+    found = findings(known, e, *tables)
+    scored = scores(known, found)
+    listed = found.groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("place", "severity", "category", "description", "blocker"))).alias("findings"))
+    out = scored.join(next_steps(scored, known), "extraction_id").join(listed, "extraction_id", "left")
+    shown = F.transform(F.coalesce("findings", F.array().cast("array<struct<place:int,severity:string,category:string,description:string,blocker:boolean>>")), lambda x: x.dropFields("place"))
+    return out.select("extraction_id", F.to_json(F.struct("overall", "readiness", F.struct(*WEIGHTS).alias("scores"), shown.alias("findings"), F.col("steps").alias("next_steps"))).alias("report"))

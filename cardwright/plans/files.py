@@ -3,11 +3,13 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardwright.operators import extract
 from cardwright.plans.catalogue import _t, query
-from cardwright.sources import ingest, pdf
+from cardwright.sources import archives, ingest, pdf, series_source
+from cardwright.sources.work import work_dir
 
 #: Lines of a page of the files that are made of documents.
 PAGE_LINES = 12
@@ -42,3 +44,60 @@ def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     good, bad = ingest.pdf_texts(files)
     good = good.select("id", "pages", F.lit(None).cast("string").alias("reason"), F.sha2("text", 256).alias("text_sha256"), F.col("chars").cast("long").alias("chars"), F.element_at("page_chars", -1).cast("long").alias("last_page"))
     return good.unionByName(bad.select("id", F.lit(None).cast("long").alias("pages"), "reason"), allowMissingColumns=True).drop("pages")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, n + 1 AS row, CAST(event_id AS DOUBLE) AS t, greatest(value - 5, 0) AS x, CASE WHEN event_id % 5 <> 0 THEN value END AS o2 FROM e WHERE event_id % 7 <> 0 AND n <= 10000""")
+def series_source_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a file of their own, with comments, bad lines and line ends of two kinds, read through the data source in parts."""
+    k = F.col("event_id")
+    line = F.concat_ws(",", k.cast("string"), F.when(k % 7 == 0, "none").otherwise((F.col("value") - 5).cast("string")), F.lit("1"), F.when(k % 5 == 0, "n/a").otherwise(F.col("value").cast("string")))
+    line = F.concat(F.when(k % 3 == 0, "# a comment\n\n").otherwise(""), line, F.when(k % 2 == 0, "\r\n").otherwise("\n"))
+    body = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "").alias("body"))
+    path = work_dir(spark, "series")
+    body.select("user_id", F.concat(F.lit("# made of events\n Time ,X,s,DO\n"), "body").alias("value")).write.partitionBy("user_id").text(path)
+    rows = series_source.parse(series_source.read(spark, path, part_bytes=4 << 20))[0]
+    return rows.select(F.regexp_extract("file_id", r"user_id=(\d+)/", 1).cast("long").alias("user_id"), F.col("row").cast("long").alias("row"), "t", F.col("X").alias("x"), F.col("O2").alias("o2"))
+
+
+@query("""
+WITH f AS (
+  SELECT s_suppkey, 'README.md' AS filename, '# ' || s_name || chr(10) AS content FROM supplier
+  UNION ALL SELECT l_suppkey, 'lines.csv', string_agg(l_orderkey || ',' || l_linenumber || ',' || l_returnflag, chr(10) ORDER BY l_orderkey, l_linenumber, l_returnflag) FROM lineitem GROUP BY 1)
+SELECT CAST(s_suppkey AS VARCHAR) AS archive, filename, length(content) AS chars, sha256(content) AS sha256 FROM f""")
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """An archive a supplier, written by tasks, committed together and read back."""
+    about = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("extraction_id"), F.lit("README.md").alias("filename"), F.concat(F.lit("# "), "s_name", F.lit("\n")).alias("content"))
+    line = F.struct("l_orderkey", "l_linenumber", F.concat_ws(",", "l_orderkey", "l_linenumber", "l_returnflag").alias("line"))
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("extraction_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("content"))
+    path = work_dir(spark, "archives")
+    archives.write_archives(about.unionByName(rows.withColumn("filename", F.lit("lines.csv"))), path)
+    return archives.read_archives(spark, path).select("archive", "filename", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+p AS (
+  SELECT l_orderkey, max(n) AS n, string_agg(CASE WHEN n % 3 <> 1 THEN 'x' || n END, ', ' ORDER BY n) AS states,
+    string_agg('    "p' || n || '": ' || CASE WHEN n % 4 = 3 THEN '0.0' ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || CASE n % 4 WHEN 1 THEN '.5' ELSE '' END END || ',  # '
+      || CASE WHEN l_returnflag = 'N' THEN '—' ELSE l_returnflag || '/h' END || CASE WHEN n % 4 = 3 THEN '; not a number: "unknown"' ELSE '' END, chr(10) ORDER BY n) AS entries
+  FROM (SELECT l_orderkey, l_returnflag, l_quantity, n FROM l) GROUP BY 1)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 7 THEN '# No ODE stub: the provider says that none can be made.' || chr(10) ELSE
+  '# ODE stub: complete the right-hand side below.' || chr(10) || '# States: ' || coalesce(states, 'none') || chr(10) || chr(10) || 'import numpy as np' || chr(10) || 'from scipy.integrate import solve_ivp' || chr(10) || chr(10)
+  || 'P = {' || chr(10) || entries || chr(10) || '}' || chr(10) || chr(10) || chr(10) || 'def rhs(t, y, p):' || chr(10) || '    dydt = np.zeros_like(y)' || chr(10) || '    # TODO: equations of ' || coalesce(states, 'none') || chr(10)
+  || '    return dydt' || chr(10) || chr(10) || chr(10) || 'def solve(y, span=(0.0, 100.0), points=200):' || chr(10) || '    return solve_ivp(rhs, span, y, args=(P,), t_eval=np.linspace(*span, points))' || chr(10) || chr(10) || chr(10)
+  || 'if __name__ == "__main__":' || chr(10) || '    print(solve([' || CASE WHEN states IS NULL THEN '1.0' ELSE regexp_replace(states, 'x[0-9]+', '1.0', 'g') END || ']).y[:, -1])' || chr(10) END AS stub
+FROM orders JOIN p ON o_orderkey = l_orderkey""")
+def ode_stubs(spark: SparkSession, d: str) -> DataFrame:
+    """The stub of each order's document: lines are parameters with numbers, others not, and every line but each third is a state too."""
+    lines = _t(spark, d, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = lines.select("l_orderkey", place.alias("n"), F.floor("l_quantity").cast("string").alias("q"), "l_returnflag")
+    n, role = F.col("n"), F.when(F.col("n") % 3 == 1, "output").otherwise("state")
+    value = F.when(n % 4 == 3, F.lit("unknown")).when(n % 4 == 1, F.concat("q", F.lit(".5"))).when(n % 4 == 2, F.concat(F.lit(" "), "q", F.lit(" g")))
+    parameter = F.struct(n.alias("n"), F.concat(F.lit("p"), n).alias("symbol"), F.coalesce(value, "q").alias("value"), F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", F.lit("/h"))).otherwise("").alias("unit"))
+    both = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(parameter)).alias("parameters"), F.array_sort(F.collect_list(F.struct(n.alias("n"), F.concat(F.lit("x"), n).alias("symbol"), role.alias("role")))).alias("state_variables"))
+    card = F.struct((F.col("l_orderkey") % 10 != 7).alias("can_generate_ode_template")).alias("model_card")
+    docs = both.select(F.col("l_orderkey").alias("id"), F.struct("parameters", "state_variables", card).alias("doc"))
+    return docs.select("id", extract.ode_stub(F.col("doc")).alias("stub"))

@@ -18,14 +18,18 @@ from cardwright.sources import series_csv
 
 #: Bytes of a file that one task reads, bytes read at once, and bytes of a line that are kept.
 PART_BYTES, BUFFER, LINE_BYTES = 32 << 20, 1 << 20, 1 << 20
+#: Bytes that opening a file counts as when small files are put together.
+FILE_COST = 256 << 10
 SCHEMA = "file_id string, part long, place long, line string"
 
 
-class Part(InputPartition):
+class Part(NamedTuple):
     """Lines that begin from ``start`` to before ``end``; ``root`` tells the store, ``path`` is the file's there."""
 
-    def __init__(self, root: str, path: str, start: int, end: int):
-        self.root, self.path, self.start, self.end = root, path, start, end
+    root: str
+    path: str
+    start: int
+    end: int
 
     def file_id(self) -> str:
         return (self.root.split("://")[0] if "://" in self.root else "file") + "://" + self.path
@@ -38,6 +42,13 @@ class Found(NamedTuple):
     changed: int
 
 
+class Task(InputPartition):
+    """Parts that one task reads: one of a large file, or many small files."""
+
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
+
+
 def _store(path: str) -> tuple[stores.FileSystem, str]:
     return stores.FileSystem.from_uri(path) if "://" in path else (stores.LocalFileSystem(), path)
 
@@ -57,6 +68,19 @@ def parts(files: list[Found], size: int) -> list[Part]:
     return [Part(f.root, f.path, start, min(f.size, start + size)) for f in files for start in range(0, max(f.size, 1), size)]
 
 
+def tasks(files: list[Found], size: int) -> list[Task]:
+    """Parts, each at most ``size`` bytes, put together as long as they are no more than that."""
+    out, held, total = [], [], 0
+    for part in parts(files, size):
+        cost = part.end - part.start + FILE_COST
+        if held and total + cost > size + FILE_COST:
+            out.append(Task(held))
+            held, total = [], 0
+        held.append(part)
+        total += cost
+    return [*out, Task(held)] if held else out
+
+
 def lines(part: Part) -> Iterator[tuple[int, bytes]]:
     """(place, line) of the lines that begin in the part. A line ends at a line feed or a carriage return, so between the two of a pair is an empty line, which is no row anyway."""
     with _store(part.root)[0].open_input_file(part.path) as file:
@@ -80,22 +104,23 @@ def lines(part: Part) -> Iterator[tuple[int, bytes]]:
             yield at, held
 
 
-def _rows(part: Part) -> Iterator[tuple]:
-    if part.start == 0:
-        yield part.file_id(), 0, -1, None  # that there is such a file, however empty
-    for place, line in lines(part):
-        if line.strip():
-            yield part.file_id(), part.start, place, line.decode("utf-8", "replace")
+def _rows(task: Task) -> Iterator[tuple]:
+    for part in task.parts:
+        if part.start == 0:
+            yield part.file_id(), 0, -1, None  # that there is such a file, however empty
+        for place, line in lines(part):
+            if line.strip():
+                yield part.file_id(), part.start, place, line.decode("utf-8", "replace")
 
 
 class _Batch(DataSourceReader):
     def __init__(self, path: str, size: int):
         self.path, self.size = path, size
 
-    def partitions(self) -> list[Part]:
-        return parts(found_files(self.path), self.size)
+    def partitions(self) -> list[Task]:
+        return tasks(found_files(self.path), self.size)
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Task) -> Iterator[tuple]:
         return _rows(partition)
 
 
@@ -111,10 +136,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"until": max((f.changed for f in found_files(self.path)), default=0)}
 
-    def partitions(self, start: dict, end: dict) -> list[Part]:
-        return parts([f for f in found_files(self.path) if start["until"] < f.changed <= end["until"]], self.size)
+    def partitions(self, start: dict, end: dict) -> list[Task]:
+        return tasks([f for f in found_files(self.path) if start["until"] < f.changed <= end["until"]], self.size)
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Task) -> Iterator[tuple]:
         return _rows(partition)
 
 
