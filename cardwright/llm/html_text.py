@@ -154,12 +154,14 @@ def parse(html: str) -> Node:
 
 
 class Sheet:
-    """What a page's style sheets say of display and visibility, by selectors of one element; others, and those of @-rules, are not read."""
+    """What a page's style sheets say of display and visibility. Selectors are of elements, ids and classes, and chains of them ("div .x", "ul > li"); others, and those of @-rules, are not read."""
 
     def __init__(self, css: str):
-        #: name, id or class that a rule asks for: [(weight, names, declarations)]
-        self.rules: dict[str, list[tuple[tuple[int, int, int, int], str, frozenset[str], dict[str, str]]]] = {}
-        css, at, n = _COMMENT.sub(" ", css), 0, 0
+        #: by the name, id or class that a part of a rule asks for: [(rule, place of the part in its chain, tag, names)]
+        self.parts: dict[str, list[tuple[int, int, str, frozenset[str]]]] = {}
+        #: of each rule: its weight, what stands between its parts, and declarations
+        self.rules: list[tuple[tuple[int, int, int, int], list[str], dict[str, str]]] = []
+        css, at = _COMMENT.sub(" ", css), 0
         while (brace := css.find("{", at)) >= 0:
             selectors, depth, close = css[at:brace].rpartition(";")[2], 1, brace + 1
             while depth and close < len(css):
@@ -167,25 +169,45 @@ class Sheet:
                 close += 1
             said, at = {k: v for k, v in _STYLE.findall(css[brace + 1 : close - 1].lower())}, close
             for selector in selectors.split(",") if said and "@" not in selectors else ():
-                m = _SELECTOR.fullmatch(selector.strip())
-                if m and m[0]:
-                    names = re.findall(r"[.#][^.#]+", m[2])
-                    tag, ids = "" if m[1] in (None, "*") else m[1], sum(x[0] == "#" for x in names)
-                    weight = (ids, len(names) - ids, int(bool(tag)), n)
-                    self.rules.setdefault(names[0] if names else tag or "*", []).append((weight, tag, frozenset(names), said))
-                    n += 1
-
-    def of(self, node: Node) -> dict[str, str]:
-        """The element's declarations: those of its style attribute before those of the sheets, by weight."""
-        raw, out = node.attributes.get("style"), {}
+                self._rule(selector.strip(), said)
+
+    def _rule(self, selector: str, said: dict[str, str]) -> None:
+        pieces = re.split(r"\s*(>)\s*|\s+", selector)
+        chain, between = [_SELECTOR.fullmatch(x) for x in pieces[::2]], [x or " " for x in pieces[1::2]]
+        if not all(m and m[0] for m in chain):
+            return
+        weight = [0, 0, 0]
+        for place, m in enumerate(chain):
+            names = re.findall(r"[.#][^.#]+", m[2])
+            tag, ids = "" if m[1] in (None, "*") else m[1], sum(x[0] == "#" for x in names)
+            weight = [weight[0] + ids, weight[1] + len(names) - ids, weight[2] + bool(tag)]
+            self.parts.setdefault(names[0] if names else tag or "*", []).append((len(self.rules), place, tag, frozenset(names)))
+        self.rules.append(((*weight, len(self.rules)), between, said))
+
+    def of(self, node: Node, above: "Above") -> tuple[dict[str, str], "Above"]:
+        """The element's declarations (those of its style attribute before those of the sheets, by weight), and what holds for the elements in it."""
+        raw, out, below = node.attributes.get("style"), {}, above
         if self.rules:
             mine = {"*", node.tag, *("." + c for c in node.attributes.get("class", "").split()), "#" + node.attributes.get("id", "").strip()}
-            fitting = [r for name in mine for r in self.rules.get(name, ()) if r[2] <= mine and r[1] in ("", node.tag)]
-            for *_, said in sorted(fitting, key=lambda r: r[0]):
+            fitting, here = [], set()
+            for rule, place, tag, names in (p for name in mine for p in self.parts.get(name, ())):
+                weight, between, said = self.rules[rule]
+                if names <= mine and tag in ("", node.tag) and (not place or (rule, place - 1) in above[between[place - 1] == ">"]):
+                    if place == len(between):
+                        fitting.append((weight, said))
+                    else:
+                        here.add((rule, place))
+            for _, said in sorted(fitting, key=lambda r: r[0]):
                 out |= said
+            if here or above[1]:
+                below = above[0] if here <= above[0] else above[0] | here, frozenset(here)
         if raw:
             out |= {k: v for k, v in _STYLE.findall(raw.lower())}
-        return out
+        return out, below
+
+
+#: Parts of chains, as (rule, place), that an element is anywhere in, and those that it is directly in.
+Above = tuple[frozenset[tuple[int, int]], frozenset[tuple[int, int]]]
 
 
 class Writer:
@@ -194,7 +216,7 @@ class Writer:
     def __init__(self):
         self.lines: list[str] = []
         self.held: list[str] = []
-        self.space = self.blank = False
+        self.space = self.blank = self.broken = False
         self.indents: list[str] = []
         self.marker = ""
 
@@ -235,8 +257,16 @@ class Writer:
                 return "".join(self.indents[: k + 1])[:INDENT]
         return "".join(self.indents)
 
+    def wrap(self) -> None:
+        """A line break within a block; one right after another leaves an empty line."""
+        if not self.held and self.broken:
+            self.lines.append("")
+        self.broken = self.broken or bool(self.held)
+        self.line(keep=bool(self.held))
+
     def block(self, spaced: bool) -> None:
         self.line()
+        self.broken = False
         self.blank = self.blank or spaced
 
     def done(self) -> list[str]:
@@ -308,9 +338,9 @@ def render(root: Node) -> str:
     """All visible text, one block a line, with blank lines around spaced blocks. Works without recursion, however deep the tree."""
     out, sheet = Writer(), Sheet(root.attributes.get("style", ""))
     writers, tables, lists = [out], [], []
-    todo: list = [(root, False, False, True)]
+    todo: list = [(root, False, False, True, (frozenset(), frozenset()))]
     while todo:
-        node, leaving, pre, shown = todo.pop()
+        node, leaving, pre, shown, above = todo.pop()
         w = writers[-1]
         if isinstance(node, str):
             if shown:
@@ -330,19 +360,21 @@ def render(root: Node) -> str:
                 tables[-1][-1].append((lines, span("colspan", COLUMNS), span("rowspan", ROWS)))
                 continue
             if tag == "table":
+                if w.held:  # text between rows stands before the table
+                    w.block(True)
                 for line in _laid_out(tables.pop()):
                     w.held.append(line)
                     w.line(keep=True)
             if tag in SPACED or tag in LINED:
                 w.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists))
             continue
-        style = sheet.of(node) if node is not root else {}
+        style, below = sheet.of(node, above) if node is not root else ({}, above)
         if tag in HIDDEN or "hidden" in node.attributes or style.get("display") == "none" or tag == "dialog" and "open" not in node.attributes:
             continue
         if "visibility" in style:
             shown = style["visibility"] not in ("hidden", "collapse")
         if tag == "br":
-            w.line(keep=bool(w.held))
+            w.wrap()
             continue
         if tag in ("img", "input"):
             label = node.attributes.get("value", "") if tag == "input" and node.attributes.get("type", "").lower() in ("submit", "button", "reset") else ""
@@ -376,8 +408,8 @@ def render(root: Node) -> str:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         if tag == "pre" and children and isinstance(children[0], str):
             children = [children[0].removeprefix("\r").removeprefix("\n"), *children[1:]]
-        todo.append((node, True, pre, shown))
-        todo += [(c, False, pre, shown) for c in reversed(children)]
+        todo.append((node, True, pre, shown, above))
+        todo += [(c, False, pre, shown, below) for c in reversed(children)]
     return "\n".join(out.done())
 
 
@@ -390,7 +422,7 @@ def html_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
 
     Null and empty pages have the empty text. Pages are rendered one by one, repeated rows alike; no shuffle. What hides: the
     elements of HIDDEN, the hidden attribute, display:none and visibility:hidden in style attributes and in the page's own
-    sheets (rules for one element; a child of an invisible one may be visible again), closed details but for their summary,
+    sheets (names, ids, classes and chains of them; a child of an invisible one may be visible again), closed details but for their summary,
     and dialogs that are not open. Indents end at INDENT columns. A column named as the new one is replaced.
     """
 

@@ -6,7 +6,7 @@ from cardwright.llm.html_text import html_text, page_text
 
 CASES = [
     (None, ""), ("", ""), ("just text &amp; more", "just text & more"), ("a < b <3", "a < b <3"),
-    ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div><div>b</div>c", "a\nb\nc"), ("x<br>y<br><br>z", "x\ny\nz"),
+    ("<p>one<p>two", "one\n\ntwo"), ("<div>a</div><div>b</div>c", "a\nb\nc"), ("x<br>y<br><br>z", "x\ny\n\nz"),
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"), ("<ol start=9><li>a<li>b<li value=3>c</ol>", "9. a\n10. b\n3. c"),
     ("<table><tr><th>name<th>n<tr><td>long name<td>1<tr><td>x<td>22</table>", "name       n\nlong name  1\nx          22"),
     ("<table><td>a<td>b</table>after", "a  b\n\nafter"), ("<pre>\n a\n   b</pre>", " a\n   b"),
