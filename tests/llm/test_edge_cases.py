@@ -31,7 +31,7 @@ LAID_OUT = [
     ("<style>/* .b{display:none} */ @media print{.a{display:none}} .c{display:none}</style><p class=a>a<p class=b>b<p class=c>c", "a\n\nb"),
     ("<style>p{display:none}</style><p style='display:block'>a<p>b", "a"),
     ("a<br><br>b", "a\n\nb"), ("a<br>b<br><br><br>c", "a\nb\n\n\nc"), ("<p>a<br><br></p><p>b", "a\n\nb"), ("<br><br>a", "a"), ("<ul><li>a<br><br>b<li>c</ul>", "- a\n\n  b\n- c"),
-    ("<table><tr><td>a</td></tr>text</table>", "text\n\na"), ("x<table>one<tr><td>a<td>b</tr>two<tr><td>c</table>y", "x\n\none\ntwo\n\na  b\nc\n\ny"),
+    ("<table><tr><td>a</td></tr>text</table>", "text\n\na"), ("x<table>one<tr><td>a<td>b</tr>two<tr><td>c</table>y", "x\n\none\ntwo\na  b\nc\n\ny"),
     ("<style>div .x{display:none}</style><div><b class=x>no</b>yes<i><b class=x>no</b></i></div><b class=x>out</b>", "yes\nout"),
     ("<style>ul > li{display:none} ul li b{display:none}</style><ul><li>no</ul><ol><li>yes <b>b</b></ol>", "1. yes b"),
     ("<style>.a .b > .c{visibility:hidden}</style><p class=a><i class=b><u class=c>no</u><s><u class=c>yes</u></s></i></p>", "yes"),
