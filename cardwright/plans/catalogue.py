@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cardwright.functions.text import hits, norm, parse_number, round_half_up, trim_all
 from cardwright.functions.units import label, parse_unit
 from cardwright.operators import classify as C
+from cardwright.functions import matching
 from cardwright.operators import editing, evaluate, multisource, projects, simulate, templates, units
 from cardwright.operators.codegen import package
 from cardwright.operators.extract import repaired
@@ -128,13 +129,10 @@ def semi_present(spark: SparkSession, d: str) -> DataFrame:
 WITH words AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part)
 SELECT word FROM words WHERE word <> '' AND NOT EXISTS (SELECT 1 FROM conversations WHERE contains(lower(text), word))""")
 def theta_unused(spark: SparkSession, d: str) -> DataFrame:
-    """Words of part names that no conversation contains: the texts' distinct substrings of the words' lengths, and an anti join by equality."""
+    """Words of part names that no conversation contains: one automaton of all words goes over each text once, and an anti join by equality."""
     words = _t(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).where("word != ''").distinct()
-    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # as many as there are lengths of words
-    texts = _t(spark, d, "conversations").select(F.lower("text").alias("text")).where("text IS NOT NULL").distinct()
-    parts = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    used = texts.select(F.explode(F.array_distinct(F.concat(*map(parts, lengths)))).alias("word")) if lengths else texts.select(F.col("text").alias("word"))
-    return words.join(used, "word", "left_anti")
+    texts = _t(spark, d, "conversations").select(F.lower("text").alias("text")).where("text IS NOT NULL")
+    return words.join(matching.found_words(texts, words), "word", "left_anti")
 
 
 @query("""
@@ -266,17 +264,17 @@ def jaccard_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT item_id, string_split(lower(text), ' ') AS b, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark),
+WITH i AS (SELECT item_id, string_split(lower(text), ' ') AS b FROM benchmark),
 m AS (SELECT greatest(1, least((SELECT count(*) FROM benchmark), (SELECT count(DISTINCT conv_id) FROM conversations))) AS m),
-p AS (SELECT item_id, conv_id, turn, coalesce(string_split(lower(c.text), ' '), []) AS a, b FROM i CROSS JOIN m LEFT JOIN conversations c ON c.conv_id % m.m = i.place % m.m)
+p AS (SELECT item_id, conv_id, turn, coalesce(string_split(lower(c.text), ' '), []) AS a, b FROM i CROSS JOIN m LEFT JOIN conversations c ON c.conv_id % m.m = i.item_id % m.m)
 SELECT item_id, conv_id, turn, floor(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b))) * 1e6 + 0.5) / 1e6 AS jaccard,
   CASE WHEN len(list_intersect(list_distinct(a), list_distinct(b))) >= 0.5 * len(list_distinct(b)) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recall FROM p""")
 def recall_cover(spark: SparkSession, d: str) -> DataFrame:
-    """Every benchmark item against texts: conversations and items are dealt in turn over as many numbers as the fewer of them are,
+    """Every benchmark item against texts: conversations and items are dealt by their ids over as many numbers as the fewer of them are,
     both measured; an item that no conversation meets is there with nulls and scores of 0."""
     b, c = _t(spark, d, "benchmark"), _t(spark, d, "conversations")
     m = max(1, min(b.count(), c.select(F.count_distinct("conv_id")).first()[0]))
-    items = b.select("item_id", F.split(F.lower("text"), " ").alias("b"), ((F.row_number().over(Window.orderBy("item_id")) - 1) % m).alias("place"))
+    items = b.select("item_id", F.split(F.lower("text"), " ").alias("b"), (F.col("item_id") % m).alias("place"))
     texts = c.select("conv_id", "turn", F.split(F.lower("text"), " ").alias("a"), (F.col("conv_id") % m).alias("place"))
     both = items.join(texts, "place", "left").withColumn("a", F.coalesce("a", F.array().cast("array<string>")))
     return both.select("item_id", "conv_id", "turn", round_half_up(evaluate.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"), evaluate.recall(F.array("a"), F.array("b")).alias("recall"))

@@ -1,5 +1,6 @@
 """Registered queries of sources and sinks: files that Spark makes of the tables' texts and rows, and reads back."""
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cardwright.operators import extract
 from cardwright.plans.catalogue import _t, query
-from cardwright.sources import archives, ingest, pdf, series_source
+from cardwright.sources import archives, bucketed, ingest, pdf, series_source
 from cardwright.sources.work import work_dir
 
 #: Lines of a page of the files that are made of documents.
@@ -101,3 +102,40 @@ def ode_stubs(spark: SparkSession, d: str) -> DataFrame:
     card = F.struct((F.col("l_orderkey") % 10 != 7).alias("can_generate_ode_template")).alias("model_card")
     docs = both.select(F.col("l_orderkey").alias("id"), F.struct("parameters", "state_variables", card).alias("doc"))
     return docs.select("id", extract.ode_stub(F.col("doc")).alias("stub"))
+
+
+def _tables(spark: SparkSession, keys: dict[str, str]) -> bucketed.Tables:
+    return bucketed.Tables(spark, work_dir(spark, "tables"), keys, prefix=f"t{uuid.uuid4().hex}")
+
+
+def _half_done(tables: bucketed.Tables, rows: dict[str, DataFrame]) -> None:
+    """An insert that fails after its first table."""
+    name, df = next(iter(rows.items()))
+    tables._append(name, df.withColumn(bucketed.BATCH, F.lit("lost")))
+
+
+@query("""
+SELECT o_orderkey AS id, o_custkey AS customer, count(l_orderkey) AS n_lines, coalesce(sum(l_linenumber), 0) AS places FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_orderkey % 4 <> 3
+WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2""")
+def bucketed_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines, inserted together in three batches; a fourth one fails on the way. Counted and joined by key without an exchange."""
+    tables = _tables(spark, {"cards": "id", "lines": "id"})
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("place"))
+    of = lambda k: {"cards": orders.where(F.col("id") % 4 == k), "lines": lines.where(F.col("id") % 4 == k)}
+    for k in range(3):
+        tables.insert(of(k))
+    _half_done(tables, of(3))
+    counts = tables.scan("lines").groupBy("id").agg(F.count("*").alias("n_lines"), F.sum("place").alias("places"))
+    return tables.scan("cards").join(counts, "id", "left").select("id", "customer", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("places", F.lit(0)).alias("places"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer) OR (c_acctbal > 0 AND c_mktsegment IS NOT NULL AND c_nationkey = 3)")
+def bucketed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A row by its key, and rows under several conditions, from a table of customers."""
+    tables = _tables(spark, {"customers": "c_custkey"})
+    customers = _t(spark, d, "customer")
+    tables.insert({"customers": customers})
+    last = customers.agg(F.max("c_custkey").alias("k")).first()["k"]
+    some = tables.where("customers", F.col("c_acctbal") > 0, F.col("c_mktsegment").isNotNull(), F.col("c_nationkey") == 3)
+    return tables.lookup("customers", last).union(some).distinct().select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))

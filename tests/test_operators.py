@@ -214,6 +214,8 @@ def test_package_and_sources(spark, chemostat):
     compile(got["simulate.py"], "simulate.py", "exec")
     book = json.loads(got["model_notebook.ipynb"])
     assert [c["cell_type"] for c in book["cells"]] == ["markdown"] * 7 + ["code"] * 6 + ["markdown"]
+    report = json.loads(got["reproducibility_report.json"])
+    assert set(report) >= {"overall", "readiness", "scores", "findings", "next_steps"} and set(report["scores"]) == set(reproducibility.WEIGHTS) and all(f["severity"] in reproducibility.SEVERITIES for f in report["findings"])
     assert got["parameters.csv"].split("\n")[0] == "symbol,name,value,unit,confidence" and codegen.archive(files, 1)[:2] == b"PK"
     pdfs = spark.createDataFrame([(1, "data:application/pdf;base64,aGVsbG8="), (2, "!!"), (3, "aGVsbG8=")], "id long, data string")
     good, bad = ingest.pdf_texts(pdfs, lambda raw: (raw.decode() * 20, 2))

@@ -105,6 +105,16 @@ def test_symbol_with_very_many_values(spark):
     assert found["details"].endswith("v999 | and 1500 more")
 
 
+def test_cards_take_one_exchange(spark):
+    cards = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, title string")
+    eq = spark.createDataFrame([(1, 1, 10, "y"), (1, 0, 11, "x"), (1, 0, 9, "w"), (9, 0, 12, "orphan")], "extraction_id long, ordinal int, id long, latex string")
+    par = spark.createDataFrame([(2, 0, 5, 0.5)], "extraction_id long, ordinal int, id long, value double")
+    out = projects.cards(cards, {"equations": eq, "parameters": par})
+    got = {r["id"]: (r["title"], [(x["ordinal"], x["id"], x["latex"]) for x in r["equations"]], [x["value"] for x in r["parameters"]]) for r in out.collect()}
+    assert got == {1: ("a", [(0, 9, "w"), (0, 11, "x"), (1, 10, "y")], []), 2: ("b", [], [0.5]), 3: (None, [], [])}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_requests(spark):
     rows = spark.createDataFrame([("1", " "), ("0", "x" * 30), (None, "x" * 30), ("7", "x" * 30), ("1.0", None)], "project_id string, content string")
     good, bad = projects.requested(rows, "source")
