@@ -31,22 +31,34 @@ class Tables:
         out = writer.write.format("parquet").mode("append").option("path", f"{self.path}/{name}")
         (out.bucketBy(self.buckets, self.keys[name]).sortBy(self.keys[name]) if name in self.keys else out).saveAsTable(self._full(name))
 
-    def insert(self, rows: dict[str, DataFrame]) -> str:
-        """Rows for one or more tables, all or nothing; returns the batch. The order of columns does not matter, names do."""
+    def _commits(self) -> DataFrame | None:
+        return self._read("commits") if self.spark.catalog.tableExists(self._full("commits")) else None
+
+    def _read(self, name: str) -> DataFrame:
+        self.spark.catalog.refreshTable(self._full(name))  # another session may have written, as streams do
+        return self.spark.table(self._full(name))
+
+    def insert(self, rows: dict[str, DataFrame], tag: str | None = None) -> str | None:
+        """Rows for one or more tables, all or nothing; returns the batch. The order of columns does not matter, names do.
+
+        A ``tag`` counts once: rows under a tag that was inserted before are left out, and None is returned. One writer at a time uses a tag.
+        """
         unknown = set(rows) - set(self.keys)
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
+        if tag is not None and self._commits() is not None and not self._commits().where(F.col("tag") == tag).isEmpty():
+            return None
         batch = uuid.uuid4().hex
         for name, df in rows.items():
             self._append(name, df.withColumn(BATCH, F.lit(batch)))
-        self._append("commits", self.spark.createDataFrame([(batch,)], f"{BATCH} string"))
+        self._append("commits", self.spark.createDataFrame([(batch, tag)], f"{BATCH} string, tag string"))
         return batch
 
     def scan(self, name: str) -> DataFrame:
         """The visible rows of a table. Commits are a row an insert, so Spark joins them by broadcast while they are small; the table itself is not exchanged."""
-        if not self.spark.catalog.tableExists(self._full("commits")):
+        if (commits := self._commits()) is None:
             raise ValueError("nothing was inserted yet")
-        return self.spark.table(self._full(name)).join(self.spark.table(self._full("commits")), BATCH, "left_semi").drop(BATCH)
+        return self._read(name).join(commits, BATCH, "left_semi").drop(BATCH)
 
     def lookup(self, name: str, value: int | str) -> DataFrame:
         """The rows of a key; only the bucket that may hold them is read."""
