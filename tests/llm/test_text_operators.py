@@ -30,7 +30,7 @@ def words(text):
 def test_queries_agree_with_sql(spark, name):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     df = queries.QUERIES[name](spark, d)
     cursor = con.execute(queries.ORACLES[name])
