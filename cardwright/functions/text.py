@@ -4,6 +4,8 @@ Differences from Spark's own functions that matter: trimming removes all white s
 borders are ASCII, and numbers are read from the beginning of a text.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, with the value worked out once however often ``f`` names it; a plain expression is copied into each place, and copies of copies outgrow the driver."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 #: White space that trimming removes, beyond the six ASCII ones. Fixed values.
 SPACES = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 

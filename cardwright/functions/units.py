@@ -1,9 +1,11 @@
 """Units as dimension exponents (mass, volume, time, amount), and equation texts in a normal form; columns only."""
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import trim_all
+from cardwright.functions.text import let, trim_all
 
 DIM = "struct<M:double,V:double,T:double,N:double>"
 #: Base units by dimension, and texts without dimension. Fixed values.
@@ -14,9 +16,11 @@ UNIT_REWRITES = (
     ("⁻¹", "^-1"), ("⁻²", "^-2"), ("⁻³", "^-3"), ("·", "*"), (r"(?<![A-Za-z0-9_])cdw(?![A-Za-z0-9_])", ""), (r"(?<![A-Za-z0-9_])vss(?![A-Za-z0-9_])", ""),
     (r"(?<![A-Za-z0-9_])dm(?![A-Za-z0-9_])", "l"), (r"(?<![A-Za-z0-9_])([gk])[_\-]?[xs](?![A-Za-z0-9_])", "$1"), (r"([a-z]+)-1(?![A-Za-z0-9_])", "$1^-1"),
 )
-#: Rewrites of an equation's text, in order; then it is trimmed and lower-cased. Fixed values.
+#: Letters of an equation's text that are spelt out.
+GREEK = {"μ": "mu", "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta"}
+#: Rewrites of an equation's text after that, in order; then it is trimmed and lower-cased. Fixed values.
 EQUATION_REWRITES = (
-    ("μ", "mu"), ("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), (r"(?i)\\mu(?![A-Za-z0-9_])", "mu"), (r"(?i)\\alpha(?![A-Za-z0-9_])", "alpha"),
+    (r"(?i)\\mu(?![A-Za-z0-9_])", "mu"), (r"(?i)\\alpha(?![A-Za-z0-9_])", "alpha"),
     (r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}", "(($1)/($2))"), (r"(?i)\\cdot(?![A-Za-z0-9_])|\\times(?![A-Za-z0-9_])", "*"), (r"\\left\s*\(|\\right\s*\)", ""),
     (r"\\mathrm\s*\{([^}]+)\}", "$1"), (r"\\text\s*\{([^}]+)\}", "$1"), (r"\\mathbf\s*\{([^}]+)\}", "$1"), (r"([A-Za-z0-9])\s*_\s*\{([^}]+)\}", "$1_$2"), (r"\{([^}]+)\}", "$1"), (r"\s+", " "),
 )
@@ -30,15 +34,15 @@ RATE = (0, 0, -1, 0)
 
 
 def is_dim(c: Column, m: float = 0, v: float = 0, t: float = 0, n: float = 0) -> Column:
-    return (c["M"] == m) & (c["V"] == v) & (c["T"] == t) & (c["N"] == n)
+    return let(c, lambda c: (c["M"] == m) & (c["V"] == v) & (c["T"] == t) & (c["N"] == n))
 
 
 def same_dim(a: Column, b: Column) -> Column:
-    return (a["M"] == b["M"]) & (a["V"] == b["V"]) & (a["T"] == b["T"]) & (a["N"] == b["N"])
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: reduce(lambda p, q: p & q, (x["a"][k] == x["b"][k] for k in "MVTN")))
 
 
 def minus(a: Column, b: Column) -> Column:
-    return F.struct(*((a[k] - b[k]).alias(k) for k in "MVTN"))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: F.struct(*((x["a"][k] - x["b"][k]).alias(k) for k in "MVTN")))
 
 
 def parse_unit(c: Column | str) -> Column:
@@ -46,30 +50,34 @@ def parse_unit(c: Column | str) -> Column:
     u = F.regexp_replace(F.lower(trim_all(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))), r"\s+", "")
     for pattern, to in UNIT_REWRITES:
         u = F.regexp_replace(u, pattern, to)
+    return let(u, lambda u: F.when(u.isin(*NO_DIMENSION), dim()).otherwise(let(_factors(u), lambda f: F.when(F.forall(f, lambda x: x.isNotNull()), F.aggregate(f, dim(), lambda a, x: F.struct(*((a[k] + x[k]).alias(k) for k in "MVTN")))))))
+
+
+def _factors(u: Column) -> Column:
+    """The exponents of a rewritten unit's factors, null for one that is unknown."""
     # an exponent may have exponents itself: all are multiplied
     powers = lambda token: F.regexp_extract(token, r"((?:\^-?\d+(?:\.\d+)?)*)$", 1)
-    base = lambda token: F.regexp_replace(token, r"(?:\^-?\d+(?:\.\d+)?)*$", "")
     power = lambda token: F.aggregate(F.filter(F.split(powers(token), r"\^"), lambda x: x != ""), F.lit(1.0), lambda a, x: a * x.cast("double"))
+    known = lambda b: F.coalesce(*(F.when(b.isin(*names), F.lit(k)) for k, names in BASE_UNITS.items()), F.when(b == "1", F.lit("")))
 
     def one(token: Column, sign: Column) -> Column:
-        b, e = base(token), power(token) * sign
-        known = F.coalesce(*(F.when(b.isin(*names), F.lit(k)) for k, names in BASE_UNITS.items()), F.when(b == "1", F.lit("")))
-        return F.when(known.isNotNull() & e.isNotNull(), F.struct(*(F.when(known == k, e).otherwise(0.0).alias(k) for k in "MVTN")))
+        read = F.struct(let(F.regexp_replace(token, r"(?:\^-?\d+(?:\.\d+)?)*$", ""), known).alias("base"), (power(token) * sign).alias("power"))
+        return let(read, lambda x: F.when(x["base"].isNotNull() & x["power"].isNotNull(), F.struct(*(F.when(x["base"] == k, x["power"]).otherwise(0.0).alias(k) for k in "MVTN"))))
 
-    factors = F.flatten(F.transform(F.split(u, "/"), lambda part, i: F.transform(F.split(part, r"\*"), lambda token: one(token, F.when(i == 0, 1.0).otherwise(-1.0)))))
-    total = F.aggregate(factors, dim(), lambda a, x: F.struct(*((a[k] + x[k]).alias(k) for k in "MVTN")))
-    return F.when(u.isin(*NO_DIMENSION), dim()).when(F.forall(factors, lambda x: x.isNotNull()), total)
+    return F.flatten(F.transform(F.split(u, "/"), lambda part, i: F.transform(F.split(part, r"\*"), lambda token: one(token, F.when(i == 0, 1.0).otherwise(-1.0)))))
 
 
 def label(c: Column) -> Column:
     """Exponents as text, such as M·V^-1; - without dimension."""
-    part = lambda k: F.when(c[k] == 1, F.lit(k)).when(c[k] != 0, F.concat(F.lit(f"{k}^"), F.format_string("%s", F.when(c[k] == F.floor(c[k]), c[k].cast("int").cast("string")).otherwise(c[k].cast("string")))))
-    text = F.concat_ws("·", *(part(k) for k in "MVTN"))
-    return F.when(c.isNull(), None).when(text == "", "-").otherwise(text)
+    part = lambda c, k: F.when(c[k] == 1, F.lit(k)).when(c[k] != 0, F.concat(F.lit(f"{k}^"), F.format_string("%s", F.when(c[k] == F.floor(c[k]), c[k].cast("int").cast("string")).otherwise(c[k].cast("string")))))
+    text = lambda c: F.when(c.isNotNull(), F.concat_ws("·", *(part(c, k) for k in "MVTN")))
+    return let(let(c, text), lambda t: F.when(t == "", "-").otherwise(t))
 
 
 def normal_equation(c: Column | str) -> Column:
     t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    for letter, to in GREEK.items():
+        t = F.replace(t, F.lit(letter), F.lit(to))
     for pattern, to in EQUATION_REWRITES:
         t = F.regexp_replace(t, pattern, to)
     return F.lower(trim_all(t))
