@@ -43,17 +43,26 @@ def symbol_map(variables: DataFrame, parameters: DataFrame, lower: bool) -> Data
     return first.groupBy("extraction_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("symbols"))
 
 
+def with_dims(rows: DataFrame) -> DataFrame:
+    """``rows`` with dim, the exponents of their unit; each distinct unit is read once, as rows share few."""
+    rows = rows.withColumn("unit", F.coalesce("unit", F.lit("")))
+    return rows.join(rows.select("unit").distinct().withColumn("dim", parse_unit("unit")), "unit")
+
+
 def dimension_map(variables: DataFrame, parameters: DataFrame) -> DataFrame:
     """(extraction_id, dims): map from symbol, and its lower case where that is free, to its dimension; units that cannot be read are left out.
 
     A variable's own name comes before another's lower case, both before parameters; the last of equal variables and the
     first of equal parameters count.
     """
-    part = lambda df, rank: df.where(F.coalesce("symbol", F.lit("")) != "").select("extraction_id", "symbol", "ordinal", parse_unit("unit").alias("dim"), F.lit(rank).alias("rank"))
-    rows = part(variables, 0).unionByName(part(parameters, 1)).where(F.col("dim").isNotNull())
-    own = rows.select("extraction_id", F.col("symbol").alias("key"), "dim", F.when(F.col("rank") == 0, F.struct(F.lit(0).alias("r"), (-F.col("ordinal")).alias("o"), F.lit(0).alias("e"))).otherwise(F.struct(F.lit(2).alias("r"), F.col("ordinal").alias("o"), F.lit(0).alias("e"))).alias("by"))
-    alias = rows.where(F.lower("symbol") != F.col("symbol")).select("extraction_id", F.lower("symbol").alias("key"), "dim", F.struct((F.col("rank") + 1).alias("r"), F.col("ordinal").alias("o"), F.lit(1).alias("e")).alias("by"))
-    first = own.unionByName(alias).groupBy("extraction_id", "key").agg(F.min_by("dim", "by").alias("dim"))
+    part = lambda df, rank: df.where(F.coalesce("symbol", F.lit("")) != "").select("extraction_id", "symbol", "unit", F.lit(rank).alias("rank"), F.col("ordinal").cast("long").alias("ordinal"))
+    rows = with_dims(part(variables, 0).unionByName(part(parameters, 1)))
+    by = lambda r, o, e: F.struct(r.alias("r"), o.alias("o"), F.lit(e).alias("e"))
+    own = F.struct(F.col("symbol").alias("key"), F.when(F.col("rank") == 0, by(F.lit(0), -F.col("ordinal"), 0)).otherwise(by(F.lit(2), F.col("ordinal"), 0)).alias("by"))
+    alias = F.when(F.lower("symbol") != F.col("symbol"), F.struct(F.lower("symbol").alias("key"), by(F.col("rank") + 1, F.col("ordinal"), 1).alias("by")))
+    # both names of a row are exploded together, so that its unit is read once
+    keys = rows.select("extraction_id", "dim", F.explode(F.array_compact(F.array(own, alias))).alias("k")).where(F.col("dim").isNotNull())
+    first = keys.groupBy("extraction_id", F.col("k.key").alias("key")).agg(F.min_by("dim", "k.by").alias("dim"))
     return first.groupBy("extraction_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "dim"))).alias("dims"))
 
 
