@@ -32,3 +32,23 @@ def test_formal_checks_have_small_plans(spark):
     r = out.first()
     assert (r.pattern, r.matches, r.lhs) == ("biomass", False, "M·V^-1·T^-1") and r.issues == ["d is no rate"]
     assert _size(out) < 200_000
+
+
+def test_series_are_fitted_together_and_as_alone():
+    """One call fits many series; each goes its own way through the search."""
+    import numpy as np
+
+    from cardwright.operators import simulate
+
+    made = [np.array(simulate.simulated(simulate.DEFAULTS | {"mumax": m, "T": 8.0, "dt": 0.5})) for m in (0.4, 0.55)]
+    t, x, s = (np.stack([p[:, k] for p in made]) for k in range(3))
+    both = simulate.fitted(t, x, s, ("mumax",), simulate.DEFAULTS)
+    alone = [simulate.fitted(t[i : i + 1], x[i : i + 1], s[i : i + 1], ("mumax",), simulate.DEFAULTS) for i in range(2)]
+    assert all(both[k][i] == alone[i][k][0] for k in both for i in range(2)) and both["mumax"].round(2).tolist() == [0.4, 0.55]
+
+
+def test_simulations_are_dealt_over_tasks(spark):
+    from cardwright.operators import simulate
+
+    p = spark.range(40).coalesce(1).withColumn("T", F.lit(1.0))
+    assert simulate.simulate(p).select(F.spark_partition_id().alias("p")).distinct().count() > 1
