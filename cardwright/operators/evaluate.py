@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import round_half_up, squash
+from cardwright.functions.text import let, round_half_up, squash
 from cardwright.operators.extract import symbol_list
 
 #: Weights of the parts of the overall score, and pairs of unit spellings that count as equal. Fixed values.
@@ -19,7 +19,9 @@ def jaccard(found: Column, expected: Column) -> Column:
 
 def recall(found: Column, expected: Column, least: float = 0.5) -> Column:
     """Share of the expected symbol sets of which some found set holds at least half; 1 if none is expected."""
-    hit = F.filter(expected, lambda e: F.exists(found, lambda f: F.size(F.array_intersect(F.transform(f, squash), F.transform(e, squash))) >= least * F.size(F.array_distinct(F.transform(e, squash)))))
+    squashed = lambda sets: F.transform(sets, lambda s: F.array_distinct(F.transform(s, squash)))
+    # names are squashed once a set, not once a pair of sets
+    hit = let(F.struct(squashed(found).alias("found"), squashed(expected).alias("expected")), lambda x: F.filter(x["expected"], lambda e: F.exists(x["found"], lambda f: F.size(F.array_intersect(f, e)) >= least * F.size(e))))
     return F.when(F.size(expected) == 0, 1.0).otherwise(F.size(hit).cast("double") / F.nullif(F.size(expected), F.lit(0)))
 
 
