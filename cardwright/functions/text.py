@@ -89,7 +89,7 @@ def parse_number(c: Column | str) -> Column:
 
 def leading_number(c: Column | str) -> Column:
     """The number that a text begins with after white space, or null."""
-    return F.nullif(F.regexp_extract(trim_all(c), r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(_col(c), rf"^[{SPACES}]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1), F.lit("")).try_cast("double")
 
 
 def csv_cell(c: Column | str) -> Column:

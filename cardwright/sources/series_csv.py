@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import leading_number, squash, trim_all
+from cardwright.functions.text import SPACES, leading_number, let, squash
 
 #: Data rows read of one file, and fewest accepted ones. Fixed values.
 MOST_ROWS, LEAST_ROWS = 10_000, 5
@@ -26,26 +26,33 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     are read. Fewer than 5 accepted rows, or any error, make a file not ok; accepted rows are returned all the same.
     """
     kept = F.filter(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), "\r\n?", "\n"), "\n"), is_kept)
-    whole = files.select("file_id", kept.alias("lines")).select("file_id", F.size("lines").alias("n_lines"), F.try_element_at("lines", F.lit(1)).alias("header"), "lines")
-    data = whole.select("file_id", "header", F.posexplode(F.slice("lines", 2, MOST_ROWS)).alias("at", "line"))
+    whole = files.select("file_id", kept.alias("lines")).select("file_id", F.size("lines").alias("n_lines"), places(F.try_element_at("lines", F.lit(1))).alias("places"), "lines")
+    data = whole.select("file_id", "places", F.posexplode(F.slice("lines", 2, MOST_ROWS)).alias("at", "line"))
     return judged(whole.drop("lines"), data)
 
 
 def is_kept(line: Column) -> Column:
     """Neither blank nor a comment."""
-    return (trim_all(line) != "") & ~trim_all(line).startswith("#")
+    return F.regexp_like(line, F.lit(f"^[{SPACES}]*[^{SPACES}#]"))
+
+
+def places(header: Column) -> Column:
+    """struct(_t, _X, _S, _O2, _CO2): from 1, the first column of each name in a header, null for none."""
+    at = lambda h, n: F.nullif(F.array_position(h, n).cast("int"), F.lit(0))
+    first = lambda h, names: F.least(*(at(h, n) for n in names)) if len(names) > 1 else at(h, names[0])
+    return let(F.transform(F.split(header, ","), squash), lambda h: F.struct(*(first(h, names).alias(f"_{c}") for c, names in HEADERS.items())))
 
 
 def judged(heads: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What ``parse`` returns, from heads (file_id, n_lines, header), n_lines counting all kept lines, and data (file_id, header, at, line), at counting data rows from 0 up to ``MOST_ROWS``."""
-    header = F.transform(F.split("header", ","), squash)
-    place = {c: F.coalesce(*(F.nullif(F.array_position(header, n).cast("int"), F.lit(0)) for n in names)) if len(names) == 1 else F.nullif(F.least(*(F.when(F.array_position(header, n) > 0, F.array_position(header, n)).otherwise(F.lit(2**31 - 1)) for n in names)).cast("int"), F.lit(2**31 - 1)) for c, names in HEADERS.items()}
-    places = {f"_{c}": p for c, p in place.items()}
-    placed = heads.where("n_lines >= 2").withColumns(places)
+    """What ``parse`` returns, from heads (file_id, n_lines, places), n_lines counting all kept lines, and data (file_id, places, at, line), at counting data rows from 0 up to ``MOST_ROWS``.
+
+    ``places`` are those of the file's header, worked out once a file.
+    """
+    placed = heads.where("n_lines >= 2").select("file_id", "n_lines", "places.*")
     absent = F.array_compact(F.array(*(F.when(F.col(f"_{c}").isNull(), F.lit(f"missing column {'time' if c == 't' else c}")) for c in ("t", "X", "S"))))
     complete = placed.where(F.size(absent) == 0)
 
-    data = data.withColumns(places).where(F.size(absent) == 0)
+    data = data.where("places._t IS NOT NULL AND places._X IS NOT NULL AND places._S IS NOT NULL").select("file_id", "at", "line", "places.*")
     cells = F.split("line", ",")
     cell = lambda c: F.when(F.col(f"_{c}") <= F.size(cells), leading_number(F.element_at(cells, F.col(f"_{c}"))))
     finite = lambda c: F.when(F.abs(c) < float("inf"), c)
@@ -59,21 +66,20 @@ def judged(heads: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     good = read.where(F.col("wrong").isNull())
     rows = good.select("file_id", "row", "t", F.greatest("X", F.lit(0.0)).alias("X"), F.greatest("S", F.lit(0.0)).alias("S"), "O2", "CO2")
 
-    message = lambda df, row, severity, text: df.select("file_id", row.cast("int").alias("row"), F.lit(severity).alias("severity"), text.alias("message"))
-    none = F.lit(None)
+    # messages of a file, and those of a row, come from one pass over files and one over rows
+    say = lambda cond, severity, text: F.when(cond, F.struct(F.lit(severity).alias("severity"), text.alias("message")))
+    told = lambda df, row, found: df.select("file_id", row.cast("int").alias("row"), F.explode(F.array_compact(found)).alias("m")).select("file_id", "row", "m.*")
     counts = complete.select("file_id").join(rows.groupBy("file_id").agg(F.count("*").alias("n")), "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    parts = [
-        message(heads.where("n_lines < 2"), none, "error", F.lit("the file is empty or has no data rows")),
-        message(placed.select("file_id", F.explode(absent).alias("m")), none, "error", F.col("m")),
-        message(complete.where(F.col("n_lines") - 1 > MOST_ROWS), none, "warning", F.lit(f"only the first {MOST_ROWS} rows are read")),
-        message(read.where(F.col("wrong").isNotNull()), F.col("row"), "error", F.col("wrong")),
-        message(good.where("X < 0"), F.col("row"), "warning", F.lit("negative X set to 0")),
-        message(good.where("S < 0"), F.col("row"), "warning", F.lit("negative S set to 0")),
-        message(counts.where(F.col("n") < LEAST_ROWS), none, "error", F.lit(f"fewer than {LEAST_ROWS} valid rows")),
-    ]
-    messages = parts[0]
-    for part in parts[1:]:
-        messages = messages.unionByName(part)
+    right = F.col("wrong").isNull()
+    of_files = heads.select("file_id", "n_lines", "places.*").join(counts, "file_id", "left")
+    some = F.col("n_lines") >= 2
+    of_files = told(of_files, F.lit(None), F.concat(
+        F.array(say(~some, "error", F.lit("the file is empty or has no data rows"))),
+        F.when(some, F.transform(absent, lambda m: F.struct(F.lit("error").alias("severity"), m.alias("message")))).otherwise(F.array().cast("array<struct<severity:string,message:string>>")),
+        F.array(say(F.col("n").isNotNull() & (F.col("n_lines") - 1 > MOST_ROWS), "warning", F.lit(f"only the first {MOST_ROWS} rows are read")), say(F.col("n") < LEAST_ROWS, "error", F.lit(f"fewer than {LEAST_ROWS} valid rows"))),
+    ))
+    of_rows = told(read, F.col("row"), F.array(say(~right, "error", F.col("wrong")), *(say(right & (F.col(c) < 0), "warning", F.lit(f"negative {c} set to 0")) for c in ("X", "S"))))
+    messages = of_files.unionByName(of_rows)
     failed = messages.where("severity = 'error'").select("file_id").distinct().withColumn("_failed", F.lit(True))
     status = heads.select("file_id").join(failed, "file_id", "left").join(counts, "file_id", "left").select("file_id", F.col("_failed").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n_rows"))
     return rows, messages, status

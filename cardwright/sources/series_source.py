@@ -186,10 +186,10 @@ def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     place = F.row_number().over(Window.partitionBy("file_id", "part").orderBy("place")) - 1
     first = kept.withColumn("in_part", place).where(F.col("in_part") <= series_csv.MOST_ROWS)
     numbered = first.join(shifts, ["file_id", "part"]).withColumn("at", (F.col("before") + F.col("in_part") - 1).cast("int")).where(F.col("at") < series_csv.MOST_ROWS)
-    header = numbered.where("at = -1").select("file_id", F.col("line").alias("header"))
+    header = numbered.where("at = -1").select("file_id", series_csv.places(F.col("line")).alias("places"))
     files = lines.where("place = -1").select("file_id").join(shifts.groupBy("file_id").agg(F.max("n_lines").alias("n_lines")), "file_id", "left")
     heads = files.join(header, "file_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
-    data = numbered.where("at >= 0").join(header, "file_id").select("file_id", "header", "at", "line")
+    data = numbered.where("at >= 0").join(header, "file_id").select("file_id", "places", "at", "line")
     return series_csv.judged(heads, data)
 
 
