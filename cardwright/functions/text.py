@@ -72,19 +72,20 @@ def percent(n: Column, total: Column) -> Column:
 
 def parse_number(c: Column | str) -> Column:
     """struct(num, ok): the whole text as a number, or else the first decimal number in it; blank is 0 and ok; none is 0 and not ok."""
-    t = trim_all(F.coalesce(_col(c), F.lit("")))
-    plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.expr("1")).isNotNull()
+    return let(trim_all(F.coalesce(_col(c), F.lit(""))), _number)
+
+
+def _number(t: Column) -> Column:
     based = F.coalesce(
         F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 100), 16, 10)),
         F.when(t.rlike("^0[bB][01]+$"), F.conv(F.substring(t, 3, 100), 2, 10)),
         F.when(t.rlike("^0[oO][0-7]+$"), F.conv(F.substring(t, 3, 100), 8, 10)),
     )
-    whole = F.when(t == "", F.lit(0.0)).when(plain, t.try_cast("double")).otherwise(based.try_cast("double"))
-    # 1e999 reads as infinity, which is not accepted
-    whole = F.when(F.abs(whole) < float("inf"), whole)
+    whole = F.when(t == "", F.lit(0.0)).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double")).otherwise(based.try_cast("double"))
     first = F.nullif(F.regexp_extract(t, r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", 0), F.lit("")).try_cast("double")
-    num = F.coalesce(whole, F.when(F.abs(first) < float("inf"), first))
-    return F.struct(F.coalesce(num, F.lit(0.0)).alias("num"), num.isNotNull().alias("ok"))
+    # 1e999 reads as infinity, which is not accepted
+    finite = lambda c: let(c, lambda x: F.when(F.abs(x) < float("inf"), x))
+    return let(F.coalesce(finite(whole), finite(first)), lambda num: F.struct(F.coalesce(num, F.lit(0.0)).alias("num"), num.isNotNull().alias("ok")))
 
 
 def leading_number(c: Column | str) -> Column:

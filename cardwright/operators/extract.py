@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import capped, first_line, has_text, parse_number, trim_all
+from cardwright.functions.text import let, capped, first_line, has_text, parse_number, trim_all
 from cardwright.sources.tables import EXTRACTION
 
 #: Fewest characters of a trimmed source.
@@ -184,10 +184,10 @@ def ode_stub(doc: Column) -> Column:
     names = F.when(F.size(states) > 0, F.array_join(states, ", ")).otherwise("none")
 
     def entry(p: Column) -> Column:
-        number = parse_number(p["value"])
         unit = F.when(F.coalesce(p["unit"], F.lit("")) == "", "—").otherwise(p["unit"])
-        note = F.when(number["ok"], "").otherwise(F.concat(F.lit('; not a number: "'), F.coalesce(p["value"], F.lit("")), F.lit('"')))
-        return F.concat(F.lit('    "'), p["symbol"], F.lit('": '), F.when(number["ok"], number_text(number["num"])).otherwise("0.0"), F.lit(",  # "), unit, note)
+        note = F.concat(F.lit('; not a number: "'), F.coalesce(p["value"], F.lit("")), F.lit('"'))
+        value = let(parse_number(p["value"]), lambda n: F.when(n["ok"], F.concat(let(n["num"], number_text), F.lit(",  # "), unit)).otherwise(F.concat(F.lit("0.0,  # "), unit, note)))
+        return F.concat(F.lit('    "'), p["symbol"], F.lit('": '), value)
 
     entries = F.transform(doc["parameters"], entry)
     listed = F.when(F.size(entries) > 0, F.array_join(entries, "\n")).otherwise("    # none")
