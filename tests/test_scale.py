@@ -52,3 +52,26 @@ def test_simulations_are_dealt_over_tasks(spark):
 
     p = spark.range(40).coalesce(1).withColumn("T", F.lit(1.0))
     assert simulate.simulate(p).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_numbers_and_wrapped_texts_are_read_once(spark):
+    import __spark_entry__
+    from cardwright.functions.text import parse_number
+
+    df = spark.createDataFrame([("12 g",), ("0x10",), ("1e999",), ("",), (None,)], "t string").select(parse_number("t").alias("n"))
+    assert [(r.n.num, r.n.ok) for r in df.collect()] == [(12.0, True), (16.0, True), (0.0, False), (0.0, True), (0.0, True)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(df).count("regexp_replace(") == 1
+    wrapped = __spark_entry__.queries()["wrapped_comments"](spark, "/root/testdata/sf0.001")
+    assert plan(wrapped).count("aggregate(") == 1
+
+
+def test_headers_are_read_once_a_file(spark):
+    from cardwright.sources import series_csv
+
+    files = spark.createDataFrame([("a", "Time,X,S\n1,2,-3\n2,x,1\n"), ("b", "Time\n1\n"), ("c", "")], "file_id string, content string")
+    rows, messages, status = series_csv.parse(files)
+    got = sorted((m.file_id, m.row or 0, m.severity, m.message) for m in messages.collect())
+    assert [g[:3] for g in got] == [("a", 0, "error"), ("a", 2, "warning"), ("a", 3, "error"), ("b", 0, "error"), ("b", 0, "error"), ("c", 0, "error")]
+    # one pass counts the accepted rows, one tells of all rows; there were more, one for each kind of message
+    assert messages._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
