@@ -9,13 +9,16 @@ Groups are not expanded into all pairs. Equal texts are one node. Under the firs
 with one of them, and nodes linked that way form components; a pair inside a component needs no comparison, as the
 result is the component. Only tokens whose nodes still lie in different components are looked at again. Where those are
 few, pairs from different components are compared. Tokens with many nodes join these into families, whose sets are
-compared in blocks inside tasks, by counting matrices; a block gives back the links that join its nodes and no pairs.
+packed into blocks of like size, each written once; blocks are compared inside tasks, by counting matrices, and give
+back the links that join their nodes and no pairs.
+
+The first count of shingles misses those that are spread thinly over very many documents. Postings show their true
+number; where such tokens take up much of the prefixes, the orders learn them and the postings are made again.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -36,8 +39,11 @@ COUNTED_AT_ONCE, POSTED_AT_ONCE = 1_500_000, 400_000
 BUCKET, PARTITION = 250_000, 2_000_000
 #: A token with more postings than one in this many of all, and than so many, is dealt over several tasks: at most so many tokens.
 HOT_TOKENS, HOT = 20_000, 256
-#: Nodes of a token from which they are compared as a family, and nodes of a block then.
-FAMILY, BLOCK = 48, 384
+#: Nodes of a token from which they are compared as a family; nodes and shingles of a block then, about, and bytes of blocks that a task holds.
+FAMILY, BLOCK, BLOCK_SHINGLES, BLOCK_BYTES = 48, 384, 200_000, 32_000_000
+#: Nodes of a token from which the orders should know it; they learn such tokens if these have more than one in so many of the postings, so often at
+#: most, and know so many tokens in all then, 16 bytes each.
+THIN, THIN_SHARE, RELEARNT, KNOWN_LATER = 12, 20, 2, 2_000_000
 #: Ids up to which a list of candidate documents is broadcast; above, a shuffle join is used.
 BROADCAST_IDS = 1_000_000
 
@@ -290,17 +296,16 @@ def _incidence(rows: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
 def _within(percent: int):
     """Links within a block of a family, or between two: only those that first join two of its nodes' groups."""
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left = block["left"].to_numpy()
-        one = block if (block["x"] == block["y"]).iloc[0] else block[left]
-        two = block if one is block else block[~left]
+    def compare(one: pa.StructArray, two: pa.StructArray) -> list[tuple[int, int]]:
         share = np.ones((len(one), len(two)), dtype=bool)
         for k in range(1, ORDERS):
-            share &= _incidence([np.unique(v) for v in one[f"p{k}"]], [np.unique(v) for v in two[f"p{k}"]]) > 0
-        a, b = ([np.frombuffer(t, np.uint64) for t in x["tokens"]] for x in (one, two))
+            share &= _incidence(*([np.unique(v.values.to_numpy()) for v in x.field(f"p{k}")] for x in (one, two))) > 0
+        if not share.any():
+            return []
+        a, b = ([np.frombuffer(t.as_buffer(), np.uint64) for t in x.field("tokens")] for x in (one, two))
         both, n, m = _incidence(a, b).astype(np.int64), np.array([len(x) for x in a]), np.array([len(x) for x in b])
         linked = share & (100 * both >= percent * (n[:, None] + m[None, :] - both))
-        x, y, parent = one["node"].tolist(), two["node"].tolist(), {}
+        x, y, parent = one.field("node").to_pylist(), two.field("node").to_pylist(), {}
 
         def root(v: int) -> int:
             while parent.setdefault(v, v) != v:
@@ -313,9 +318,15 @@ def _within(percent: int):
             if u != v:
                 parent[v] = u
                 found.append((x[i], y[j]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                found = compare(one.values, two.values)
+                yield _columns(_PAIRS, len(found), a=[u for u, _ in found], b=[v for _, v in found])
 
-    return compare
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -361,9 +372,10 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     ddl = lambda schema: from_arrow_schema(schema)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     texts = rows.select("text")
+    tokens_of = lambda t: (t["token"].to_numpy().view(np.uint64), t["count"].to_numpy())
     light = written(rows.mapInArrow(tidy(_light), ddl(_LIGHT)), "light")
     known = light.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN_SHINGLES).toArrow()
-    order = spark.sparkContext.broadcast(Order(known["token"].to_numpy().view(np.uint64), known["count"].to_numpy()))
+    order = spark.sparkContext.broadcast(Order(*tokens_of(known)))
     ids = light.where(F.col("token").isNull()).select("id", "node", "check", "n")
     # different sets with one fingerprint: of n sets about n * n / 2 ** 65, so hardly ever any
     twice = ids.groupBy("node").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x != y").select("node")
@@ -379,20 +391,36 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     partitions, total = int(spark.conf.get("spark.sql.shuffle.partitions")), ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     postings = total - percent * total // 100
     buckets, partitions = max(4 * partitions, postings // BUCKET), max(partitions, postings // PARTITION)
-    posted = texts.mapInArrow(tidy(_postings(order, buckets, percent, clashing)), ddl(_POSTINGS))
-    # one pass: final postings have no bucket and go through the same exchange, spread by token and node
-    spread = posted.repartition(partitions, F.coalesce("bucket", F.xxhash64("token", "node"))).sortWithinPartitions("bucket")
-    live = written(spread.mapInArrow(tidy(_settled), ddl(_LIVE)), "live")
+
+    def few(ids: DataFrame) -> DataFrame:
+        """A list of ids as it is joined: broadcast where its size allows."""
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def posted(order) -> tuple[DataFrame, DataFrame]:
+        """Postings of the tokens that several nodes have in their prefixes, and for each token one of the nodes and their number."""
+        found = texts.mapInArrow(tidy(_postings(order, buckets, percent, clashing)), ddl(_POSTINGS))
+        # one pass: final postings have no bucket and go through the same exchange, spread by token and node
+        spread = found.repartition(partitions, F.coalesce("bucket", F.xxhash64("token", "node"))).sortWithinPartitions("bucket")
+        live = written(spread.mapInArrow(tidy(_settled), ddl(_LIVE)), "live")
+        return live, written(live.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("c"), F.count("*").alias("nodes")), "centres")
+
+    live, centre = posted(order)
+    for _ in range(RELEARNT):
+        old = written(spark.createDataFrame(known), "known")
+        thin = centre.where(F.col("nodes") > THIN).select("token", F.col("nodes").alias("count")).join(few(old.withColumnRenamed("count", "before")), "token", "left")
+        thin = written(thin.where("before IS NULL OR count > 4 * before").select("token", "count"), "thin")
+        n = thin.crossJoin(F.broadcast(centre.agg(F.sum("nodes").alias("all")))).agg(F.sum("count").alias("thin"), F.first("all").alias("all")).first()
+        if not n["all"] or n["thin"] * THIN_SHARE <= n["all"]:
+            break
+        known = old.unionByName(thin).groupBy("token").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "token").limit(KNOWN_LATER).toArrow()
+        order = spark.sparkContext.broadcast(Order(*tokens_of(known)))
+        live, centre = posted(order)
 
     def can(n: Column, pos: Column, m: Column, at: Column) -> Column:
         """Whether sets of n and m tokens that first meet at these places of their prefixes can still reach the threshold."""
         reach = F.least(n - pos, m - at)
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reach * (100 + percent) >= percent * (n + m))
 
-    def few(ids: DataFrame) -> DataFrame:
-        """A list of ids as it is joined: broadcast where its size allows."""
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
     def candidate_sets(nodes: DataFrame) -> DataFrame:
         """Prefixes and sets of the nodes, from one text each."""
         chosen = written(smallest.join(nodes, "node", "left_semi").select("node", F.col("least").alias("chosen")), "chosen")
@@ -418,7 +446,6 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ordered = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     # each token's nodes against one of them
-    centre = written(live.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("c"), F.count("*").alias("nodes")), "centres")
     most = max(HOT, centre.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"] // HOT_TOKENS)
     hot = F.broadcast(written(centre.where(F.col("nodes") > most).select("token", F.ceil(F.col("nodes") / most).cast("int").alias("parts")), "hot"))
 
@@ -444,12 +471,21 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     if families.limit(1).count():
         sets = sets.unionByName(candidate_sets(ends(families).join(sets, "node", "left_anti")))
         member = components(families).withColumnRenamed("comp", "family")
-        size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        at = member.join(size, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        at = at.select("node", "family", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        at = at.select("node", "family", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") <= F.col("j")).alias("left"))
-        blocks = at.join(sets, "node").groupBy("family", "x", "y").applyInPandas(_within(percent), ddl(_PAIRS))
-        more.append(written(blocks, "links"))
+        # sets that link are of one band of sizes or of neighbouring ones
+        n = sets.select("node", (F.length("tokens") / 8).alias("n"))
+        band = F.floor(F.log("n") / (1.001 * np.log(100 / percent))) if 0 < percent < 100 else F.col("n").cast("long") if percent >= 100 else F.lit(0)
+        member = written(member.join(n, "node").withColumn("band", band.cast("long")), "members")
+        size = member.groupBy("family", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        at = member.join(size, ["family", "band"]).select("node", "family", (F.shiftleft("band", 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("k"))
+        packed = at.join(sets, "node").groupBy("family", "k").agg(F.collect_list(F.struct("node", *(f"p{k}" for k in range(1, ORDERS)), "tokens")).alias("sets"))
+        packed = written(packed, "blocks")
+        # no block is copied: a task reads the others' blocks from the table. Ranges instead of equal families, which would deal a family to one task
+        held = 1 + int((member.agg(F.sum("n")).first()[0] or 0) * 10 // BLOCK_BYTES)
+        one = packed.select(F.col("family").alias("f"), F.col("k").alias("i"), F.col("sets").alias("one")).repartition(max(held, 2 * spark.sparkContext.defaultParallelism))
+        two = packed.select(F.col("family").alias("from"), F.col("family").alias("to"), F.col("k").alias("j"), F.col("sets").alias("two")).repartition(held)
+        near = (F.col("f") >= F.col("from")) & (F.col("f") <= F.col("to")) & (F.col("j") >= F.col("i")) & (F.shiftright("j", 32) <= F.shiftright("i", 32) + 1)
+        with rows_at_once(spark, 4):
+            more.append(written(one.join(two.hint("shuffle_replicate_nl"), near).select("one", "two").mapInArrow(tidy(_within(percent)), ddl(_PAIRS)), "links"))
 
     # the others, pair by pair
     rest = mixed.where(F.col("nodes") <= FAMILY)

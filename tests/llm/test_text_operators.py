@@ -87,6 +87,34 @@ def test_jaccard_join_is_exact(spark, monkeypatch, family):
     assert Counter(map(tuple, J.ngram_components(docs).collect())) == brute_components(rows)
 
 
+def test_families_are_written_once_and_thin_tokens_learnt(spark, monkeypatch):
+    """Texts of few sentences in new orders: every token is shared, so they are one family if the orders do not know the tokens' numbers."""
+    rng = np.random.default_rng(3)
+    sentences = [" ".join(f"s{i}_{k}" for k in range(12)) for i in range(40)]
+    texts = [" ".join(sentences[i] for i in rng.permutation(40)[:8]) + " " + " ".join(f"u{d}_{k}" for k in range(30)) for d in range(120)]
+    rows = list(enumerate([*texts, *near_copies(5, 20, 2)]))
+    made = defaultdict(list)
+    written = J.written
+
+    def kept(df, name, *more, **options):
+        made[name].append(written(df, name, *more, keep=True))
+        return made[name][-1]
+
+    monkeypatch.setattr(J, "written", kept)
+    for name, value in {"KNOWN_SHINGLES": 1, "FAMILY": 3, "BLOCK": 8, "THIN": 2, "LOCAL_COUNT": 1_000}.items():
+        monkeypatch.setattr(J, name, value)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "RELEARNT", 0)
+    assert Counter(map(tuple, J.ngram_components(docs).collect())) == brute_components(rows)
+    packed = made["blocks"][0].selectExpr("explode(sets.node) AS node")
+    assert packed.count() == packed.distinct().count() == made["members"][0].count() > 8  # each set in one block only
+    members = made["members"][0].count()
+    made.clear()
+    monkeypatch.setattr(J, "RELEARNT", 6)
+    assert Counter(map(tuple, J.ngram_components(docs).collect())) == brute_components(rows)
+    assert sum(x.count() for x in made["members"]) < members / 2  # unrelated texts are no family any more
+
+
 def test_jaccard_join_of_nothing(spark):
     assert J.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
