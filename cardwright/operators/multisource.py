@@ -34,7 +34,8 @@ def seen_values(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...]
 
 def set_sizes(seen: DataFrame, values: tuple[str, ...]) -> DataFrame:
     """(key, n_<value>s ...): sizes of a symbol's sets, from ``seen_values``."""
-    return seen.groupBy("key").agg(*(F.count_if(F.col("name") == v).alias(f"n_{v}s") for v in values))
+    # "seen" is never null; named, it keeps the plan of the values as ``first_values`` has it, so that both share one exchange
+    return seen.groupBy("key").agg(*(F.count_if((F.col("name") == v) & F.col("seen").isNotNull()).alias(f"n_{v}s") for v in values))
 
 
 def first_values(seen: DataFrame, shown: int = SHOWN) -> DataFrame:
@@ -97,14 +98,18 @@ def conflicts(parameters: DataFrame, variables: DataFrame, equations: DataFrame,
     own = parameters.join(last, ["source", "extraction_id"]).select(norm("symbol").alias("key"), "source").where("key != ''").distinct()
     all_sources = last.agg(F.coalesce(F.array_sort(F.collect_list("source")), F.array().cast("array<string>")).alias("all_sources"))
     present = own.groupBy("key").agg(F.collect_set("source").alias("present")).crossJoin(F.broadcast(all_sources))  # one row
-    absent = present.select("key", F.array_except("all_sources", "present").alias("missing")).where(F.size("missing") > 0)
-    absent = absent.join(p.select("key", "symbol"), "key")
+    found = lambda kind, here, subject, details: F.when(here, F.struct(F.lit(kind).alias("kind"), F.lit(SEVERITY[kind]).alias("severity"), subject.alias("subject"), details.alias("details")))
+    # all kinds of a symbol's row at once, so that its sets are made once
+    by_symbol = p.join(present, "key", "left").withColumn("missing", F.array_except("all_sources", "present"))
+    kinds = F.array(
+        found("parameter_value", several("values"), F.col("symbol"), text("values")),
+        found("parameter_unit", several("units"), F.col("symbol"), text("units")),
+        found("missing_across_sources", F.size("missing") > 0, F.col("symbol"), F.array_join("missing", " | ")),
+    )
     parts = [
-        row(p.where(several("values")), "parameter_value", F.col("symbol"), text("values")),
-        row(p.where(several("units")), "parameter_unit", F.col("symbol"), text("units")),
+        by_symbol.select(F.explode(F.array_compact(kinds)).alias("x")).select("x.*"),
         row(v.where(several("units") | several("meanings")), "variable_definition", F.col("symbol"), F.concat_ws(" / ", text("units"), text("meanings"))),
         row(e.where(several("forms")), "equation", F.col("display"), text("forms")),
-        row(absent, "missing_across_sources", F.col("symbol"), F.array_join("missing", " | ")),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import let
 from cardwright.functions.units import label, parse_unit
-from cardwright.operators import units
+from cardwright.operators import multisource, units
 
 
 def _size(df) -> int:
@@ -75,3 +75,10 @@ def test_headers_are_read_once_a_file(spark):
     assert [g[:3] for g in got] == [("a", 0, "error"), ("a", 2, "warning"), ("a", 3, "error"), ("b", 0, "error"), ("b", 0, "error"), ("c", 0, "error")]
     # one pass counts the accepted rows, one tells of all rows; there were more, one for each kind of message
     assert messages._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_conflicts_make_a_symbols_sets_once(spark):
+    rows = spark.range(10).selectExpr("cast(id % 3 as string) symbol", "cast(id as string) value", "'g' unit", "'m' meaning", "cast(id % 2 as string) source", "id % 2 AS extraction_id", "id AS ordinal", "'' label", "'' plaintext", "'' latex")
+    found = multisource.conflicts(rows, rows, rows, rows.select("source", "extraction_id").distinct())
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 24  # 32 where each kind made them anew
+    assert sorted((r["kind"], r["subject"]) for r in found.collect()) == [("parameter_value", k) for k in "012"]
