@@ -37,8 +37,8 @@ KNOWN_SHINGLES = 150_000
 COUNTED_AT_ONCE, POSTED_AT_ONCE = 1_500_000, 400_000
 #: Postings of a bucket, about, which a task holds at a time; and of a partition of buckets.
 BUCKET, PARTITION = 250_000, 2_000_000
-#: A token with more postings than one in this many of all, and than so many, is dealt over several tasks: at most so many tokens.
-HOT_TOKENS, HOT = 20_000, 256
+#: A token with more postings than one in this many of all, and than so many, is hot: what is joined to its postings is broadcast, a row a token, so at most so many rows.
+HOT_TOKENS, HOT = 20_000, 16
 #: Nodes of a token from which they are compared as a family; nodes and shingles of a block then, about, and bytes of blocks that a task holds.
 FAMILY, BLOCK, BLOCK_SHINGLES, BLOCK_BYTES = 48, 384, 200_000, 32_000_000
 #: Nodes of a token from which the orders should know it; they learn such tokens if these have more than one in so many of the postings, so often at
@@ -353,6 +353,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def by_token(posts: DataFrame, per_token: DataFrame, hot: DataFrame) -> DataFrame:
+    """Join postings with a table that has one row a token. Those of ``hot`` tokens (token) stay where they are, as their few rows are broadcast: no task gets all postings of such a token."""
+    few = F.broadcast(per_token.join(F.broadcast(hot), "token", "left_semi"))
+    others = posts.join(F.broadcast(hot), "token", "left_anti").join(per_token, "token")
+    return posts.join(few, "token").unionByName(others)
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """(``id_col``, n_shingles, component_id): one row for each row of ``docs``.
 
@@ -446,28 +453,21 @@ def _ngram_components(docs: DataFrame, id_col: str, text: str, percent: int) ->
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ordered = lambda pairs, x, y: pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
     # each token's nodes against one of them
-    most = max(HOT, centre.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"] // HOT_TOKENS)
-    hot = F.broadcast(written(centre.where(F.col("nodes") > most).select("token", F.ceil(F.col("nodes") / most).cast("int").alias("parts")), "hot"))
-
-    def by_token(posts: DataFrame, per_token: DataFrame) -> DataFrame:
-        """Join postings with a table that has one row a token; a hot token's postings are dealt over several parts, to each of which its row is copied."""
-        dealt = posts.join(hot, "token", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-        copied = per_token.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-        return dealt.join(copied, ["token", "part"]).drop("part")
-
-    stars = by_token(live, centre.select("token", "c")).where((F.col("node") != F.col("c.node")) & can(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
+    most = max(HOT, centre.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("n")).first()["n"] / HOT_TOKENS)
+    hot = written(centre.where(F.col("nodes") > most).select("token"), "hot")
+    stars = by_token(live, centre.select("token", "c"), hot).where((F.col("node") != F.col("c.node")) & can(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.pos")))
     stars = written(ordered(stars, "node", "c.node"), "pairs")
     sets = candidate_sets(ends(stars))
     links = verified(stars, sets)
     comps = components(links)
     placed = live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("nodes")).where("x != y").select("token", "nodes")
-    mixed = written(by_token(placed, apart), "mixed")
+    mixed = written(by_token(placed, written(apart, "apart"), hot), "mixed")
 
     # families of the tokens that very many nodes share
     many, more = mixed.where(F.col("nodes") > FAMILY), []
-    centre = many.groupBy("token").agg(F.min("node").alias("a"))
-    families = written(by_token(many, centre).select("a", F.col("node").alias("b")).distinct(), "families")
+    centre = written(many.groupBy("token").agg(F.min("node").alias("a")), "firsts")
+    families = written(by_token(many, centre, hot).select("a", F.col("node").alias("b")).distinct(), "families")
     if families.limit(1).count():
         sets = sets.unionByName(candidate_sets(ends(families).join(sets, "node", "left_anti")))
         member = components(families).withColumnRenamed("comp", "family")

@@ -115,6 +115,16 @@ def test_families_are_written_once_and_thin_tokens_learnt(spark, monkeypatch):
     assert sum(x.count() for x in made["members"]) < members / 2  # unrelated texts are no family any more
 
 
+def test_postings_meet_their_tokens_without_outer_joins(spark):
+    """Hot tokens' postings are joined where they lie; all others by token; no posting is joined only to learn whether its token is hot."""
+    posts = spark.createDataFrame([(t, n) for t in range(20) for n in range(200 if t == 3 else t)], "token long, node long")
+    per_token = spark.createDataFrame([(t, -t) for t in range(0, 20, 3)], "token long, c long")
+    hot = spark.createDataFrame([(3,), (4,)], "token long")
+    joined = J.by_token(posts, per_token, hot)
+    assert Counter(map(tuple, joined.collect())) == Counter(map(tuple, posts.join(per_token, "token").collect()))
+    assert "LeftOuter" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_jaccard_join_of_nothing(spark):
     assert J.ngram_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
