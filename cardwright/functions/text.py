@@ -128,8 +128,8 @@ def capped(c: Column | str, longest: int = 90, kept: int = 87) -> Column:
 
 def first_line(c: Column | str) -> Column:
     """The first line that is not blank, trimmed; null if there is none."""
-    lines = F.filter(F.transform(F.split(_col(c), "\r\n|\r|\n"), trim_all), lambda x: x != "")
-    return F.try_element_at(lines, F.lit(1))
+    # from the first character that is no space to the end of its line: the rest of the text is not read
+    return F.nullif(trim_all(F.regexp_extract(_col(c), f"^[{SPACES}]*+([^\\r\\n]*)", 1)), F.lit(""))
 
 
 def js_number(c: Column | str, digits: int) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import let, capped, first_line, has_text, parse_number, trim_all
+from cardwright.functions.text import SPACES, let, capped, first_line, has_text, parse_number, trim_all
 from cardwright.sources.tables import EXTRACTION
 
 #: Fewest characters of a trimmed source.
@@ -17,10 +17,11 @@ ROLES = {"state": "state", "input": "input", "output": "output", "control": "inp
 
 def guarded(docs: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame]:
     """(usable, rejected): blank sources and those under 30 characters are rejected with 400 and a reason."""
-    n = F.length(trim_all(F.coalesce(text, F.lit(""))))
-    reason = F.when(n == 0, "the source is empty").when(n < LEAST, "the source is too short")
-    bad = docs.withColumn("reason", reason).where(F.col("reason").isNotNull())
-    return docs.where(n >= LEAST), bad.withColumn("status_code", F.lit(400))
+    t = F.coalesce(text, F.lit(""))
+    # from the first character that is no space to another one LEAST - 1 places on or later: long texts are not read to their end
+    enough = F.regexp_like(t, F.lit(f"(?s)^[{SPACES}]*+[^{SPACES}].{{{LEAST - 2},}}?[^{SPACES}]"))
+    bad = docs.where(~enough).withColumn("reason", F.when(trim_all(t) == "", "the source is empty").otherwise("the source is too short"))
+    return docs.where(enough), bad.withColumn("status_code", F.lit(400))
 
 
 def choose_provider(named: str | None, available: Mapping[str, bool]) -> str:

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -18,3 +18,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
             _own.append("file://" + tempfile.mkdtemp(prefix="cardwright-files-"))
         base = _own[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in a folder of its own, read again: several tables that are made of it do not make it again."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

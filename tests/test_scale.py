@@ -82,3 +82,27 @@ def test_conflicts_make_a_symbols_sets_once(spark):
     found = multisource.conflicts(rows, rows, rows, rows.select("source", "extraction_id").distinct())
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 24  # 32 where each kind made them anew
     assert sorted((r["kind"], r["subject"]) for r in found.collect()) == [("parameter_value", k) for k in "012"]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_answers_are_checked_once_for_all_tables(spark):
+    from cardwright.plans.records import extraction_chain
+
+    assert "from_json" not in extraction_chain(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()  # once for each of five tables before
+
+
+def test_guards_and_first_lines_of_odd_texts(spark):
+    from cardwright.functions.text import first_line, trim_all
+    from cardwright.operators.extract import guarded
+
+    texts = [None, "", " \n\t", "a", "a" * 29, "a" * 30, f"\n{'a' * 29}  ", f"a{' ' * 28}b", f"a{' ' * 27}b", f"a{' ' * 100_000}", f"{' ' * 100_000}b", "  x \r\ny", "\r\r z　\rmore", "\U0001f600" * 30, "\U0001f600" * 29, "a\n" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    good, bad = guarded(rows)
+    trimmed = {r.id: r.t for r in rows.select("id", trim_all(F.coalesce("content", F.lit(""))).alias("t")).collect()}
+    assert {r.id for r in good.collect()} == {k for k, t in trimmed.items() if len(t) >= 30}
+    assert {r.id: (r.reason, r.status_code) for r in bad.collect()} == {k: ("the source is too short" if t else "the source is empty", 400) for k, t in trimmed.items() if len(t) < 30}
+    lines = F.filter(F.transform(F.split("content", "\r\n|\r|\n"), trim_all), lambda x: x != "")
+    assert all(r.a == r.b for r in rows.select(first_line("content").alias("a"), F.try_element_at(lines, F.lit(1)).alias("b")).collect())
+    assert "split(" not in rows.select(first_line("content"))._jdf.queryExecution().optimizedPlan().toString()
