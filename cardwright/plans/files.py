@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardwright.operators import extract
 from cardwright.plans.catalogue import _t, query
 from cardwright.sources import archives, bucketed, ingest, pdf, series_source
-from cardwright.sources.work import work_dir
+from cardwright.sources.work import work_dir, written
 
 #: Lines of a page of the files that are made of documents.
 PAGE_LINES = 12
@@ -55,10 +55,13 @@ def series_source_rows(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     line = F.concat_ws(",", k.cast("string"), F.when(k % 7 == 0, "none").otherwise((F.col("value") - 5).cast("string")), F.lit("1"), F.when(k % 5 == 0, "n/a").otherwise(F.col("value").cast("string")))
     line = F.concat(F.when(k % 3 == 0, "# a comment\n\n").otherwise(""), line, F.when(k % 2 == 0, "\r\n").otherwise("\n"))
-    body = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "").alias("body"))
+    # dealt by a number of tasks, which adaptive execution keeps: the rows are few bytes, but each user's file takes its time
+    dealt = _t(spark, d, "events").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "user_id")
+    body = dealt.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "").alias("body"))
     path = work_dir(spark, "series")
-    body.select("user_id", F.concat(F.lit("# made of events\n Time ,X,s,DO\n"), "body").alias("value")).write.partitionBy("user_id").text(path)
-    rows = series_source.parse(series_source.read(spark, path, part_bytes=4 << 20))[0]
+    body.select("user_id", F.concat(F.lit("# made of events\n Time ,X,s,DO\n"), "body").alias("value")).write.partitionBy("user_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver one after another
+    lines = written(series_source.read(spark, path, part_bytes=4 << 20), "lines")  # files are listed and opened once, not for each table made of their lines
+    rows = series_source.parse(lines)[0]
     return rows.select(F.regexp_extract("file_id", r"user_id=(\d+)/", 1).cast("long").alias("user_id"), F.col("row").cast("long").alias("row"), "t", F.col("X").alias("x"), F.col("O2").alias("o2"))
 
 

@@ -106,3 +106,9 @@ def test_guards_and_first_lines_of_odd_texts(spark):
     lines = F.filter(F.transform(F.split("content", "\r\n|\r|\n"), trim_all), lambda x: x != "")
     assert all(r.a == r.b for r in rows.select(first_line("content").alias("a"), F.try_element_at(lines, F.lit(1)).alias("b")).collect())
     assert "split(" not in rows.select(first_line("content"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_series_files_are_read_once(spark):
+    from cardwright.plans.files import series_source_rows
+
+    assert "RelationV2" not in series_source_rows(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()  # the data source was scanned for each table made of lines
