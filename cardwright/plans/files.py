@@ -14,15 +14,26 @@ from cardwright.sources.work import work_dir, written
 
 #: Lines of a page of the files that are made of documents.
 PAGE_LINES = 12
+#: Bytes after which files that were made go on to the next step.
+BATCH_BYTES = 1 << 20
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are few bytes but take time; as a number that is asked for, adaptive execution keeps it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def _as_pdf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A PDF of each text, PAGE_LINES lines a page."""
     for batch in batches:
-        for k in range(len(batch)):
-            lines = batch.column("text")[k].as_py().split("\n")
-            data = pdf.document([lines[i : i + PAGE_LINES] for i in range(0, len(lines), PAGE_LINES)])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), pa.array([data], pa.binary())], ["id", "data"])
+        first, size, made = 0, 0, []
+        for k, text in enumerate(batch.column("text")):
+            lines = text.as_py().split("\n")
+            made.append(pdf.document([lines[i : i + PAGE_LINES] for i in range(0, len(lines), PAGE_LINES)]))
+            size += len(made[-1])
+            if size > BATCH_BYTES or k + 1 == len(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(made)), pa.array(made, pa.binary())], ["id", "data"])
+                first, size, made = k + 1, 0, []
 
 
 _LINES = f"""
@@ -41,10 +52,9 @@ FROM read""")
 def pdf_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """All documents as PDF files and their texts as the reader finds them: pages, characters, and why a file is refused. Empty lines are not shown on a page."""
     docs = _t(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    files = docs.mapInArrow(_as_pdf, "id long, data binary")
-    good, bad = ingest.pdf_texts(files)
-    good = good.select("id", "pages", F.lit(None).cast("string").alias("reason"), F.sha2("text", 256).alias("text_sha256"), F.col("chars").cast("long").alias("chars"), F.element_at("page_chars", -1).cast("long").alias("last_page"))
-    return good.unionByName(bad.select("id", F.lit(None).cast("long").alias("pages"), "reason"), allowMissingColumns=True).drop("pages")
+    files = docs.repartition(_tasks(spark), "id").mapInArrow(_as_pdf, "id long, data binary")  # a text takes far more time than bytes, so the input's own parts are too few
+    rows = ingest.pdf_rows(files)
+    return rows.select("id", "reason", F.sha2("text", 256).alias("text_sha256"), F.col("chars").cast("long").alias("chars"), F.element_at("page_chars", -1).cast("long").alias("last_page"))
 
 
 @query("""
@@ -56,7 +66,7 @@ def series_source_rows(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat_ws(",", k.cast("string"), F.when(k % 7 == 0, "none").otherwise((F.col("value") - 5).cast("string")), F.lit("1"), F.when(k % 5 == 0, "n/a").otherwise(F.col("value").cast("string")))
     line = F.concat(F.when(k % 3 == 0, "# a comment\n\n").otherwise(""), line, F.when(k % 2 == 0, "\r\n").otherwise("\n"))
     # dealt by a number of tasks, which adaptive execution keeps: the rows are few bytes, but each user's file takes its time
-    dealt = _t(spark, d, "events").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), "user_id")
+    dealt = _t(spark, d, "events").repartition(_tasks(spark), "user_id")
     body = dealt.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "").alias("body"))
     path = work_dir(spark, "series")
     body.select("user_id", F.concat(F.lit("# made of events\n Time ,X,s,DO\n"), "body").alias("value")).write.partitionBy("user_id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)  # tasks put their files in place, not the driver one after another

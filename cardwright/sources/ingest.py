@@ -6,12 +6,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwright.functions.text import trim_all
+from cardwright.functions.text import let, trim_all
 from cardwright.sources import pdf
 
 #: Limits of sources. Fixed values.
 PDF_BYTES, PDF_PAGES, LEAST_CHARS, RETRY_CHARS, TEXT_BYTES = 20 << 20, 200, 30, 120, 10 << 20
 
+#: Characters after which texts that were read go on to the next step.
+BATCH_CHARS = 1 << 20
+
 
 def text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) of whole text files: (path, content); those over 10 MB are rejected."""
@@ -49,10 +52,10 @@ def page_char_counts(text: Column | str, pages: Column | int) -> Column:
     """Characters by page: of the parts between form feeds or two blank lines, trimmed, where there are at least as many as pages; else even shares, the rest on the last page."""
     t = F.col(text) if isinstance(text, str) else text
     n = F.lit(pages) if isinstance(pages, int) else pages
-    parts = F.transform(F.split(t, r"\f|\n\s*\n\s*\n"), lambda x: F.length(trim_all(x)))
+    parts = F.split(t, r"\f|\n\s*\n\s*\n")
     share = F.floor(F.length(t) / n).cast("int")
     even = F.concat(F.array_repeat(share, n - 1), F.array(F.length(t) - share * (n - 1)))
-    return F.when(n <= 1, F.array(F.length(t))).when(F.size(parts) >= n, F.slice(parts, 1, F.greatest(n, F.lit(0)))).otherwise(even)
+    return F.when(n <= 1, F.array(F.length(t))).otherwise(let(parts, lambda p: F.when(F.size(p) >= n, F.transform(F.slice(p, 1, F.greatest(n, F.lit(0))), lambda x: F.length(trim_all(x)))).otherwise(even)))
 
 
 Reader = Callable[[bytes], tuple[str, int]]
@@ -64,7 +67,7 @@ def read_pdf(raw: bytes) -> tuple[str, int]:
     return "\n\n".join(pages).strip(), len(pages)
 
 
-_READ = "id {id}, text string, pages long, retried boolean, error string"
+_READ = "id {id}, early string, text string, pages long, retried boolean, error string"
 
 
 def _reading(reader: Reader, retry: Reader | None):
@@ -80,37 +83,50 @@ def _reading(reader: Reader, retry: Reader | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, held, found = 0, 0, []
             for k in range(len(batch)):  # a file may be large, and so may its text
-                found = read(batch.column("raw")[k].as_py())
-                columns = [pa.array([x], t) for x, t in zip(found, (pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(k, 1), *columns], ["id", "text", "pages", "retried", "error"])
+                raw = batch.column("raw")[k].as_py()
+                found.append((None, None, False, None) if raw is None else read(raw))
+                held += len(found[-1][0] or "")
+                if held > BATCH_CHARS or k + 1 == len(batch):
+                    columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.string()), strict=True)]
+                    asked = [batch.column(c).slice(first, len(found)) for c in ("id", "early")]
+                    yield pa.RecordBatch.from_arrays([*asked, *columns], ["id", "early", "text", "pages", "retried", "error"])
+                    first, held, found = k + 1, 0, []
 
     return run
 
 
-def pdf_texts(files: DataFrame, reader: Reader = read_pdf, retry: Reader | None = None, data: str = "data") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of base64 PDFs (id, data): text, pages, chars, words, page_chars, extraction_mode and warnings, or a reason with a status code.
+def pdf_rows(files: DataFrame, reader: Reader = read_pdf, retry: Reader | None = None, data: str = "data") -> DataFrame:
+    """``files`` read in one pass, a row a file: id, text, pages, chars, words, page_chars, extraction_mode and warnings of those accepted, reason and status_code of the others.
 
     ``reader`` gives (text, pages) of a file's bytes. Under 120 characters ``retry`` is asked and the longer text taken. ``data`` may also be a
     column of bytes, as ``pdf_files`` gives it. Tasks read one file after another; a file is at most 20 MB.
     """
     binary = files.schema[data].dataType.typeName() == "binary"
-    raw = files.select("id", (F.col(data) if binary else decoded_pdf(data)).alias("raw"))
+    # each file goes on as one row through steps that are not copied into every column that reads them
+    raw = files.select("id", F.col(data).alias("raw")) if binary else files.select("id", F.explode(F.array(F.struct(decoded_pdf(data).alias("raw")))).alias("f")).select("id", "f.raw")
     size = F.coalesce(F.octet_length("raw"), F.lit(0))
-    early = raw.select("id", F.when(size == 0, "no PDF data").when(size > PDF_BYTES, "the file is too large").alias("reason"), F.when(size > PDF_BYTES, 413).otherwise(400).alias("status_code")).where(F.col("reason").isNotNull())
+    early = F.when(size == 0, "no PDF data").when(size > PDF_BYTES, "the file is too large")
     schema = _READ.format(id=files.schema["id"].dataType.simpleString())
-    read = raw.where((size > 0) & (size <= PDF_BYTES)).mapInArrow(_reading(reader, retry), schema)
+    read = raw.select("id", early.alias("early"), F.when(early.isNull(), F.col("raw")).alias("raw")).mapInArrow(_reading(reader, retry), schema)
     text = trim_all("text")
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages") > PDF_PAGES, "too many pages").when(F.length(text) < LEAST_CHARS, "too little text")
-    # one row a file through a step that is not copied into every column that reads it
-    read = read.select("id", F.explode(F.array(F.struct("pages", "retried", reason.alias("reason"), text.alias("text")))).alias("f")).select("id", "f.*")
-    late = read.where(F.col("reason").isNotNull()).select("id", "reason", F.lit(422).alias("status_code"))
+    late = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages") > PDF_PAGES, "too many pages").when(F.length(text) < LEAST_CHARS, "too little text")
+    code = F.when(F.col("early").isNull(), 422).when(F.col("early") == "no PDF data", 400).otherwise(413)
+    read = read.select("id", F.explode(F.array(F.struct("pages", "retried", code.alias("code"), F.coalesce("early", late).alias("reason"), text.alias("text")))).alias("f")).select("id", "f.*")
     low = F.when((F.length("text") < RETRY_CHARS) | F.col("retried"), F.array(F.lit("little text on the first pass; read again with other settings"))).otherwise(F.array().cast("array<string>"))
-    good = read.where(F.col("reason").isNull()).select(
-        "id", "text", "pages", F.length("text").alias("chars"), word_count("text").alias("words"), page_char_counts("text", F.col("pages").cast("int")).alias("page_chars"),
-        F.when(F.col("retried"), "normalized_whitespace").otherwise("default").alias("extraction_mode"), low.alias("warnings"),
-    )
-    return good, early.unionByName(late)
+    found = {
+        "text": F.col("text"), "pages": F.col("pages"), "chars": F.length("text"), "words": word_count("text"), "page_chars": page_char_counts("text", F.col("pages").cast("int")),
+        "extraction_mode": F.when(F.col("retried"), "normalized_whitespace").otherwise("default"), "warnings": low,
+    }
+    refused = F.col("reason").isNotNull()
+    return read.select("id", *(F.when(~refused, c).alias(name) for name, c in found.items()), "reason", F.when(refused, F.col("code")).alias("status_code"))
+
+
+def pdf_texts(files: DataFrame, reader: Reader = read_pdf, retry: Reader | None = None, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) of base64 PDFs (id, data): the rows of ``pdf_rows`` with a text, and those with a reason. Each of the two reads the files; ``pdf_rows`` reads them once for both."""
+    rows = pdf_rows(files, reader, retry, data)
+    return rows.where(F.col("reason").isNull()).drop("reason", "status_code"), rows.where(F.col("reason").isNotNull()).select("id", "reason", "status_code")
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:

@@ -162,3 +162,24 @@ def test_table_of_files(spark, tmp_path):
 def test_characters_by_page(spark):
     rows = spark.createDataFrame([(" a\fbb\f\nccc", 2), ("a\n \n\nbb", 2), ("abcdefg", 3), ("abc", 1), ("abc", 0), ("", 2)], "t string, n int")
     assert [r[0] for r in rows.select(ingest.page_char_counts("t", rows["n"])).collect()] == [[1, 2], [1, 2], [2, 2, 3], [3], [3], [0, 0]]
+
+
+def test_files_are_made_and_read_once(spark, tmp_path):
+    from cardwright.plans.files import pdf_round_trip
+
+    spark.createDataFrame([(1, "A line of text that is long enough to count.\n\nMore."), (2, "tiny"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pdf_round_trip(spark, str(tmp_path))
+    assert {r["id"]: (r["reason"], r["chars"]) for r in out.collect()} == {1: (None, 50), 2: ("too little text", None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # one makes the files, one reads them; five before
+
+
+def test_codes_taken_together_are_those_taken_one_by_one():
+    from cardwright.sources.pdf import File, Font, Lexer
+
+    file = File(document([["Growth μmax 😀"]]))
+    info = file.get(Lexer(b"4 0 R").value())
+    fast, slow = Font(file, info), Font(file, info)
+    slow.widths = {70_000: 1}  # a width of its own sends each code the long way
+    for raw in ("Growth μmax 😀 中".encode("utf-16-be"), b"", b"\0G\0"):
+        assert fast.shown(raw) == slow.shown(raw)
+    assert fast.units and not slow.units  # taken together here, one by one there
