@@ -101,9 +101,12 @@ def findings(known: DataFrame, extractions: DataFrame, equations: DataFrame, var
     add(known.where(has("gas") & ~F.col("gas_symbol")), "warning", "parameters", "gas transfer without its parameters")
     add(known.where(has("gas") & has("henry")), "info", "parameters", "Henry's law is mentioned: its form and units are to be checked")
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9_]", "")
-    known_symbols = variables.select("extraction_id", F.lower("symbol").alias("s")).union(parameters.select("extraction_id", F.lower("symbol"))).distinct()
+    known_symbols = variables.select("extraction_id", F.lower("symbol").alias("s")).union(parameters.select("extraction_id", F.lower("symbol")))
     used = equations.select("extraction_id", F.explode(F.coalesce("variables_involved", identifiers("latex", LATEX_WORDS))).alias("w")).select("extraction_id", "w", plain("w").alias("s")).where("s != ''")
-    add(names(used.join(known_symbols, ["extraction_id", "s"], "left_anti"), "w"), "warning", "equations", said("symbols that are not defined: "))
+    # grouped as one table, since rows dealt by card need no exchange for that; a join by card and symbol would deal them anew
+    either = used.unionByName(known_symbols.withColumn("w", F.lit(None).cast("string")).withColumn("defined", F.lit(True)), allowMissingColumns=True)
+    undefined = either.groupBy("extraction_id", "s").agg(F.collect_set("w").alias("ws"), F.count("defined").alias("n")).where("n = 0").select("extraction_id", F.explode("ws").alias("w"))
+    add(names(undefined, "w"), "warning", "equations", said("symbols that are not defined: "))
     texts = equations.groupBy("extraction_id").agg(F.lower(F.array_join(F.collect_list(F.concat_ws(" ", "latex", "description")), " ")).alias("all_text"))
     absent = lambda rows: names(rows.where(F.coalesce("symbol", F.lit("")) != "").join(texts, "extraction_id").where(~F.contains("all_text", F.lower("symbol"))))
     add(absent(parameters), "info", "parameters", said("parameters in no equation: "))

@@ -136,9 +136,11 @@ def heuristic(cards: DataFrame, equations: DataFrame, variables: DataFrame, para
     listed them, variables_involved (null where it did not).
     """
     row = lambda df, severity, rule, subject: df.select("extraction_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
-    symbols = variables.select("extraction_id", F.col("symbol").alias("s")).union(parameters.select("extraction_id", "symbol")).where(F.coalesce("s", F.lit("")) != "").distinct()
+    symbols = variables.select("extraction_id", F.col("symbol").alias("s")).union(parameters.select("extraction_id", "symbol")).where(F.coalesce("s", F.lit("")) != "")
     listed = equations.where(F.col("variables_involved").isNotNull())
-    undefined = lambda df: df.join(symbols, ["extraction_id", "s"], "left_anti").distinct()
+    # symbols are told apart by grouping two tables as one, since rows dealt by card need no exchange for that; a join by card and symbol would deal them anew
+    together = lambda a, b: a.select("extraction_id", "s", F.lit(True).alias("a")).union(b.select("extraction_id", "s", F.lit(False))).groupBy("extraction_id", "s").agg(F.bool_or("a").alias("in_a"), F.bool_or(~F.col("a")).alias("in_b"))
+    undefined = lambda df: together(df, symbols).where("in_a AND NOT in_b").select("extraction_id", "s")
     named = undefined(listed.select("extraction_id", F.explode("variables_involved").alias("s")).where(F.trim("s") != ""))
     short = (F.length("s") > 1) | F.col("s").isin("X", "S", "D")
     written = undefined(equations.select("extraction_id", F.explode(identifiers("latex", LATEX_WORDS)).alias("s")).where(short & (F.col("s") != "mu")))
@@ -152,7 +154,7 @@ def heuristic(cards: DataFrame, equations: DataFrame, variables: DataFrame, para
     scales = units.select("extraction_id", time_scale(F.coalesce("unit", F.lit(""))).alias("scale")).where(F.col("scale").isNotNull())
     mixed = scales.groupBy("extraction_id").agg(F.array_join(F.array_sort(F.collect_set("scale")), ", ").alias("scales"), F.countDistinct("scale").alias("n")).where("n > 1")
     gas = cards.where(reduce(lambda a, b: a | b, (F.contains(F.lower("corpus"), F.lit(w)) for w in GAS_WORDS)))
-    kla = symbols.where(F.lower("s").isin("kla", "k_la", "kl_a")).select("extraction_id").distinct()
+    kla = symbols.where(F.lower("s").isin("kla", "k_la", "kl_a")).select("extraction_id")
     texts = equations.groupBy("extraction_id").agg(F.array_join(F.collect_list(F.concat_ws(" ", "latex", "description")), " ").alias("all_text"))
     unused = parameters.where(F.coalesce("symbol", F.lit("")) != "").join(texts, "extraction_id").where(~F.coalesce(has_word("all_text", "symbol"), F.lit(False)))
     parts = [
@@ -160,7 +162,7 @@ def heuristic(cards: DataFrame, equations: DataFrame, variables: DataFrame, para
         row(parameters.where(~has_text("unit")), "medium", "parameter_without_unit", F.col("symbol")),
         row(listed.where(F.size("variables_involved") == 0), "low", "no_symbols_listed", F.col("ordinal")),
         row(named, "high", "listed_symbol_undefined", F.col("s")),
-        row(states.join(bare, ["extraction_id", "s"]), "medium", "derivative_without_unit", F.col("s")),
+        row(together(states, bare).where("in_a AND in_b"), "medium", "derivative_without_unit", F.col("s")),
         row(written, "medium", "symbol_undefined", F.col("s")),
         *conventions,
         row(mixed, "medium", "mixed_time_scales", F.col("scales")),

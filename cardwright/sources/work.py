@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
+#: Rows of a bucket, about: what a task sorts or groups stays as small as this, however large a table is.
+BUCKET_ROWS = 400_000
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, which all executors share; where that is unset and Spark is one local process, under a temporary folder."""
@@ -25,3 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets(spark: SparkSession, rows: int) -> int:
+    """Buckets for a table of so many rows: their number grows with the table, not their size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
+def bucketed(df: DataFrame, n: int, key: str, name: str) -> DataFrame:
+    """``df`` as a table of ``n`` buckets by ``key``, read again: groups and joins by the key need no exchange. Rows that are dealt by ``key`` to ``n`` tasks make a file a bucket."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", work_dir(spark, name)).saveAsTable(table)
+    return spark.table(table)
