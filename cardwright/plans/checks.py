@@ -5,13 +5,17 @@ from pyspark.sql import functions as F
 
 from cardwright.operators import evaluate, templates, units
 from cardwright.plans.catalogue import _t, query
+from cardwright.sources.work import bucketed, buckets
 
 _NUMBERED = "SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_suppkey, l_returnflag FROM lineitem"
 
 
-def _numbered(spark: SparkSession, d: str) -> DataFrame:
+def _numbered(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
+    """Lines with their place in the order; dealt by order to so many tasks, if told."""
+    lines = _t(spark, d, "lineitem")
+    lines = lines.repartition(tasks, "l_orderkey") if tasks else lines
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), place.alias("n"), "l_suppkey", "l_returnflag")
+    return lines.select(F.col("l_orderkey").alias("id"), place.alias("n"), "l_suppkey", "l_returnflag")
 
 
 @query(f"SELECT id, floor(avg(CASE WHEN l_suppkey % 3 = 0 THEN 1.0 ELSE 0.0 END) * 1e6 + 0.5) / 1e6 AS recall FROM ({_NUMBERED}) GROUP BY id")
@@ -40,7 +44,8 @@ def mixed_time_scales(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT id, n AS ordinal, CASE WHEN row_number() OVER (PARTITION BY id, l_suppkey % 2 ORDER BY n) = 1 THEN 'derivative' ELSE 'repeated' END AS kind FROM ({_NUMBERED})")
 def first_derivatives(spark: SparkSession, d: str) -> DataFrame:
     """Of a card's equations for the derivative of one state, spelt in either case, the first counts; later ones are repeated."""
-    lines = _numbered(spark, d).select(F.col("id").alias("extraction_id"), F.col("n").alias("ordinal"), "l_suppkey")
+    n = buckets(spark, _t(spark, d, "lineitem").count())
+    lines = bucketed(_numbered(spark, d, n).select(F.col("id").alias("extraction_id"), F.col("n").alias("ordinal"), "l_suppkey"), n, "extraction_id", "numbered_lines")
     state = F.when(F.col("l_suppkey") % 2 == 0, F.when(F.col("ordinal") % 2 == 0, "C").otherwise("c")).otherwise("B")
     eq = lines.select("extraction_id", "ordinal", F.concat(F.lit("d"), state, F.lit("/dt = -k * "), state).alias("latex"), F.lit("").alias("description"), F.lit("").alias("plaintext"))
     cards = lines.select("extraction_id").distinct()

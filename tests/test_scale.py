@@ -118,3 +118,25 @@ def test_exported_documents_are_made_once(spark):
     from cardwright.plans.records import export_import
 
     assert "to_json" not in export_import(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()  # the export was made anew for each table read from it
+
+
+def test_lines_of_cards_are_grouped_once_and_buckets_grow_with_the_table(spark):
+    """No rule reads or groups the orders' lines anew, and a task's share of them stays as it is when there are more."""
+    from cardwright.plans.checks import first_derivatives
+    from cardwright.plans.records import card_findings, card_unit_findings
+    from cardwright.sources.work import BUCKET_ROWS, buckets
+
+    assert buckets(spark, 0) == 4 and buckets(spark, 40 * BUCKET_ROWS + 1) == 41
+    for query in (card_findings, card_unit_findings, first_derivatives):
+        assert not [f for f in query(spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
+def test_symbols_are_looked_up_without_joins_by_symbol(spark):
+    eq = spark.createDataFrame([(1, 0, "dX/dt = q * X", "", ["X", "q", "Q"]), (2, 0, "a", "", None)], "extraction_id int, ordinal int, latex string, description string, variables_involved array<string>")
+    var = spark.createDataFrame([(1, 0, "X", None, "state"), (2, 0, None, None, "input")], "extraction_id int, ordinal int, symbol string, unit string, role string")
+    par = spark.createDataFrame([(1, 0, "q", "1/h"), (2, 0, "Q", "1/h")], "extraction_id int, ordinal int, symbol string, unit string")
+    found = units.heuristic(spark.createDataFrame([(1, ""), (2, "")], "extraction_id int, corpus string"), eq, var, par)
+    got = {(r.extraction_id, r.rule, r.subject) for r in found.collect()}
+    assert got == {(1, "state_without_unit", "X"), (1, "listed_symbol_undefined", "Q"), (1, "derivative_without_unit", "X"), (1, "symbol_undefined", "dX"), (2, "parameter_unused", "Q")}
+    plan = found.where("rule IN ('listed_symbol_undefined', 'symbol_undefined', 'derivative_without_unit')")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
