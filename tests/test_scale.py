@@ -140,3 +140,13 @@ def test_symbols_are_looked_up_without_joins_by_symbol(spark):
     assert got == {(1, "state_without_unit", "X"), (1, "listed_symbol_undefined", "Q"), (1, "derivative_without_unit", "X"), (1, "symbol_undefined", "dX"), (2, "parameter_unused", "Q")}
     plan = found.where("rule IN ('listed_symbol_undefined', 'symbol_undefined', 'derivative_without_unit')")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_symbol_maps_are_joined_by_card(spark):
+    """Variables come before parameters, the last of equal variables and the first of equal parameters count; the two are not grouped as one table."""
+    var = spark.createDataFrame([(1, 0, "X", "a"), (1, 1, "x", "b"), (2, 0, None, "c")], "extraction_id int, ordinal int, symbol string, unit string")
+    par = spark.createDataFrame([(1, 0, "X", "d"), (1, 1, "q", "e"), (1, 2, "Q", "f"), (3, 0, "k", "g")], "extraction_id int, ordinal int, symbol string, unit string")
+    out = units.symbol_map(var, par, lower=True)
+    got = {r.extraction_id: {k: (v.symbol, v.unit, v.source) for k, v in r.symbols.items()} for r in out.collect()}
+    assert got == {1: {"x": ("x", "b", "variable"), "q": ("q", "e", "parameter")}, 3: {"k": ("k", "g", "parameter")}}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
