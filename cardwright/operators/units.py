@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import has_text, has_word, identifiers, trim_all
 from cardwright.functions.units import DIM, RATE, dim, is_dim, label, matched, minus, normal_equation, parse_unit, same_dim
+from cardwright.sources.work import unsent
 
 #: Equation shapes on normal texts. Fixed values.
 MONOD = r"^([a-z_][A-Za-z0-9_]*)\s*=\s*([a-z_][A-Za-z0-9_]*)\s*\*\s*([a-z_][A-Za-z0-9_]*)\s*/\s*\(\s*([a-z_][A-Za-z0-9_]*)\s*[+]\s*([a-z_][A-Za-z0-9_]*)\s*\)"
@@ -74,7 +75,7 @@ def formal(equations: DataFrame, dims: DataFrame) -> DataFrame:
     The text is the LaTeX, or the description if that is blank. ``matches`` is null where it cannot be told.
     """
     text = F.when(has_text("latex"), trim_all("latex")).otherwise(trim_all(F.coalesce("description", F.lit(""))))
-    rows = equations.select("extraction_id", "ordinal", normal_equation(text).alias("t")).join(dims, "extraction_id", "left")
+    rows = equations.select("extraction_id", "ordinal", normal_equation(text).alias("t")).join(unsent(dims), "extraction_id", "left")
     d = F.coalesce("dims", F.expr("map()").cast(f"map<string,{DIM}>"))
     rows = rows.withColumns({"d": d, "monod": matched(F.col("t"), MONOD, 5), "ode": matched(F.col("t"), ODE, 1), "bio": F.coalesce(matched(F.col("t"), BIOMASS, 3), matched(F.col("t"), BIOMASS_APART, 3)), "y": matched(F.col("t"), YIELD, 1)})
     at = lambda c: F.try_element_at("d", c)

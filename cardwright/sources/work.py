@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` for a join that never broadcasts it: its size is told from that of the files, which rows made by ``explode``, maps of a card's rows and well compressed columns outgrow many times."""
+    return df.hint("merge")
+
+
 def buckets(spark: SparkSession, rows: int) -> int:
     """Buckets for a table of so many rows: their number grows with the table, not their size."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))

@@ -150,3 +150,12 @@ def test_symbol_maps_are_joined_by_card(spark):
     got = {r.extraction_id: {k: (v.symbol, v.unit, v.source) for k, v in r.symbols.items()} for r in out.collect()}
     assert got == {1: {"x": ("x", "b", "variable"), "q": ("q", "e", "parameter")}, 3: {"k": ("k", "g", "parameter")}}
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["equation_dimensions"])
+def test_rows_of_cards_are_not_broadcast(spark, name):
+    """Sizes are told from those of the files, which maps of all cards' rows outgrow many times: at 6 x sf0.1 the driver had no room for them."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [extraction_id" in plan and "BroadcastHashJoin [extraction_id" not in plan
