@@ -118,7 +118,7 @@ def formal_status(cards: DataFrame, results: DataFrame) -> DataFrame:
     """(extraction_id, status): unavailable without a parsed equation, fail with a mismatch, warning with issues, else pass."""
     by = results.groupBy("extraction_id").agg(F.bool_or("parsed").alias("any"), F.bool_or(F.coalesce(~F.col("matches"), F.lit(False))).alias("bad"), F.bool_or(F.size("issues") > 0).alias("unsure"))
     status = F.when(~F.coalesce("any", F.lit(False)), "unavailable").when(F.col("bad"), "fail").when(F.col("unsure"), "warning").otherwise("pass")
-    return cards.select("extraction_id").join(by, "extraction_id", "left").select("extraction_id", status.alias("status"))
+    return cards.select("extraction_id").join(unsent(by), "extraction_id", "left").select("extraction_id", status.alias("status"))
 
 
 def _any(c: Column, patterns: tuple[str, ...]) -> Column:
