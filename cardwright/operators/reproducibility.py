@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import has_value, identifiers, round_half_up
 from cardwright.operators.units import LATEX_WORDS
+from cardwright.sources.work import unsent
 
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 #: Patterns on the lower-case corpus. Fixed values.
@@ -45,7 +46,7 @@ def facts(extractions: DataFrame, equations: DataFrame, variables: DataFrame, pa
     p = parameters.groupBy("extraction_id").agg(F.count("*").alias("n_par"), _share(value).alias("par_value"), _share(has_value("unit")).alias("par_unit"), _share(quoted).alias("par_quote"), F.coalesce(F.bool_or(F.regexp_like("symbol", F.lit(KINETIC_SYMBOL))), F.lit(False)).alias("kinetic"), F.coalesce(F.bool_or(F.regexp_like("symbol", F.lit(GAS_SYMBOL))), F.lit(False)).alias("gas_symbol"))
     out = corpus(extractions)
     for part in (e, v, p):
-        out = out.join(part, "extraction_id", "left")
+        out = out.join(unsent(part), "extraction_id", "left")
     out = out.na.fill(0).na.fill(False)
     patterns = {"time": TIME, "time_unit": TIME_UNIT, "initial": INITIAL, "boundary": BOUNDARY, "kinetics": KINETICS, "yields": YIELD, "gas": GAS, "henry": HENRY}
     return out.withColumns({f"has_{k}": F.regexp_like("corpus", F.lit(x)) for k, x in patterns.items()})
@@ -65,7 +66,7 @@ def scores(known: DataFrame, findings: DataFrame) -> DataFrame:
     out = known.select("extraction_id", *(c.alias(k) for k, c in s.items()))
     out = out.withColumn("overall", round_half_up(reduce(lambda a, b: a + b, (F.col(k) * w for k, w in WEIGHTS.items()))))
     critical = findings.groupBy("extraction_id").agg(F.count_if(F.col("severity") == "critical").alias("criticals"))
-    out = out.join(critical, "extraction_id", "left").na.fill(0, ["criticals"])
+    out = out.join(unsent(critical), "extraction_id", "left").na.fill(0, ["criticals"])
     ready = F.when((F.col("overall") >= 75) & (F.col("criticals") == 0), "ready").when((F.col("overall") >= 40) & (F.col("criticals") <= 1), "partial").otherwise("not_ready")
     return out.withColumn("readiness", ready)
 
@@ -108,14 +109,14 @@ def findings(known: DataFrame, extractions: DataFrame, equations: DataFrame, var
     undefined = either.groupBy("extraction_id", "s").agg(F.collect_set("w").alias("ws"), F.count("defined").alias("n")).where("n = 0").select("extraction_id", F.explode("ws").alias("w"))
     add(names(undefined, "w"), "warning", "equations", said("symbols that are not defined: "))
     texts = equations.groupBy("extraction_id").agg(F.lower(F.array_join(F.collect_list(F.concat_ws(" ", "latex", "description")), " ")).alias("all_text"))
-    absent = lambda rows: names(rows.where(F.coalesce("symbol", F.lit("")) != "").join(texts, "extraction_id").where(~F.contains("all_text", F.lower("symbol"))))
+    absent = lambda rows: names(rows.where(F.coalesce("symbol", F.lit("")) != "").join(unsent(texts), "extraction_id").where(~F.contains("all_text", F.lower("symbol"))))
     add(absent(parameters), "info", "parameters", said("parameters in no equation: "))
     add(absent(variables.where("role = 'state'")), "warning", "equations", said("states in no equation: "))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     # what the provider itself listed as missing, unless something already says so
     listed = extractions.select(F.col("id").alias("extraction_id"), F.posexplode(F.from_json(F.get_json_object("raw_extraction_json", "$.model_card.missing_information"), "array<string>")).alias("k", "item")).where(F.trim("item") != "")
     there = out.groupBy("extraction_id").agg(F.collect_list(F.lower("description")).alias("said"))
-    listed = listed.join(there, "extraction_id", "left").where(~F.coalesce(F.exists("said", lambda d: F.contains(d, F.substring(F.lower("item"), 1, 30))), F.lit(False)))
+    listed = listed.join(unsent(there), "extraction_id", "left").where(~F.coalesce(F.exists("said", lambda d: F.contains(d, F.substring(F.lower("item"), 1, 30))), F.lit(False)))
     out = out.unionByName(listed.select("extraction_id", (F.lit(len(parts)) + F.col("k")).alias("ord"), F.lit("warning").alias("severity"), F.lit("provider").alias("category"), F.col("item").alias("description"), F.lit(False).alias("blocker")))
     rank = F.coalesce(*(F.when(F.col("severity") == s, F.lit(k)) for s, k in SEVERITIES.items()))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("extraction_id").orderBy(rank, "ord")))
@@ -128,7 +129,7 @@ def next_steps(scored: DataFrame, known: DataFrame) -> DataFrame:
         low("equations", 60, "Write all equations in LaTeX and describe them."), low("parameters", 60, "Add values and units of parameters."), low("units", 60, "Add units of all variables and parameters."),
         low("initial_conditions", 60, "State initial and boundary conditions."), low("traceability", 50, "Quote the source of each item."), F.when(F.col("has_gas"), F.lit("Check the gas transfer's parameters.")),
     ))
-    out = scored.join(known.select("extraction_id", "has_gas"), "extraction_id")
+    out = scored.join(unsent(known.select("extraction_id", "has_gas")), "extraction_id")
     return out.select("extraction_id", F.when(F.size(steps) == 0, F.array(F.lit("Simulate the model and compare it with data."))).otherwise(steps).alias("steps"))
 
 
@@ -147,6 +148,6 @@ def report(extractions: DataFrame, equations: DataFrame, variables: DataFrame, p
     found = findings(known, e, *tables)
     scored = scores(known, found)
     listed = found.groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("place", "severity", "category", "description", "blocker"))).alias("findings"))
-    out = scored.join(next_steps(scored, known), "extraction_id").join(listed, "extraction_id", "left")
+    out = scored.join(unsent(next_steps(scored, known)), "extraction_id").join(unsent(listed), "extraction_id", "left")
     shown = F.transform(F.coalesce("findings", F.array().cast("array<struct<place:int,severity:string,category:string,description:string,blocker:boolean>>")), lambda x: x.dropFields("place"))
     return out.select("extraction_id", F.to_json(F.struct("overall", "readiness", F.struct(*WEIGHTS).alias("scores"), shown.alias("findings"), F.col("steps").alias("next_steps"))).alias("report"))
