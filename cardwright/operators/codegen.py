@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cardwright.functions.text import csv_cell, slug, trim_all
 from cardwright.operators import reproducibility, templates, units
+from cardwright.sources.work import unsent
 
 FILES = (
     "README.md", "model_card.md", "variables.csv", "parameters.csv", "equations.md", "assumptions.md", "limitations.md", "missing_information.md", "reproducibility_report.json",
@@ -88,7 +89,7 @@ def time_units(cards: DataFrame, variables: DataFrame, parameters: DataFrame) ->
     every = parameters.select(_KEY, "unit").unionByName(variables.select(_KEY, "unit")).where(F.col("unit").isNotNull())
     found = every.groupBy(_KEY).agg(*(F.bool_or(F.regexp_like("unit", F.lit(p))).alias(f"_{u}") for u, p in TIME_UNITS.items()))
     unit = F.coalesce(*(F.when(F.col(f"_{u}"), F.lit(u)) for u in TIME_UNITS), F.lit("h"))
-    return cards.select(_KEY).join(found, _KEY, "left").select(_KEY, unit.alias("time_unit"))
+    return cards.select(_KEY).join(unsent(found), _KEY, "left").select(_KEY, unit.alias("time_unit"))
 
 
 def lhs_symbol(text: Column | str) -> Column:
@@ -105,18 +106,18 @@ def initial_states(variables: DataFrame, raw: DataFrame | None) -> DataFrame:
         return states.withColumn("start", F.lit(None).cast("double")).drop("s")
     said = raw.select(_KEY, F.posexplode(F.from_json(F.get_json_object("raw", "$.state_variables"), "array<struct<symbol:string,initial_condition:string>>")).alias("k", "x"))
     first = said.groupBy(_KEY, F.lower(trim_all("x.symbol")).alias("s")).agg(F.min_by(F.struct("x.initial_condition"), "k").alias("first"))
-    return states.join(first, [_KEY, "s"], "left").withColumn("start", trim_all("first.initial_condition").try_cast("double")).drop("s", "first")
+    return states.join(unsent(first), [_KEY, "s"], "left").withColumn("start", trim_all("first.initial_condition").try_cast("double")).drop("s", "first")
 
 
 def _script_lines(equations: DataFrame, variables: DataFrame, parameters: DataFrame, raw: DataFrame | None) -> list[Lines]:
     matched = templates.match(equations, variables, parameters)
     shown = F.regexp_replace(F.coalesce(F.when(F.trim("latex") != "", F.col("latex")), F.col("description"), F.lit("")), r"[\r\n]+", " ")
-    todo = matched.where("kind = 'unmatched'").join(equations.select(_KEY, "ordinal", shown.alias("shown")), [_KEY, "ordinal"])
+    todo = matched.where("kind = 'unmatched'").join(unsent(equations.select(_KEY, "ordinal", shown.alias("shown"))), [_KEY, "ordinal"])
     left = F.concat(F.lit("    # TODO: "), "shown", F.coalesce(F.concat(F.lit("\n    "), F.when(~F.col("shown").rlike(r"d[A-Za-z]+\s*/\s*dt"), lhs_symbol("shown")), F.lit(" = 0.0")), F.lit("")))
     states = initial_states(variables, raw)
     name, unit = _name("symbol"), F.when(F.coalesce("unit", F.lit("")) != "", F.col("unit")).otherwise("no unit")
     rates = matched.where("kind = 'derivative'").select(_KEY, F.lower("state").alias("s"), "code", "missing")
-    each = states.withColumn("s", F.lower("symbol")).join(rates, [_KEY, "s"], "left")
+    each = states.withColumn("s", F.lower("symbol")).join(unsent(rates), [_KEY, "s"], "left")
     lacking = F.concat(F.lit("d"), name, F.lit("dt = 0.0  # TODO: "), F.when(F.size("missing") > 0, F.concat(F.lit("missing symbols: "), F.array_join("missing", ", "))).otherwise("no equation matched"))
     quoted = F.to_json(F.array("symbol")).substr(F.lit(2), F.length(F.to_json(F.array("symbol"))) - 2)
     values = F.concat(F.lit("    "), quoted, F.lit(": "), number_text(F.col("value")), F.lit(",  # "), unit, F.when(F.col("value").isNull(), F.lit("; TODO: value")).otherwise(""))
@@ -196,7 +197,7 @@ def package(cards: DataFrame, equations: DataFrame, variables: DataFrame, parame
     raw = reports.select(_KEY, "raw") if "raw" in known else None
     if "report" not in known:
         texts = cards.withColumnRenamed(_KEY, "id")
-        texts = texts if raw is None else texts.join(raw.select(F.col(_KEY).alias("id"), F.col("raw").alias("raw_extraction_json")), "id", "left")
+        texts = texts if raw is None else texts.join(unsent(raw.select(F.col(_KEY).alias("id"), F.col("raw").alias("raw_extraction_json"))), "id", "left")
         own = reproducibility.report(texts, equations, variables, parameters)
     checks = _once(units.formal(equations, units.dimension_map(variables, parameters)), {"check": F.to_json(F.struct("ordinal", "pattern", "parsed", "matches", "issues"))})
     quote = F.when(trim_all(F.coalesce("source_quote", F.lit(""))) != "", trim_all("source_quote"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cardwright.functions.text import has_text, trim_all
 from cardwright.functions.units import matched, normal_equation
 from cardwright.operators.units import KLA, MONOD, YIELD, symbol_map
+from cardwright.sources.work import unsent
 
 _W = "[a-z_][A-Za-z0-9_]*"
 _B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -31,7 +32,7 @@ def match(equations: DataFrame, variables: DataFrame, parameters: DataFrame) ->
     """
     text = F.when(has_text("latex"), trim_all("latex")).otherwise(trim_all(F.coalesce("description", F.lit(""))))
     others = variables.where("role = 'state'").groupBy("extraction_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.lower("symbol").alias("s")))), lambda x: x["s"]).alias("states"))
-    rows = equations.select("extraction_id", "ordinal", normal_equation(text).alias("t")).join(symbol_map(variables, parameters, lower=True), "extraction_id", "left").join(others, "extraction_id", "left")
+    rows = equations.select("extraction_id", "ordinal", normal_equation(text).alias("t")).join(unsent(symbol_map(variables, parameters, lower=True)), "extraction_id", "left").join(unsent(others), "extraction_id", "left")
     shapes = {"monod": (MONOD + r"\s*$", 5), "bio1": (BIOMASS, 3), "bio2": (BIOMASS_APART, 3), "ode": (ODE, 1), "y": (YIELD, 1), "feed": (FEED, 1), "uptake": (UPTAKE, 3), "decay": (DECAY, 2), "gas_ode": (GAS_ODE, 3), "gas": (GAS, 4)}
     rows = rows.withColumns({name: matched(F.col("t"), pattern, n) for name, (pattern, n) in shapes.items()})
     entry = lambda c: F.try_element_at("symbols", c)
@@ -83,5 +84,5 @@ def match(equations: DataFrame, variables: DataFrame, parameters: DataFrame) ->
 def status(cards: DataFrame, results: DataFrame) -> DataFrame:
     """(extraction_id, matched, derivatives, unmatched, runnable, status): full if all count and run, scaffold_only without any template, partial with anything that has none or does not run, else full."""
     n = results.where("kind != 'repeated'").groupBy("extraction_id").agg(*(F.count_if(F.col("kind") == k).alias(name) for k, name in (("matched", "matched"), ("derivative", "derivatives"), ("unmatched", "unmatched"))), F.count_if("runnable").alias("runnable"), F.count("*").alias("n"))
-    out = cards.select("extraction_id").join(n, "extraction_id", "left").na.fill(0)
+    out = cards.select("extraction_id").join(unsent(n), "extraction_id", "left").na.fill(0)
     return out.withColumn("status", F.when(F.col("matched") + F.col("derivatives") == 0, "scaffold_only").when(F.col("runnable") < F.col("n"), "partial").otherwise("full")).drop("n")

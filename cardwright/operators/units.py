@@ -41,7 +41,7 @@ def symbol_map(variables: DataFrame, parameters: DataFrame, lower: bool) -> Data
     part = lambda df, source, rank, sign: df.where(F.coalesce("symbol", F.lit("")) != "").select("extraction_id", key.alias("key"), F.struct(F.col("symbol"), F.col("unit"), F.lit(source).alias("source")).alias("v"), F.struct(F.lit(rank).alias("r"), (F.col("ordinal") * sign).alias("o")).alias("rank"))
     first = lambda rows, name: rows.groupBy("extraction_id", "key").agg(F.min_by("v", "rank").alias("v")).groupBy("extraction_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias(name))
     # the two are joined by card: rows dealt by card need no exchange for that, as they would if both were grouped as one table
-    both = first(part(variables, "variable", 0, -1), "v").join(first(part(parameters, "parameter", 1, 1), "p"), "extraction_id", "full_outer")
+    both = first(part(variables, "variable", 0, -1), "v").join(unsent(first(part(parameters, "parameter", 1, 1), "p")), "extraction_id", "full_outer")
     others = F.map_filter("p", lambda k, _: ~F.coalesce(F.map_contains_key("v", k), F.lit(False)))
     return both.select("extraction_id", F.when(F.col("v").isNull(), F.col("p")).when(F.col("p").isNull(), F.col("v")).otherwise(F.map_concat("v", others)).alias("symbols"))
 

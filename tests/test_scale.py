@@ -152,7 +152,7 @@ def test_symbol_maps_are_joined_by_card(spark):
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["equation_dimensions", "equation_status", "card_next_steps"])
+@pytest.mark.parametrize("name", ["equation_dimensions", "equation_status", "card_next_steps", "package_files"])
 def test_rows_of_cards_are_not_broadcast(spark, name):
     """Sizes are told from those of the files, which maps of all cards' rows outgrow many times: at 6 x sf0.1 the driver had no room for them."""
     import __spark_entry__
