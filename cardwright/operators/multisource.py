@@ -13,6 +13,8 @@ SEVERITY = {"parameter_value": "high", "parameter_unit": "high", "variable_defin
 SYMBOL = "symbol as written"
 #: Values of a set that are shown, the first seen ones; sizes always count all.
 SHOWN = 1_000
+#: Rows of a symbol at most that are dealt by symbol.
+OFTEN = 10_000
 
 
 def _text(c: Column | str) -> Column:
@@ -25,7 +27,11 @@ def seen_values(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...]
     ``name`` tells which of ``values`` it is, or ``SYMBOL`` for the symbol as written. Blank symbols are skipped, and so are
     values that are null or empty; of "value" also blank ones. Grouped by value, so a symbol with any number of values is no larger group than others.
     """
-    keyed = rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''")
+    return _seen(rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''"), symbol, values)
+
+
+def _seen(keyed: DataFrame, symbol: str, values: tuple[str, ...]) -> DataFrame:
+    """``seen_values`` of rows with key and seen; without an exchange where they are dealt by key."""
     items = F.array(*(F.struct(F.lit(name).alias("name"), _text(c).alias("v")) for name, c in ((SYMBOL, symbol), *((v, v) for v in values))))
     one = keyed.select("key", "seen", F.explode(items).alias("x")).select("key", "x.name", "x.v", "seen")
     there = F.when(F.col("name") == "value", trim_all("v")).otherwise(F.col("v")) != ""
@@ -44,17 +50,32 @@ def first_values(seen: DataFrame, shown: int = SHOWN) -> DataFrame:
     return seen.withColumn("place", place).where(F.col("place") <= shown)
 
 
+def _sets(keyed: DataFrame, symbol: str, values: tuple[str, ...], shown: int) -> DataFrame:
+    """The rows of ``aggregated`` of symbols with few rows (key, seen, the symbol and ``values``), which are dealt by symbol once."""
+    seen = _seen(keyed.repartition("key"), symbol, values)
+    placed = seen.withColumn("place", F.row_number().over(Window.partitionBy("key", "name").orderBy("seen", "v")))
+    some = F.when(F.col("place") <= shown, F.struct("name", "place", "v"))
+    return placed.groupBy("key").agg(F.array_sort(F.collect_list(some)).alias("all"), *(F.count_if(F.col("name") == v).alias(f"n_{v}s") for v in values))
+
+
 def aggregated(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...] = ("value", "unit", "meaning", "source"), order: tuple[str, ...] = ("extraction_id", "ordinal"), shown: int = SHOWN) -> DataFrame:
     """One row a symbol, trimmed and case folded: key, the symbol as first written, for each of ``values`` the set in first-seen order (``<value>s``) and its size (``n_<value>s``).
 
-    Sets stay rows (``seen_values``) until only the first ``shown`` of each are left, so a symbol with a million values costs no
-    task more than others; beyond ``shown`` the size tells that there are more.
+    Sets of symbols with more than ``OFTEN`` rows stay rows (``seen_values``) until only the first ``shown`` of each are left, so a symbol with a million
+    values costs no task more than others; beyond ``shown`` the size tells that there are more. Rows of all others are dealt once, by symbol.
     """
-    seen = seen_values(rows, symbol, values, order)
-    kept = first_values(seen, shown).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "place", "v"))).alias("all"))
+    keyed = rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''")
+    often = [r.key for r in keyed.groupBy("key").count().where(F.col("count") > OFTEN).select("key").collect()]  # a row for each OFTEN rows at most
+    needed = keyed.select("key", "seen", *dict.fromkeys((symbol, *values)))
+    if often:
+        spread = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in often], "key string"))
+        seen = _seen(needed.join(spread, "key", "left_semi"), symbol, values)
+        kept = first_values(seen, shown).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "place", "v"))).alias("all"))
+        sets = _sets(needed.join(spread, "key", "left_anti"), symbol, values, shown).unionByName(kept.join(set_sizes(seen, values), "key"))
+    else:
+        sets = _sets(needed, symbol, values, shown)
     of = lambda name: F.transform(F.filter("all", lambda x: x["name"] == name), lambda x: x["v"])
-    sizes = set_sizes(seen, values)
-    return kept.join(sizes, "key").select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values), *(f"n_{v}s" for v in values))
+    return sets.select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values), *(f"n_{v}s" for v in values))
 
 
 def distinct_texts(rows: DataFrame, text: str = "text", order: tuple[str, ...] = ("extraction_id", "ordinal")) -> DataFrame:

@@ -159,3 +159,17 @@ def test_rows_of_cards_are_not_broadcast(spark, name):
 
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [extraction_id" in plan and "BroadcastHashJoin [extraction_id" not in plan
+
+
+def test_rows_of_symbols_are_dealt_once_unless_there_are_many(spark, monkeypatch):
+    """Sets, their order and their sizes are the same whether a symbol's rows are dealt by symbol or by value."""
+    rows = spark.range(90).selectExpr("CASE WHEN id % 3 = 0 THEN ' A ' WHEN id % 30 = 1 THEN 'b' ELSE 'a' END symbol", "cast(id * 7 % 11 as string) value", "CASE WHEN id % 2 = 0 THEN 'g' WHEN id % 5 = 0 THEN '' END unit", "id % 4 AS extraction_id", "id AS ordinal")
+    results = []
+    for often in (10_000, 10, 0):
+        monkeypatch.setattr(multisource, "OFTEN", often)
+        out = multisource.aggregated(rows, values=("value", "unit"), shown=6)
+        if often == 10_000:
+            assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # six before
+        results.append(sorted(map(tuple, out.collect())))
+    assert results[0] == results[1] == results[2]
+    assert [(r[0], r[1], r[3], r[4], r[5]) for r in results[0]] == [("a", " A ", ["g"], 11, 1), ("b", "b", [], 3, 0)] and len(results[0][0][2]) == 6
