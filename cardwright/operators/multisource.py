@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwright.functions.text import norm, trim_all
+from cardwright.sources.work import buckets
 
 #: Severities by kind of conflict. Fixed values.
 SEVERITY = {"parameter_value": "high", "parameter_unit": "high", "variable_definition": "medium", "equation": "medium", "missing_across_sources": "low"}
@@ -50,9 +51,9 @@ def first_values(seen: DataFrame, shown: int = SHOWN) -> DataFrame:
     return seen.withColumn("place", place).where(F.col("place") <= shown)
 
 
-def _sets(keyed: DataFrame, symbol: str, values: tuple[str, ...], shown: int) -> DataFrame:
-    """The rows of ``aggregated`` of symbols with few rows (key, seen, the symbol and ``values``), which are dealt by symbol once."""
-    seen = _seen(keyed.repartition("key"), symbol, values)
+def _sets(keyed: DataFrame, symbol: str, values: tuple[str, ...], shown: int, n: int) -> DataFrame:
+    """The rows of ``aggregated`` of symbols with few rows (key, seen, the symbol and ``values``), which are dealt by symbol once, to ``n`` tasks."""
+    seen = _seen(keyed.repartition(n, "key"), symbol, values)
     placed = seen.withColumn("place", F.row_number().over(Window.partitionBy("key", "name").orderBy("seen", "v")))
     some = F.when(F.col("place") <= shown, F.struct("name", "place", "v"))
     return placed.groupBy("key").agg(F.array_sort(F.collect_list(some)).alias("all"), *(F.count_if(F.col("name") == v).alias(f"n_{v}s") for v in values))
@@ -65,15 +66,17 @@ def aggregated(rows: DataFrame, symbol: str = "symbol", values: tuple[str, ...]
     values costs no task more than others; beyond ``shown`` the size tells that there are more. Rows of all others are dealt once, by symbol.
     """
     keyed = rows.withColumns({"key": norm(symbol), "seen": F.struct(*order)}).where("key != ''")
-    often = [r.key for r in keyed.groupBy("key").count().where(F.col("count") > OFTEN).select("key").collect()]  # a row for each OFTEN rows at most
+    # a key for each OFTEN rows at most
+    counted = keyed.groupBy("key").count().agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > OFTEN, F.col("key"))).alias("often")).first()
+    often, n = counted.often, buckets(rows.sparkSession, (counted.n or 0) * (1 + len(values)))
     needed = keyed.select("key", "seen", *dict.fromkeys((symbol, *values)))
     if often:
         spread = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in often], "key string"))
         seen = _seen(needed.join(spread, "key", "left_semi"), symbol, values)
         kept = first_values(seen, shown).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "place", "v"))).alias("all"))
-        sets = _sets(needed.join(spread, "key", "left_anti"), symbol, values, shown).unionByName(kept.join(set_sizes(seen, values), "key"))
+        sets = _sets(needed.join(spread, "key", "left_anti"), symbol, values, shown, n).unionByName(kept.join(set_sizes(seen, values), "key"))
     else:
-        sets = _sets(needed, symbol, values, shown)
+        sets = _sets(needed, symbol, values, shown, n)
     of = lambda name: F.transform(F.filter("all", lambda x: x["name"] == name), lambda x: x["v"])
     return sets.select("key", F.element_at(of(SYMBOL), 1).alias(symbol), *(of(v).alias(f"{v}s") for v in values), *(f"n_{v}s" for v in values))
 

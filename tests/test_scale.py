@@ -173,3 +173,13 @@ def test_rows_of_symbols_are_dealt_once_unless_there_are_many(spark, monkeypatch
         results.append(sorted(map(tuple, out.collect())))
     assert results[0] == results[1] == results[2]
     assert [(r[0], r[1], r[3], r[4], r[5]) for r in results[0]] == [("a", " A ", ["g"], 11, 1), ("b", "b", [], 3, 0)] and len(results[0][0][2]) == 6
+
+
+def test_tasks_of_symbols_grow_with_their_rows(spark, monkeypatch):
+    from cardwright.sources import work
+
+    monkeypatch.setattr(work, "BUCKET_ROWS", 30)
+    rows = spark.range(90).selectExpr("cast(id % 9 as string) symbol", "cast(id as string) value", "0 AS extraction_id", "id AS ordinal")
+    out = multisource.aggregated(rows, values=("value",))
+    assert "hashpartitioning(key" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 6), REPARTITION_BY_NUM" in plan
+    assert [r.n_values for r in out.collect()] == [10] * 9
